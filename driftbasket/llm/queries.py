@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import id_files, packing, token_counts
+from . import html_density, id_files, packing, quality, secrets, token_counts
 from .common import table
 
 
+def op1_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_density.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -26,8 +30,19 @@ def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, secrets.fit_grammar(docs)).drop("redacted")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = quality.quality(docs, quality.fit_references(docs, table(spark, sf_dir, "labels")))
+    return out.drop("text", "lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_nnls_packing, op5_token_counts, op7_id_files)}
+    return {f.__name__: f for f in (op1_text_density, op2_nnls_packing, op5_token_counts, op7_id_files, op8_secret_grammar, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
