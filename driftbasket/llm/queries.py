@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_density, id_files, packing, quality, secrets, token_counts
+from . import html_density, id_files, ngram_join, packing, quality, secrets, token_counts
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=75)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -42,7 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_text_density, op2_nnls_packing, op5_token_counts, op7_id_files, op8_secret_grammar, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_text_density, op2_nnls_packing, op4_ngram_jaccard, op5_token_counts, op7_id_files, op8_secret_grammar, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
