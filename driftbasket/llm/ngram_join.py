@@ -7,8 +7,10 @@ few documents have come first, by hash; the most frequent ones come last, rarest
 1. Documents of equal sets form a class; its smallest doc_id stands for it.
 2. Two sets with J >= t share one of the first |x| - ceil(t |x|) + 1 elements of either (prefix filter), so
    only these are posted; postings whose shingle no other class has are dropped in one streaming scan.
-3. Star round: each posted class is verified against the least class of its posting lists, and links are
-   joined to components. Then the pairs of one list that still lie in different components are verified.
+3. Star rounds: each posted class is verified against one class of each of its posting lists, the most
+   central one, then the least one, and links are joined to components. At last all pairs of one list that
+   still lie in different components are verified. Sizes, places in the sets and the number of shared
+   postings bound the overlap, and pairs that can't reach it are left out.
    So a large group of near copies costs links in proportion to its size, and no pair is left out:
    a pair in one component needs no link of its own.
 4. Verification walks a trie. Sets sorted as byte strings are the depth-first order of their trie; a set
@@ -27,64 +29,54 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts_of, words_of
+from .common import materialize, texts_of
+from .word_hashes import hashed_words, mixed
 from .components import components
 
 N = 5
 #: Surrogate ids of classes without any doc_id start here.
 NO_ID = 1 << 62
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 FREQUENT = 65_536
 BITMAP_BITS = 1 << 24
 
 
 class Shingler:
-    """Sorted sets of order keys; word hashes are cached, at most `limit`."""
+    """Sorted sets of order keys: the hash, or for a frequent shingle 2^63 + its rank."""
 
-    def __init__(self, frequent: np.ndarray | None = None, limit: int = 500_000):
-        self.limit, self.cache = limit, {}
+    def __init__(self, frequent: np.ndarray | None = None):
         hashes = np.empty(0, np.uint64) if frequent is None else frequent
         order = np.argsort(hashes)
         self.frequent, self.rank = hashes[order], order.astype(np.uint64)
 
-    def hashes(self, text: str) -> np.ndarray:
-        """The distinct shingles' 63-bit hashes, ascending."""
-        words, cache = words_of(text), self.cache
-        if not words:
-            return np.empty(0, np.uint64)
-        if missing := set(words).difference(cache):
-            if len(cache) + len(missing) > self.limit:
-                cache.clear()
-                missing = set(words)
-            for w in missing:
-                cache[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-        if len(h) < N:
-            return np.array([xxhash.xxh64_intdigest(h.tobytes(), seed=len(h)) >> 1], np.uint64)
-        m = len(h) - N + 1
-        s = h[:m].copy()
-        for k in range(1, N):
-            s *= _MULTIPLIER
-            s += h[k : k + m]
-            s ^= s >> np.uint64(29)
-        s ^= s >> np.uint64(30)
-        s *= _MIX[0]
-        s ^= s >> np.uint64(27)
-        s *= _MIX[1]
-        s ^= s >> np.uint64(31)
-        return np.unique(s >> np.uint64(1))
-
-    def keys(self, text: str) -> np.ndarray:
-        """Order keys, ascending: the hash, or for a frequent shingle 2^63 + its rank."""
-        h = self.hashes(text)
-        if not len(self.frequent) or not len(h):
-            return h
-        at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-        known = self.frequent[at] == h
-        if not known.any():
-            return h
-        return np.sort(np.where(known, self.rank[at] | np.uint64(1 << 63), h))
+    def hashes(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Of each text the distinct shingles' 63-bit hashes, ascending."""
+        for words, counts in hashed_words(texts):
+            at = 0
+            m = max(len(words) - N + 1, 0)
+            s = words[:m].copy()
+            for k in range(1, N):
+                s *= _MULTIPLIER
+                s += words[k : k + m]
+                s ^= s >> np.uint64(29)
+            s = mixed(s) >> np.uint64(1)
+            for n in counts:
+                if n >= N:
+                    yield np.unique(s[at : at + n - N + 1])
+                elif n:
+                    yield np.array([xxhash.xxh64_intdigest(words[at : at + n].tobytes(), seed=int(n)) >> 1], np.uint64)
+                else:
+                    yield np.empty(0, np.uint64)
+                at += n
+
+    def keys(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for h in self.hashes(texts):
+            if len(self.frequent) and len(h):
+                at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
+                known = self.frequent[at] == h
+                if known.any():
+                    h = np.sort(np.where(known, self.rank[at] | np.uint64(1 << 63), h))
+            yield h
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -142,8 +134,8 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT, least_docs: int = 1
             return pa.RecordBatch.from_arrays([pa.array(h[top].astype(np.int64), pa.int64()), pa.array(n[top], pa.int64())], ["h", "n"])
 
         for b in batches:
-            for text in texts_of(b):
-                held.append(sh.hashes(text))
+            for h in sh.hashes(texts_of(b)):
+                held.append(h)
                 size += len(held[-1])
                 if size > 4_000_000:
                     yield flush()
@@ -161,8 +153,7 @@ def _classes(docs: DataFrame, frequent: Broadcast, percent: int) -> DataFrame:
         sh = Shingler(frequent.value)
         for b in batches:
             n, digest, prefix = [], [], []
-            for text in texts_of(b):
-                k = sh.keys(text)
+            for k in sh.keys(texts_of(b)):
                 n.append(len(k))
                 digest.append(xxhash.xxh3_128_digest(k.tobytes()))
                 prefix.append(k[: prefix_length(len(k), percent)].tobytes())
@@ -172,7 +163,7 @@ def _classes(docs: DataFrame, frequent: Broadcast, percent: int) -> DataFrame:
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """(key, id) of the first keys; key as a signed long, so frequent ones are negative."""
+    """(key, id, place in the set) of the first keys; key as a signed long, so frequent ones are negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -181,9 +172,11 @@ def _postings(classes: DataFrame) -> DataFrame:
             for at in range(0, len(ids), 256):  # a long text has thousands of keys
                 part = slice(at, at + 256)
                 keys = np.frombuffer(b"".join(prefix[part]), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids[part], n[part]), pa.int64())], ["key", "id"])
+                ends = np.cumsum(n[part])
+                place = np.arange(len(keys)) - np.repeat(ends - n[part], n[part])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids[part], n[part]), pa.int64()), pa.array(place, pa.int32())], ["key", "id", "place"])
 
-    return classes.select("id", "prefix").mapInArrow(run, "key long, id long")
+    return classes.select("id", "prefix").mapInArrow(run, "key long, id long, place int")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -207,7 +200,7 @@ def _shared(postings: DataFrame) -> DataFrame:
             yield held
 
     salt = F.when(F.col("key") < 0, F.xxhash64("id")).otherwise(F.lit(0))
-    return postings.repartition("key", salt).sortWithinPartitions("key").mapInArrow(run, "key long, id long")
+    return postings.repartition("key", salt).sortWithinPartitions("key").mapInArrow(run, "key long, id long, place int")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, frequent: Broadcast) -> DataFrame:
@@ -233,8 +226,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, frequent: Broadcast) -> DataFrame:
             some = (shared.value[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool) | nameless
             b = b.filter(pa.array(some))
             out_ids, out_keys = [], []
-            for i, none, text in zip(b.column("id").to_pylist(), b.column("nameless").to_pylist(), texts_of(b), strict=True):
-                k = sh.keys(text)
+            for i, none, k in zip(b.column("id").to_pylist(), b.column("nameless").to_pylist(), sh.keys(texts_of(b)), strict=True):
                 if len(k):
                     out_ids.append(_surrogate(xxhash.xxh3_128_digest(k.tobytes())) if none else i)
                     out_keys.append(k.astype(">u8").tobytes())
@@ -247,6 +239,51 @@ def _surrogate(digest: bytes) -> int:
     return NO_ID + (int.from_bytes(digest[:8], "big") >> 2)
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _stars(rooted: DataFrame, centre) -> DataFrame:
+    centres = rooted.groupBy("key").agg(F.max_by(F.struct("id", "root"), centre).alias("x")).select("key", F.col("x.id").alias("a"), F.col("x.root").alias("ra"))
+    pairs = rooted.join(centres, "key").where("root <> ra").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
+
+
+def _central(rooted: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
+    """Each class with the one of its posting list whose keys are the most common."""
+    return _stars(rooted, F.col("rank"))
+
+
+def _least(rooted: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
+    """Each class with the least one of its posting list."""
+    return _stars(rooted, -F.col("id"))
+
+
+def _all(rooted: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
+    """All pairs of one list in different components that can link. The first key that a pair shares has at
+    least the needed overlap from its place on, in either set; later keys need not be looked at."""
+    sized = rooted.join(size_of, "id")
+    x = sized.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("place").alias("pa"))
+    y = sized.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("place").alias("pb"))
+    need = percent * (F.col("la") + F.col("lb"))
+    first = ((F.col("na") - F.col("pa")) * (100 + percent) >= need) & ((F.col("nb") - F.col("pb")) * (100 + percent) >= need)
+    return x.join(y, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & first).select("a", "b").distinct()
+
+
+def _promising(counted: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that c shared posted keys and their sizes (at most n, at least `least`) let link.
+
+    Both have posted all their keys up to the smaller of their last posted ones, so beyond the c shared keys
+    they share at most the rest of one of the two: |x & y| <= c + max(|x| - posted, |y| - posted).
+    """
+    sized = counted.join(size_of.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("least").alias("la")), "a")
+    sized = sized.join(size_of.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb")), "b")
+    fits = (100 * F.col("nb") >= percent * F.col("la")) & (100 * F.col("na") >= percent * F.col("lb"))
+    unposted = F.ceil(F.lit(percent) * F.greatest("na", "nb") / 100) - 1
+    enough = (F.col("c") + unposted) * (100 + percent) >= percent * (F.col("la") + F.col("lb"))
+    return sized.where(fits & enough).select("a", "b")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
 
@@ -280,28 +317,33 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     surrogate = F.lit(NO_ID) + F.shiftrightunsigned(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long"), 2)
     named = rows.withColumn("id", F.coalesce(F.col("doc_id"), surrogate))
     classes = named.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("n").alias("n"))
-    live = materialize(_shared(_postings(classes)).distinct(), "postings")
-    centres = live.groupBy("key").agg(F.min("id").alias("a"))
-    stars = live.join(centres, "key").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    pairs = materialize(stars, "pairs")
-    ids = live.select("id").distinct()
-    sets = materialize(_sets_of(docs, ids, frequent), "members")
-    links = materialize(_verified(pairs, sets, percent), "links")
-    roots = components(links)
-    # what the stars have left: pairs of a list in different components, of sizes that can link
-    sized = named.where("n > 0").groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("least"))
-    about = ids.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").join(sized, "id").select("id", F.coalesce("root", "id").alias("root"), "n", "least")
-    rooted = live.join(about, "id")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-    open_ = rooted.join(mixed, "key", "left_semi")
-    x = open_.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("least").alias("la"))
-    y = open_.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("least").alias("lb"))
-    fits = (100 * F.col("nb") >= percent * F.col("la")) & (100 * F.col("na") >= percent * F.col("lb"))
-    rest = x.join(y, "key").where((F.col("ra") < F.col("rb")) & fits).select("a", "b").distinct()
-    rest = rest.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = materialize(_verified(rest, sets, percent), "links")
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    live = materialize(_shared(_postings(classes)), "postings")
+    size_of = materialize(named.where("n > 0").groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("least")).join(live.select("id").distinct(), "id", "left_semi"), "sizes")
+    # how common a class's posted keys are: of near copies, the text that the others were made from has the most
+    common = live.groupBy("key").agg(F.count("*").alias("df")).join(live, "key").groupBy("id").agg(F.avg("df").alias("score"))
+    ranked = live.join(common, "id").withColumn("rank", F.struct("score", -F.col("id")))
+    live = materialize(ranked.select("key", "id", "place", "rank"), "ranked")
+    links = roots = tried = None
+    for step in (_central, _least, _all):
+        rooted = live.withColumn("root", F.col("id"))
+        if roots is not None:
+            rooted = live.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("key", "id", "place", "rank", F.coalesce("r", "id").alias("root"))
+            mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+            rooted = rooted.join(mixed, "key", "left_semi")
+        pairs = step(rooted, size_of, percent)
+        if step is not _all:
+            pairs = _promising(pairs, size_of, percent)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        if pairs.isEmpty():
+            continue
+        found = materialize(_verified(pairs, materialize(_sets_of(docs, _ids(pairs), frequent), "members"), percent), "links")
+        links = found if links is None else links.union(found)
+        roots = components(links)
+    if roots is None:
+        roots = spark.createDataFrame([], "node long, root long")
     by_class = classes.select("digest", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     out = named.join(by_class.select("digest", F.coalesce("root", "id").alias("root")), "digest", "left")
     component = F.coalesce("root", "id")
