@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_density, id_files, ngram_join, packing, quality, secrets, token_counts
+from . import decontaminate, html_density, id_files, ngram_join, packing, quality, secrets, token_counts
 from .common import table
 
 
@@ -45,8 +45,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text", "lang")
 
 
+def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_text_density, op2_nnls_packing, op4_ngram_jaccard, op5_token_counts, op7_id_files, op8_secret_grammar, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_text_density, op2_nnls_packing, op4_ngram_jaccard, op5_token_counts, op7_id_files, op8_secret_grammar, op9_quality_rules, op10_simhash_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
