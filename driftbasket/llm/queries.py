@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_density, id_files, ngram_join, packing, quality, secrets, token_counts
+from . import context_mixing, decontaminate, html_density, id_files, ngram_join, packing, quality, secrets, token_counts
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=75)
 
@@ -50,7 +54,7 @@ def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_text_density, op2_nnls_packing, op4_ngram_jaccard, op5_token_counts, op7_id_files, op8_secret_grammar, op9_quality_rules, op10_simhash_windows)}
+    return {f.__name__: f for f in (op1_text_density, op2_nnls_packing, op3_context_mixing, op4_ngram_jaccard, op5_token_counts, op7_id_files, op8_secret_grammar, op9_quality_rules, op10_simhash_windows)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -51,6 +51,12 @@ def hashed_words(texts: list[str], size: int = 1 << 19) -> Iterator[tuple[np.nda
 
 
 def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    words, counts, _, _, _ = located_words(texts)
+    return words, counts
+
+
+def located_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, words per text, the texts' joined bytes, and where each word starts and ends there."""
     octets = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     white = _IS_WHITE[octets]
     edges = np.flatnonzero(white[1:] != white[:-1]) + 1
@@ -62,4 +68,4 @@ def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = mixed((sums[ends] - sums[starts]) * _power(_INVERSE, len(octets) + 1)[starts])
     bounds = np.cumsum([len(t) + 1 for t in texts])
     counts = np.diff(np.concatenate([[0], np.searchsorted(starts, bounds)]))
-    return words, counts
+    return words, counts, octets, starts, ends
