@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontaminate, html_density, id_files, ngram_join, packing, quality, secrets, token_counts
+from . import context_mixing, decontaminate, html_density, id_files, ngram_join, packing, quality, secrets, token_counts, warc
 from .common import table
 
 
@@ -33,6 +33,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op6_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(*warc.page_captures(table(spark, sf_dir, "pages")))
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "; ")
+    return out.select(F.col("record_id").alias("page_id"), "canonical", F.col("ts").alias("revisit_ts"), "response_id", "response_ts", "status", listed.alias("headers"))
+
+
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = id_files.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return id_files.read_ids(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -54,8 +60,8 @@ def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_text_density, op2_nnls_packing, op3_context_mixing, op4_ngram_jaccard, op5_token_counts, op7_id_files, op8_secret_grammar, op9_quality_rules, op10_simhash_windows)}
+    return {f.__name__: f for f in (op1_text_density, op2_nnls_packing, op3_context_mixing, op4_ngram_jaccard, op5_token_counts, op6_revisits, op7_id_files, op8_secret_grammar, op9_quality_rules, op10_simhash_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_revisits": warc.ORACLE_SQL}
