@@ -7,9 +7,8 @@ few documents have come first, by hash; the most frequent ones come last, rarest
 1. Documents of equal sets form a class; its smallest doc_id stands for it.
 2. Two sets with J >= t share one of the first |x| - ceil(t |x|) + 1 elements of either (prefix filter), so
    only these are posted; postings whose shingle no other class has are dropped in one streaming scan.
-3. Star rounds: each posted class is verified against one class of each of its posting lists, the most
-   central one, then the least one, and links are joined to components. At last all pairs of one list that
-   still lie in different components are verified. Sizes, places in the sets and the number of shared
+3. Star round: each posted class is verified against the least class of its posting lists, and links are
+   joined to components. Then all pairs of one list that still lie in different components are verified. Sizes, places in the sets and the number of shared
    postings bound the overlap, and pairs that can't reach it are left out.
    So a large group of near copies costs links in proportion to its size, and no pair is left out:
    a pair in one component needs no link of its own.
@@ -243,23 +242,14 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _stars(rooted: DataFrame, centre) -> DataFrame:
-    centres = rooted.groupBy("key").agg(F.max_by(F.struct("id", "root"), centre).alias("x")).select("key", F.col("x.id").alias("a"), F.col("x.root").alias("ra"))
-    pairs = rooted.join(centres, "key").where("root <> ra").select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
+def _stars(rooted: DataFrame, size_of: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Each class with the least one of its posting list, if the keys they share in such lists are enough."""
+    centres = rooted.groupBy("key").agg(F.min_by("root", "id").alias("ra"), F.min("id").alias("a"))
+    pairs = rooted.join(centres, "key").where("root <> ra").select("a", F.col("id").alias("b"))
+    return _promising(pairs.groupBy("a", "b").agg(F.count("*").alias("c")), size_of, percent)
 
 
-def _central(rooted: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
-    """Each class with the one of its posting list whose keys are the most common."""
-    return _stars(rooted, F.col("rank"))
-
-
-def _least(rooted: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
-    """Each class with the least one of its posting list."""
-    return _stars(rooted, -F.col("id"))
-
-
-def _all(rooted: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
+def _all(rooted: DataFrame, size_of: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """All pairs of one list in different components that can link. The first key that a pair shares has at
     least the needed overlap from its place on, in either set; later keys need not be looked at."""
     sized = rooted.join(size_of, "id")
@@ -267,7 +257,23 @@ def _all(rooted: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
     y = sized.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("place").alias("pb"))
     need = percent * (F.col("la") + F.col("lb"))
     first = ((F.col("na") - F.col("pa")) * (100 + percent) >= need) & ((F.col("nb") - F.col("pb")) * (100 + percent) >= need)
-    return x.join(y, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & first).select("a", "b").distinct()
+    pairs = x.join(y, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & first).select("a", "b").distinct()
+    posted = classes.select("id", "n", "prefix")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x, y, nx, ny, px, py in zip(*(b.column(c).to_pylist() for c in ("a", "b", "na", "nb", "pa", "pb")), strict=True):
+                px, py = np.frombuffer(px, np.uint64), np.frombuffer(py, np.uint64)
+                c = len(np.intersect1d(px, py, assume_unique=True))
+                # all that both have up to the smaller last key is posted; beyond it one has only so many left
+                kx, ky = np.searchsorted(px, py[-1], "right"), np.searchsorted(py, px[-1], "right")
+                out.append(c + min(nx - kx, ny - ky) >= least_overlap(nx, ny, percent))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(out, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    right = pairs.join(posted.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
+    both = right.join(posted.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _promising(counted: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
@@ -319,22 +325,16 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = named.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("n").alias("n"))
     live = materialize(_shared(_postings(classes)), "postings")
     size_of = materialize(named.where("n > 0").groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("least")).join(live.select("id").distinct(), "id", "left_semi"), "sizes")
-    # how common a class's posted keys are: of near copies, the text that the others were made from has the most
-    common = live.groupBy("key").agg(F.count("*").alias("df")).join(live, "key").groupBy("id").agg(F.avg("df").alias("score"))
-    ranked = live.join(common, "id").withColumn("rank", F.struct("score", -F.col("id")))
-    live = materialize(ranked.select("key", "id", "place", "rank"), "ranked")
     links = roots = tried = None
-    for step in (_central, _least, _all):
+    for step in (_stars, _all):
         rooted = live.withColumn("root", F.col("id"))
         if roots is not None:
-            rooted = live.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("key", "id", "place", "rank", F.coalesce("r", "id").alias("root"))
+            rooted = live.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("key", "id", "place", F.coalesce("r", "id").alias("root"))
             mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
             rooted = rooted.join(mixed, "key", "left_semi")
-        pairs = step(rooted, size_of, percent)
-        if step is not _all:
-            pairs = _promising(pairs, size_of, percent)
+        pairs = step(rooted, size_of, classes, percent)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")  # a < b in either
         pairs = materialize(pairs, "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         if pairs.isEmpty():
