@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, texts_of
 from .word_hashes import hashed_words, mixed
-from .components import components
+from ..operators.components import components
 
 N = 5
 #: Surrogate ids of classes without any doc_id start here.

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from driftbasket.llm import ngram_join, queries
 from driftbasket.llm.common import words_of
-from driftbasket.llm.components import components
+from driftbasket.operators.components import components
 from fixtures import EDGE_TEXTS, edge_docs, empty_docs
 
 
