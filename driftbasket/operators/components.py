@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..scratch import materialize
 
 
 def _least(both: DataFrame) -> DataFrame:
