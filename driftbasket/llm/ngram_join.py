@@ -202,28 +202,46 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.repartition("key", salt).sortWithinPartitions("key").mapInArrow(run, "key long, id long, place int")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, frequent: Broadcast) -> DataFrame:
-    """(id, keys) of the documents whose doc_id is in ids(id); keys as big-endian bytes, so that they sort as sets.
+def _slot():
+    return F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
 
-    A bitmap of fixed size, broadcast, keeps most other texts from being read any further; the join is exact.
-    """
-    spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
-    words = ids.select(F.shiftright(slot, 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 32).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+
+def _marks(ids: DataFrame) -> Broadcast:
+    """A bitmap of fixed size with a bit for each id's slot."""
+    words = ids.select(F.shiftright(_slot(), 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (_slot() % 32).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
     bitmap = np.zeros(BITMAP_BITS // 32, np.uint32)
     for w, bits in words.toLocalIterator():
         bitmap[w] = bits
-    shared = spark.sparkContext.broadcast(bitmap)
-    named = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("nameless"), "text")
-    named = named.withColumn("slot", slot)
+    return ids.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _is_marked(bitmap: np.ndarray, slots: pa.Array) -> np.ndarray:
+    at = slots.to_numpy().astype(np.int64)
+    return (bitmap[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)
+
+
+def _having(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is in ids(id). A bitmap keeps most others from the shuffle; the join is exact."""
+    marks, names = _marks(ids), rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = pa.array(_is_marked(marks.value, b.column("slot")))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(some) for c in names], names)
+
+    return rows.withColumn("slot", _slot()).mapInArrow(run, rows.schema).join(ids, "id", "left_semi")
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, frequent: Broadcast) -> DataFrame:
+    """(id, keys) of the documents whose doc_id is in ids(id); keys as big-endian bytes, so that they sort as sets."""
+    marks = _marks(ids)
+    named = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("nameless"), "text").withColumn("slot", _slot())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sh = Shingler(frequent.value)
         for b in batches:
-            at = b.column("slot").to_numpy().astype(np.int64)
             nameless = np.array(b.column("nameless").to_pylist(), bool)
-            some = (shared.value[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool) | nameless
-            b = b.filter(pa.array(some))
+            b = b.filter(pa.array(_is_marked(marks.value, b.column("slot")) | nameless))
             out_ids, out_keys = [], []
             for i, none, k in zip(b.column("id").to_pylist(), b.column("nameless").to_pylist(), sh.keys(texts_of(b)), strict=True):
                 if len(k):
@@ -231,7 +249,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, frequent: Broadcast) -> DataFrame:
                     out_keys.append(k.astype(">u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out_keys, pa.binary())], ["id", "keys"])
 
-    return named.select("id", "nameless", "text", "slot").mapInArrow(run, "id long, keys binary").join(ids, "id", "left_semi").distinct()
+    return named.mapInArrow(run, "id long, keys binary").join(ids, "id", "left_semi").distinct()
 
 
 def _surrogate(digest: bytes) -> int:
@@ -242,14 +260,14 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _stars(rooted: DataFrame, size_of: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _stars(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Each class with the least one of its posting list, if the keys they share in such lists are enough."""
     centres = rooted.groupBy("key").agg(F.min_by("root", "id").alias("ra"), F.min("id").alias("a"))
     pairs = rooted.join(centres, "key").where("root <> ra").select("a", F.col("id").alias("b"))
     return _promising(pairs.groupBy("a", "b").agg(F.count("*").alias("c")), size_of, percent)
 
 
-def _all(rooted: DataFrame, size_of: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _all(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """All pairs of one list in different components that can link. The first key that a pair shares has at
     least the needed overlap from its place on, in either set; later keys need not be looked at."""
     sized = rooted.join(size_of, "id")
@@ -258,7 +276,8 @@ def _all(rooted: DataFrame, size_of: DataFrame, classes: DataFrame, percent: int
     need = percent * (F.col("la") + F.col("lb"))
     first = ((F.col("na") - F.col("pa")) * (100 + percent) >= need) & ((F.col("nb") - F.col("pb")) * (100 + percent) >= need)
     pairs = x.join(y, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & first).select("a", "b").distinct()
-    posted = classes.select("id", "n", "prefix")
+    pairs = materialize(pairs, "candidates")
+    posted = materialize(_having(rows.where("n > 0").select("id", "n", "prefix"), _ids(pairs)).dropDuplicates(["id", "n", "prefix"]), "posted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -332,7 +351,7 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
             rooted = live.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("key", "id", "place", F.coalesce("r", "id").alias("root"))
             mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
             rooted = rooted.join(mixed, "key", "left_semi")
-        pairs = step(rooted, size_of, classes, percent)
+        pairs = step(rooted, size_of, named, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")  # a < b in either
         pairs = materialize(pairs, "pairs")
