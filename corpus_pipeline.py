@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; references of the languages come from good labelled documents."""
     references = rules.fit_references(docs, table(spark, sf_dir, "labels"))
-    return rules.quality(docs, references).where("kept").select(*docs.columns)
+    return rules.keep(docs, references)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

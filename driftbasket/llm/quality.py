@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from .common import let
 
 WHITE = r"\x20\x09-\x0D"
-#: Character classes: what stays when the others are removed; the last class is what is left.
-CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "white": f"[{WHITE}]+", "ascii_other": r"[!-/:-@\[-`{-~]+"}
+#: Character classes, in this order: a-z, A-Z, 0-9, white space, other ASCII, the rest.
+N_CLASSES = 6
+SYMBOLS = r"[#*$%&|<>]+"
 
 
 @dataclass(frozen=True)
@@ -44,10 +45,19 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{WHITE}]+"), "")
 
 
-def class_counts(text: Column) -> list[Column]:
-    n = F.length(text)
-    counts = [n - F.length(F.regexp_replace(text, p, "")) for p in CLASSES.values()]
-    return [*counts, n - sum(counts[1:], counts[0])]
+def char_counts(text: Column) -> Column:
+    """Array of the classes' counts, then that of SYMBOLS. Only the first pattern reads the whole text, the others
+    what is left of it."""
+    without = lambda x, p: F.regexp_replace(x, p, "")
+
+    def rest(r: Column) -> Column:  # neither lower case nor white space
+        def last(o: Column) -> Column:
+            upper, digit, other = (F.length(r) - F.length(without(r, p)) for p in ("[A-Z]+", "[0-9]+", r"[!-/:-@\[-`{-~]+"))
+            return F.array(F.length(text) - F.length(o), upper, digit, F.length(o) - F.length(r), other, F.length(r) - upper - digit - other, F.length(r) - F.length(without(r, SYMBOLS)))
+
+        return last
+
+    return let(without(text, "[a-z]+"), lambda o: let(without(o, f"[{WHITE}]+"), lambda r: rest(r)(o)))
 
 
 def js_distance(p: list[Column], q: list[float]) -> Column:
@@ -84,14 +94,13 @@ def fit_references(docs: DataFrame, labels: DataFrame, sample: int = 4000, commo
     `languages` languages, those with the most of them."""
     good = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(good), "doc_id").select("lang", "text")
-    counts = class_counts(F.col("text"))
-    per_class = rows.select("lang", *(c.alias(f"c{k}") for k, c in enumerate(counts)))
-    sums = per_class.groupBy("lang").agg(F.count("*").alias("n"), *(F.sum(f"c{k}").alias(f"c{k}") for k in range(len(counts))))
+    per_class = rows.select("lang", char_counts(F.col("text")).alias("c"))
+    sums = per_class.groupBy("lang").agg(F.count("*").alias("n"), *(F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(N_CLASSES)))
     classes = {}
     for r in sums.orderBy(F.desc("n"), "lang").limit(languages).collect():
-        total = sum(r[f"c{k}"] for k in range(len(counts)))
+        total = sum(r[f"c{k}"] for k in range(N_CLASSES))
         if total:
-            classes[r["lang"]] = [r[f"c{k}"] / total for k in range(len(counts))]
+            classes[r["lang"]] = [r[f"c{k}"] / total for k in range(N_CLASSES)]
     seen = rows.where(F.col("lang").isin(list(classes))).select("lang", F.explode(word_array(F.col("text"))).alias("word")).groupBy("lang", "word").count()
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     top = seen.select("lang", "word", "count", F.sum("count").over(Window.partitionBy("lang")).alias("total"), F.row_number().over(order).alias("k"))
@@ -128,6 +137,32 @@ def _by_language(lang: Column, per: dict[str, Column]) -> Column:
     return out.otherwise(other)
 
 
+def _line_copies(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda s: s.rlike(f"[^{WHITE}]"))
+    return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+
+
+def _failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
+
+
+def _class_distance(text: Column, counts: Column, lang: Column, references: References, limits: Limits) -> Column:
+    n = F.length(text)
+    shares = F.transform(F.slice(counts, 1, N_CLASSES), lambda x: x / n)
+    own = lambda s: _by_language(lang, {name: js_distance([F.element_at(s, k + 1) for k in range(N_CLASSES)], q) for name, q in references.classes.items()})
+    return F.when(n >= limits.min_chars, let(shares, own)).otherwise(F.lit(0.0))
+
+
+def _words_distance(words: Column, lang: Column, references: References, limits: Limits) -> Column:
+    n = F.size(words)
+    per = {name: _word_distance(words, n, common) for name, common in references.words.items()}
+    return F.when(n >= limits.min_words, _by_language(lang, per)).otherwise(F.lit(0.0))
+
+
+def _near(c: Column, w: Column, limits: Limits) -> Column:
+    return (c <= limits.class_distance) & (w <= limits.word_distance) & ((c <= limits.joint_class_distance) | (w <= limits.joint_word_distance))
+
+
 def quality(docs: DataFrame, references: References, limits: Limits = Limits()) -> DataFrame:
     """docs(doc_id, text, lang, ...) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance and kept; the columns of docs stay in front.
@@ -137,30 +172,28 @@ def quality(docs: DataFrame, references: References, limits: Limits = Limits())
     docs that have the names of results are replaced; an empty table gives an empty one.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
-    t, w, lang = F.col("_t"), F.col("_w"), F.col("lang")
-    lines = lambda x: F.filter(F.split(x, "\n"), lambda s: s.rlike(f"[^{WHITE}]"))
-    base = docs.select(*(c for c in docs.columns if c not in made), F.coalesce("text", F.lit("")).alias("_t"))
-    base = base.withColumn("_w", word_array(t))
+    t, w, c, lang = F.col("_t"), F.col("_w"), F.col("_c"), F.col("lang")
+    base = docs.select(*(x for x in docs.columns if x not in made), F.coalesce("text", F.lit("")).alias("_t"))
+    base = base.withColumns({"_w": word_array(t), "_c": char_counts(t)})
     base = base.withColumns(
         {
             "n_words": F.size(w).cast("long"),
-            "word_chars": F.length(F.array_join(w, "")).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long"),
-            "n_dup_lines": let(lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+            "word_chars": (F.length(t) - F.get(c, F.lit(3))).cast("long"),
+            "n_symbols": F.get(c, F.lit(N_CLASSES)).cast("long"),
+            "n_dup_lines": _line_copies(t),
             "n_repeat_words": _repeat_words(w),
+            "class_distance": _class_distance(t, c, lang, references, limits),
+            "word_distance": _words_distance(w, lang, references, limits),
         }
     )
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    n_chars = F.length(t)
-    shares = let(F.array(*class_counts(t)), lambda c: F.transform(c, lambda x: x / n_chars))
-
-    def class_distance(s: Column) -> Column:
-        return _by_language(lang, {name: js_distance([F.element_at(s, k + 1) for k in range(len(q))], q) for name, q in references.classes.items()})
-
-    by_class = F.when(n_chars >= limits.min_chars, let(shares, class_distance)).otherwise(F.lit(0.0))
-    per_word = {name: _word_distance(w, F.col("n_words"), common) for name, common in references.words.items()}
-    by_word = F.when(F.col("n_words") >= limits.min_words, _by_language(lang, per_word)).otherwise(F.lit(0.0))
-    out = base.withColumns({"base_failed": failed, "class_distance": by_class, "word_distance": by_word}).drop("_w", "_t")
-    c, w = F.col("class_distance"), F.col("word_distance")
-    good = (c <= limits.class_distance) & (w <= limits.word_distance) & ((c <= limits.joint_class_distance) | (w <= limits.joint_word_distance))
-    return out.withColumn("kept", ~F.col("base_failed") & good)
+    base = base.withColumn("base_failed", _failed(F.col("n_words"), F.col("n_repeat_words"))).drop("_w", "_t", "_c")
+    return base.withColumn("kept", ~F.col("base_failed") & _near(F.col("class_distance"), F.col("word_distance"), limits))
+
+
+def keep(docs: DataFrame, references: References, limits: Limits = Limits()) -> DataFrame:
+    """The rows of docs that quality() keeps. The verdict is one expression whose parts are bound once, since a
+    filter would compute a column anew wherever it is named."""
+    t = F.coalesce("text", F.lit(""))
+    near = lambda w: let(F.struct(_class_distance(t, char_counts(t), F.col("lang"), references, limits).alias("c"), _words_distance(w, F.col("lang"), references, limits).alias("w")), lambda x: _near(x["c"], x["w"], limits))
+    verdict = let(word_array(t), lambda w: F.when(let(_repeat_words(w), lambda r: _failed(F.size(w), r)), F.lit(False)).otherwise(near(w)))
+    return docs.where(verdict)
