@@ -41,7 +41,7 @@ BITMAP_BITS = 1 << 24
 
 
 class Shingler:
-    """Sorted sets of order keys: the hash, or for a frequent shingle 2^63 + its rank."""
+    """Sorted sets of order keys: the hash, or for a frequent shingle 2^63 + 2^40 its rank."""
 
     def __init__(self, frequent: np.ndarray | None = None):
         hashes = np.empty(0, np.uint64) if frequent is None else frequent
@@ -74,7 +74,7 @@ class Shingler:
                 at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
                 known = self.frequent[at] == h
                 if known.any():
-                    h = np.sort(np.where(known, self.rank[at] | np.uint64(1 << 63), h))
+                    h = np.sort(np.where(known, self.rank[at] << np.uint64(40) | np.uint64(1 << 63), h))
             yield h
 
 
@@ -221,7 +221,7 @@ def _is_marked(bitmap: np.ndarray, slots: pa.Array) -> np.ndarray:
 
 
 def _having(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is in ids(id). A bitmap keeps most others from the shuffle; the join is exact."""
+    """The rows whose id is in ids(id), and few others: a bitmap tells. Joins that follow are exact."""
     marks, names = _marks(ids), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,27 +229,30 @@ def _having(rows: DataFrame, ids: DataFrame) -> DataFrame:
             some = pa.array(_is_marked(marks.value, b.column("slot")))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(some) for c in names], names)
 
-    return rows.withColumn("slot", _slot()).mapInArrow(run, rows.schema).join(ids, "id", "left_semi")
+    return rows.withColumn("slot", _slot()).mapInArrow(run, rows.schema)
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, frequent: Broadcast) -> DataFrame:
-    """(id, keys) of the documents whose doc_id is in ids(id); keys as big-endian bytes, so that they sort as sets."""
+    """(id, keys) of the documents whose doc_id is in ids(id), and of few others; keys as big-endian bytes, so that
+    they sort as sets. A task returns equal rows once."""
     marks = _marks(ids)
     named = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("nameless"), "text").withColumn("slot", _slot())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = Shingler(frequent.value)
+        sh, done = Shingler(frequent.value), set()
         for b in batches:
             nameless = np.array(b.column("nameless").to_pylist(), bool)
             b = b.filter(pa.array(_is_marked(marks.value, b.column("slot")) | nameless))
             out_ids, out_keys = [], []
             for i, none, k in zip(b.column("id").to_pylist(), b.column("nameless").to_pylist(), sh.keys(texts_of(b)), strict=True):
-                if len(k):
-                    out_ids.append(_surrogate(xxhash.xxh3_128_digest(k.tobytes())) if none else i)
+                digest = xxhash.xxh3_128_digest(k.tobytes())
+                if len(k) and (one := (i, none, digest)) not in done:
+                    done.add(one)
+                    out_ids.append(_surrogate(digest) if none else i)
                     out_keys.append(k.astype(">u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out_keys, pa.binary())], ["id", "keys"])
 
-    return named.mapInArrow(run, "id long, keys binary").join(ids, "id", "left_semi").distinct()
+    return named.mapInArrow(run, "id long, keys binary")
 
 
 def _surrogate(digest: bytes) -> int:
@@ -260,6 +263,17 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
+def _halves(posted: DataFrame) -> DataFrame:
+    """Of each posted key the leading 32 bits, in the same order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            short = [(np.frombuffer(p, np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for p in b.column("prefix").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(short, pa.binary())], ["id", "n", "prefix"])
+
+    return posted.mapInArrow(run, posted.schema)
+
+
 def _stars(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Each class with the least one of its posting list, if the keys they share in such lists are enough."""
     centres = rooted.groupBy("key").agg(F.min_by("root", "id").alias("ra"), F.min("id").alias("a"))
@@ -277,16 +291,18 @@ def _all(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -
     first = ((F.col("na") - F.col("pa")) * (100 + percent) >= need) & ((F.col("nb") - F.col("pb")) * (100 + percent) >= need)
     pairs = x.join(y, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & first).select("a", "b").distinct()
     pairs = materialize(pairs, "candidates")
-    posted = materialize(_having(rows.where("n > 0").select("id", "n", "prefix"), _ids(pairs)).dropDuplicates(["id", "n", "prefix"]), "posted")
+    posted = materialize(_halves(_having(rows.where("n > 0").select("id", "n", "prefix"), _ids(pairs))), "posted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for x, y, nx, ny, px, py in zip(*(b.column(c).to_pylist() for c in ("a", "b", "na", "nb", "pa", "pb")), strict=True):
-                px, py = np.frombuffer(px, np.uint64), np.frombuffer(py, np.uint64)
-                c = len(np.intersect1d(px, py, assume_unique=True))
-                # all that both have up to the smaller last key is posted; beyond it one has only so many left
-                kx, ky = np.searchsorted(px, py[-1], "right"), np.searchsorted(py, px[-1], "right")
+                px, py = np.frombuffer(px, "<u4"), np.frombuffer(py, "<u4")
+                at = np.minimum(np.searchsorted(py, px), len(py) - 1)
+                c = int((py[at] == px).sum())
+                # all that both have up to the smaller last key is posted; beyond it one has only so many left.
+                # Halves can only seem equal too often and stand too early, so no pair is lost.
+                kx, ky = np.searchsorted(px, py[-1]), np.searchsorted(py, px[-1])
                 out.append(c + min(nx - kx, ny - ky) >= least_overlap(nx, ny, percent))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(out, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
@@ -341,7 +357,9 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = materialize(_classes(docs, frequent, percent), "sets")
     surrogate = F.lit(NO_ID) + F.shiftrightunsigned(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long"), 2)
     named = rows.withColumn("id", F.coalesce(F.col("doc_id"), surrogate))
-    classes = named.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("n").alias("n"))
+    least = named.where("n > 0").groupBy("digest").agg(F.min("id").alias("root"))
+    copies = materialize(named.where("n > 0").select("digest", "id").join(least, "digest").where("id <> root").select("id", "digest").distinct(), "copies")
+    classes = named.where("n > 0").join(copies, ["id", "digest"], "left_anti")
     live = materialize(_shared(_postings(classes)), "postings")
     size_of = materialize(named.where("n > 0").groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("least")).join(live.select("id").distinct(), "id", "left_semi"), "sizes")
     links = roots = tried = None
@@ -363,7 +381,7 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
         roots = components(links)
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
-    by_class = classes.select("digest", "id").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+    by_class = least.select("digest", F.col("root").alias("id")).join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
     out = named.join(by_class.select("digest", F.coalesce("root", "id").alias("root")), "digest", "left")
     component = F.coalesce("root", "id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component < NO_ID, component).alias("component_id"))
