@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """For operators whose rows hold sets of a whole text: fewer rows in one Arrow batch, so that a worker and its
+    executor hold tens of MB of them. A runtime setting of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row: a lambda variable is bound, never inlined again."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, texts_of
+from .common import materialize, small_batches, texts_of
 from .word_hashes import hashed_words, mixed
 from ..operators.components import components
 
@@ -136,7 +136,7 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT, least_docs: int = 1
             for h in sh.hashes(texts_of(b)):
                 held.append(h)
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 1_500_000:
                     yield flush()
                     held, size = [], 0
         yield flush()
@@ -353,6 +353,7 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     node. Other columns are ignored; an empty table gives an empty one. Ids lie below 2^62.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
     rows = materialize(_classes(docs, frequent, percent), "sets")
     surrogate = F.lit(NO_ID) + F.shiftrightunsigned(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long"), 2)
