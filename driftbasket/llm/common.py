@@ -15,9 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """For operators whose rows hold sets of a whole text: fewer rows in one Arrow batch, so that a worker and its
-    executor hold tens of MB of them. A runtime setting of the session."""
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For operators whose rows hold whole texts or sets of them: fewer rows in one Arrow batch, so that a worker
+    and its executor hold a few MB of them. A runtime setting of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_root, texts_of
+from .common import materialize, scratch_root, small_batches, texts_of
 from .encoding import encode_text
 
 #: Fixed by the format: byte lengths of the four slots of each control byte.
@@ -103,6 +103,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | Non
     repeated ids the shorter document comes first, then the one of the smaller checksum. Other columns are
     ignored; an empty table writes no block.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = path or f"{scratch_root(spark)}/ids-{np.random.default_rng().integers(1 << 62):x}"
     ids = materialize(_tokenize(docs, tokenizer_path, end_id), "tokens")

@@ -136,7 +136,7 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT, least_docs: int = 1
             for h in sh.hashes(texts_of(b)):
                 held.append(h)
                 size += len(held[-1])
-                if size > 1_500_000:
+                if size > 1_000_000:
                     yield flush()
                     held, size = [], 0
         yield flush()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import small_batches, texts_of
 from .encoding import encode_text
 
 UNITS = 64
@@ -142,7 +142,7 @@ def _close_gaps(sequences: list[list[tuple[int, int, int]]], window: int, least_
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 4096, depth: int = 4, docs_per_shard: int = 12_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 4096, depth: int = 4, docs_per_shard: int = 6_000) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) of each piece of docs(doc_id, text, ...).
 
     `ids` are the piece's ids as little-endian uint32, `start` counts the document's ids before it. Null and
@@ -151,6 +151,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
     unless its length is a power of two. A shard holds about `docs_per_shard` documents, dealt by a hash of
     id and ids, so a task's memory is bounded; sequence ids are the shard's number x 2^32 + the number in it.
     """
+    small_batches(docs.sparkSession)
     shards = max(1, -(-docs.count() // docs_per_shard))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

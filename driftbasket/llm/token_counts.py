@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import latin
-from .common import texts_of
+from .common import small_batches, texts_of
 
 _SPACE_RUN = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
@@ -125,6 +125,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, table_size: int =
     an empty table gives an empty one. `limit`: over_limit is n_tokens > limit. The broadcast table holds
     `table_size` pieces of at most about `sample_docs` documents.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(frequent_pieces(docs, path, table_size, sample_docs))
 
