@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_root, small_batches, texts_of
+from .common import materialize, scratch_root, small_batches, texts_of, trimmed
 from .encoding import encode_text
 
 #: Fixed by the format: byte lengths of the four slots of each control byte.
@@ -75,7 +75,7 @@ def _tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 n.append(len(ids) // 2)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["doc_id", "n", "low", "high"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, low binary, high binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n long, low binary, high binary")
 
 
 def _planes(low: bytes, high: bytes) -> np.ndarray:
@@ -93,7 +93,7 @@ def _id_counts(ids: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    return ids.select("low", "high").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("low", "high").mapInArrow(trimmed(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, ids_per_bucket: int = 4_000_000, ids_per_block: int = 65_536) -> str:
@@ -151,10 +151,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | Non
             yield flush()
 
     (
-        ids.mapInArrow(encode, "bucket int, doc_id long, n long, check long, control binary, data binary")
+        ids.mapInArrow(trimmed(encode), "bucket int, doc_id long, n long, check long, control binary, data binary")
         .repartition(n_buckets, "bucket")
         .sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "n", "check")
-        .mapInArrow(block, "bucket int, seq int, doc_ids array<long>, lengths array<long>, start long, n_ids long, control binary, data binary")
+        .mapInArrow(trimmed(block), "bucket int, seq int, doc_ids array<long>, lengths array<long>, start long, n_ids long, control binary, data binary")
         .write.option("compression", "zstd")
         .parquet(f"{path}/blocks")
     )
@@ -185,4 +185,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     columns = ["bucket_start", "start", "doc_ids", "lengths", "control", "data"]
-    return placed.select(*columns).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return placed.select(*columns).mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

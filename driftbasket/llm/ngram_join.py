@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, texts_of
+from .common import materialize, small_batches, texts_of, trimmed
 from .word_hashes import hashed_words, mixed
 from ..operators.components import components
 
@@ -141,7 +141,7 @@ def frequent_shingles(docs: DataFrame, most: int = FREQUENT, least_docs: int = 1
                     held, size = [], 0
         yield flush()
 
-    counts = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
+    counts = docs.select("text").mapInArrow(trimmed(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
     return np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(most).collect()][::-1], np.uint64)
 
 
@@ -158,7 +158,7 @@ def _classes(docs: DataFrame, frequent: Broadcast, percent: int) -> DataFrame:
                 prefix.append(k[: prefix_length(len(k), percent)].tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n long, digest binary, prefix binary")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _postings(classes: DataFrame) -> DataFrame:
                 place = np.arange(len(keys)) - np.repeat(ends - n[part], n[part])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids[part], n[part]), pa.int64()), pa.array(place, pa.int32())], ["key", "id", "place"])
 
-    return classes.select("id", "prefix").mapInArrow(run, "key long, id long, place int")
+    return classes.select("id", "prefix").mapInArrow(trimmed(run), "key long, id long, place int")
 
 
 def _shared(postings: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def _shared(postings: DataFrame) -> DataFrame:
             yield held
 
     salt = F.when(F.col("key") < 0, F.xxhash64("id")).otherwise(F.lit(0))
-    return postings.repartition("key", salt).sortWithinPartitions("key").mapInArrow(run, "key long, id long, place int")
+    return postings.repartition("key", salt).sortWithinPartitions("key").mapInArrow(trimmed(run), "key long, id long, place int")
 
 
 def _slot():
@@ -229,7 +229,7 @@ def _having(rows: DataFrame, ids: DataFrame) -> DataFrame:
             some = pa.array(_is_marked(marks.value, b.column("slot")))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(some) for c in names], names)
 
-    return rows.withColumn("slot", _slot()).mapInArrow(run, rows.schema)
+    return rows.withColumn("slot", _slot()).mapInArrow(trimmed(run), rows.schema)
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, frequent: Broadcast) -> DataFrame:
@@ -252,7 +252,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, frequent: Broadcast) -> DataFrame:
                     out_keys.append(k.astype(">u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out_keys, pa.binary())], ["id", "keys"])
 
-    return named.mapInArrow(run, "id long, keys binary")
+    return named.mapInArrow(trimmed(run), "id long, keys binary")
 
 
 def _surrogate(digest: bytes) -> int:
@@ -271,7 +271,7 @@ def _halves(posted: DataFrame) -> DataFrame:
             short = [(np.frombuffer(p, np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for p in b.column("prefix").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(short, pa.binary())], ["id", "n", "prefix"])
 
-    return posted.mapInArrow(run, posted.schema)
+    return posted.mapInArrow(trimmed(run), posted.schema)
 
 
 def _stars(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -308,7 +308,7 @@ def _all(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -
 
     right = pairs.join(posted.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
     both = right.join(posted.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
-    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def _promising(counted: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
@@ -341,7 +341,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     right = pairs.join(sets.select(F.col("id").alias("b"), "keys"), "b")
     both = right.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("fixed")), "a")
-    return both.sortWithinPartitions("a", "fixed", "keys").select("a", "b", "fixed", "keys").mapInArrow(run, "a long, b long")
+    return both.sortWithinPartitions("a", "fixed", "keys").select("a", "b", "fixed", "keys").mapInArrow(trimmed(run), "a long, b long")
 
 
 def join(docs: DataFrame, percent: int = 75) -> DataFrame:

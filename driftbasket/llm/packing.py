@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of
+from .common import small_batches, texts_of, trimmed
 from .encoding import encode_text
 
 UNITS = 64
@@ -182,6 +182,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
             }
         )
 
-    tokens = docs.select("doc_id", "text").mapInArrow(tokenize, "doc_id long, ids binary")
+    tokens = docs.select("doc_id", "text").mapInArrow(trimmed(tokenize), "doc_id long, ids binary")
     shard = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)).cast("int")
     return tokens.withColumn("shard", shard).groupBy("shard").applyInPandas(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -11,6 +11,7 @@ are encoded once. Texts that hold the string of a special token go to the librar
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import latin
-from .common import small_batches, texts_of
+from .common import small_batches, texts_of, trimmed
 
 _SPACE_RUN = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
@@ -47,7 +48,8 @@ def tokenizer(path: str):
 
 @lru_cache(maxsize=4)
 def special_strings(path: str) -> tuple[str, ...]:
-    return tuple(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+    with open(path, encoding="utf-8") as f:  # without loading the library's tokenizer, which few texts need
+        return tuple(t["content"] for t in json.load(f)["added_tokens"])
 
 
 def encode_pieces(path: str, texts: list[str]) -> list[list[int]]:
@@ -140,4 +142,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, table_size: int =
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
