@@ -220,18 +220,27 @@ def _is_marked(bitmap: np.ndarray, slots: pa.Array) -> np.ndarray:
     return (bitmap[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)
 
 
-def _having(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is in ids(id), and few others: a bitmap tells. Joins that follow are exact."""
+def _having(rows: DataFrame, ids: DataFrame, wanted: bool = True) -> DataFrame:
+    """The rows whose id is in ids(id), and few others: a bitmap tells. Joins that follow are exact.
+    With wanted=False the rest of the rows, none of whose ids is in ids."""
     marks, names = _marks(ids), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            some = pa.array(_is_marked(marks.value, b.column("slot")))
+            some = pa.array(_is_marked(marks.value, b.column("slot")) == wanted)
             yield pa.RecordBatch.from_arrays([b.column(c).filter(some) for c in names], names)
 
     return rows.withColumn("slot", _slot()).mapInArrow(trimmed(run), rows.schema)
 
 
+def _except(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows (id, digest, ...) that are not in copies(id, digest). Only rows that share their id's place in the
+    bitmap with a copy and are none are joined: shipping all rows would ship all posted keys."""
+    others = materialize(_having(rows.select("id", "digest"), copies.select("id")).join(copies, ["id", "digest"], "left_anti").distinct(), "others")
+    joined = _having(rows, others.select("id")).join(others, ["id", "digest"], "left_semi")
+    return _having(rows, copies.select("id"), False).unionByName(joined)
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, frequent: Broadcast) -> DataFrame:
     """(id, keys) of the documents whose doc_id is in ids(id), and of few others; keys as big-endian bytes, so that
     they sort as sets. A task returns equal rows once."""
@@ -360,7 +369,7 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     named = rows.withColumn("id", F.coalesce(F.col("doc_id"), surrogate))
     least = named.where("n > 0").groupBy("digest").agg(F.min("id").alias("root"))
     copies = materialize(named.where("n > 0").select("digest", "id").join(least, "digest").where("id <> root").select("id", "digest").distinct(), "copies")
-    classes = named.where("n > 0").join(copies, ["id", "digest"], "left_anti")
+    classes = _except(named.where("n > 0").select("id", "digest", "prefix"), copies)
     live = materialize(_shared(_postings(classes)), "postings")
     size_of = materialize(named.where("n > 0").groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("least")).join(live.select("id").distinct(), "id", "left_semi"), "sizes")
     links = roots = tried = None
