@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, texts_of, trimmed
+from .common import discard, materialize, small_batches, texts_of, trimmed
 from .word_hashes import hashed_words, mixed
 from ..operators.components import components
 
@@ -272,25 +272,65 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _halves(posted: DataFrame) -> DataFrame:
-    """Of each posted key the leading 32 bits, in the same order."""
+def _leading(keys: np.ndarray) -> bytes:
+    """Of each big-endian key the leading three bytes, in the same order."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
+
+
+def _read_leading(octets: bytes) -> np.ndarray:
+    o = np.frombuffer(octets, np.uint8).reshape(-1, 3).astype(np.uint32)
+    return o[:, 0] << 16 | o[:, 1] << 8 | o[:, 2]
+
+
+def _shortened(sets: DataFrame) -> DataFrame:
+    """The sets (id, keys) with the leading bytes of their keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_leading(np.frombuffer(k, ">u8")) for k in b.column("keys").to_pylist()], pa.binary())], ["id", "keys"])
+
+    return sets.mapInArrow(trimmed(run), "id long, keys binary")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can link by the leading bytes of their keys. Those can only seem equal too often, so
+    no link is lost; full keys are shipped for what is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x, y in zip(b.column("fixed").to_pylist(), b.column("keys").to_pylist(), strict=True):
+                x, y = _read_leading(x), _read_leading(y)
+                # an element of either that seems to be in the other
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                out.append(int((y[at] == x).sum()) >= least_overlap(len(x), len(y), percent))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(out, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    short = _shortened(sets)
+    right = pairs.join(short.select(F.col("id").alias("b"), "keys"), "b")
+    both = right.join(short.select(F.col("id").alias("a"), F.col("keys").alias("fixed")), "a")
+    return both.select("a", "b", "fixed", "keys").mapInArrow(trimmed(run), "a long, b long").distinct()
+
+
+def _posted_short(posted: DataFrame) -> DataFrame:
+    """The posted keys' leading bytes, in the same order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            short = [(np.frombuffer(p, np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for p in b.column("prefix").to_pylist()]
+            short = [_leading(np.frombuffer(p, np.uint64).astype(">u8")) for p in b.column("prefix").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(short, pa.binary())], ["id", "n", "prefix"])
 
     return posted.mapInArrow(trimmed(run), posted.schema)
 
 
-def _stars(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _stars(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Each class with the least one of its posting list, if the keys they share in such lists are enough."""
     centres = rooted.groupBy("key").agg(F.min_by("root", "id").alias("ra"), F.min("id").alias("a"))
     pairs = rooted.join(centres, "key").where("root <> ra").select("a", F.col("id").alias("b"))
-    return _promising(pairs.groupBy("a", "b").agg(F.count("*").alias("c")), size_of, percent)
+    return _promising(pairs.groupBy("a", "b").agg(F.count("*").alias("c")), size_of, percent), []
 
 
-def _all(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+def _all(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """All pairs of one list in different components that can link. The first key that a pair shares has at
     least the needed overlap from its place on, in either set; later keys need not be looked at."""
     sized = rooted.join(size_of, "id")
@@ -300,24 +340,24 @@ def _all(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -
     first = ((F.col("na") - F.col("pa")) * (100 + percent) >= need) & ((F.col("nb") - F.col("pb")) * (100 + percent) >= need)
     pairs = x.join(y, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & first).select("a", "b").distinct()
     pairs = materialize(pairs, "candidates")
-    posted = materialize(_halves(_having(rows.where("n > 0").select("id", "n", "prefix"), _ids(pairs))), "posted")
+    posted = materialize(_posted_short(_having(rows.where("n > 0").select("id", "n", "prefix"), _ids(pairs))), "posted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for x, y, nx, ny, px, py in zip(*(b.column(c).to_pylist() for c in ("a", "b", "na", "nb", "pa", "pb")), strict=True):
-                px, py = np.frombuffer(px, "<u4"), np.frombuffer(py, "<u4")
+                px, py = _read_leading(px), _read_leading(py)
                 at = np.minimum(np.searchsorted(py, px), len(py) - 1)
                 c = int((py[at] == px).sum())
                 # all that both have up to the smaller last key is posted; beyond it one has only so many left.
-                # Halves can only seem equal too often and stand too early, so no pair is lost.
+                # Leading bytes can only seem equal too often and stand too early, so no pair is lost.
                 kx, ky = np.searchsorted(px, py[-1]), np.searchsorted(py, px[-1])
                 out.append(c + min(nx - kx, ny - ky) >= least_overlap(nx, ny, percent))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(out, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     right = pairs.join(posted.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
     both = right.join(posted.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
-    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(trimmed(run), "a long, b long").distinct()
+    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(trimmed(run), "a long, b long").distinct(), [pairs, posted]
 
 
 def _promising(counted: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
@@ -379,14 +419,17 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
             rooted = live.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("key", "id", "place", F.coalesce("r", "id").alias("root"))
             mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
             rooted = rooted.join(mixed, "key", "left_semi")
-        pairs = step(rooted, size_of, named, percent)
+        pairs, scratch = step(rooted, size_of, named, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")  # a < b in either
         pairs = materialize(pairs, "pairs")
+        discard(scratch)
         tried = pairs if tried is None else tried.union(pairs)
         if pairs.isEmpty():
             continue
-        found = materialize(_verified(pairs, materialize(_sets_of(docs, _ids(pairs), frequent), "members"), percent), "links")
+        sets = materialize(_sets_of(docs, _ids(pairs), frequent), "members")
+        found = materialize(_verified(materialize(_near(pairs, sets, percent), "near"), sets, percent), "links")
+        discard([sets])
         links = found if links is None else links.union(found)
         roots = components(links)
     if roots is None:
