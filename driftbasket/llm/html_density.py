@@ -2,9 +2,9 @@
 
 For each DOM node: C characters, T tags below it, and LC, LT of these in links. The density C / T is adjusted
 for links by the logarithm of (C / LC)(T / LT) to a base that grows with the share of link text, in the node and in
-the body. A node's sum is that of its children's densities; the subtree of the largest sum holds the
-article. The least density on the path from it up to the body is the threshold: where the body itself has the
-largest sum, its children below the threshold go. Menus, forms, adverts and the like, known by their tags
+the body. A node's sum is that of its children's densities. The least density on the path from the node of the largest
+sum up to the body is the threshold: every subtree that reaches it, from the body down, holds a part of the
+article, and of each that of the largest sum is taken. Menus, forms, adverts and the like, known by their tags
 or class names, are taken out before. (Sun, Song and Liao 2011.)
 """
 
@@ -37,6 +37,9 @@ DROPPED = frozenset("nav footer aside form script style noscript iframe template
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus respond replies cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended widget toolbar pagination pager search complementary contentinfo alert paywall skip".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a sentence, a list or an article.
+INLINE = HEADINGS | frozenset("b i em strong span a u small mark code br sup sub p li".split())
 #: Elements that end an open one of the same group.
 _CLOSES = {
     "li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -46,13 +49,14 @@ _SCOPE = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("tabl
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "drop")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "drop", "sum", "top")
 
     def __init__(self, tag: str, parent: Node | None, drop: bool = False):
         self.tag, self.parent, self.drop = tag, parent, drop
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = 0.0
+        self.density = self.sum = 0.0
+        self.top = self
 
 
 def parse(page: str) -> Node:
@@ -176,17 +180,83 @@ def measure(root: Node) -> list[Node]:
 def select(root: Node) -> tuple[Node, float]:
     """The subtree of the largest sum of densities, and the least density from it up to the body."""
     nodes = measure(root)
-    best, most = root, -1.0
-    for node in nodes:
-        total = sum(c.density for c in node.children if isinstance(c, Node) and not c.drop)
-        if total > most:
-            best, most = node, total
+    for node in nodes:  # a node of text alone has its own density as sum
+        below = [c for c in node.children if isinstance(c, Node) and not c.drop]
+        node.sum = sum(c.density for c in below) if any(c.tag in BLOCKS for c in below) else node.density
+        node.top = node
+    for node in reversed(nodes):
+        if node.parent is not None and node.top.sum >= node.parent.top.sum and not (node.parent.top is node.parent and node.top.sum == node.parent.sum):
+            node.parent.top = node.top
+    best = root.top
+    while best.parent is not None and best.tag in INLINE:  # a part of a sentence or a list isn't the article
+        best = best.parent
     least, node = best.density, best
     while node is not None:
         least, node = min(least, node.density), node.parent
     return best, least
 
 
+def content(root: Node) -> tuple[Node, frozenset[int]]:
+    """The smallest subtree with all marked ones, and the subtrees in it that are left out.
+
+    From the body down, of each subtree whose density reaches the threshold that of its largest sum is marked.
+    Beside marked subtrees stay headings, paragraphs and bare text; within an article element all that is not mostly
+    links. A heading in front of the marked ones, if they have none of the first rank, is theirs.
+    """
+    best, threshold = select(root)
+    marked, todo = {id(best)}, [root]
+    found = [best]
+    while todo:
+        node = todo.pop()
+        if id(node) in marked or node.density < threshold or not node.chars:
+            continue
+        top = node.top
+        while top is not node and top.tag in INLINE:
+            top = top.parent
+        if id(top) not in marked:
+            marked.add(id(top))
+            found.append(top)
+        if top is not node:
+            todo += [c for c in node.children if isinstance(c, Node) and not c.drop]
+    holds: dict[int, int] = {}  # marked subtrees at or below a node
+    for node in found:
+        up: Node | None = node
+        while up is not None:
+            holds[id(up)] = holds.get(id(up), 0) + 1
+            up = up.parent
+    low = best
+    while holds[id(low)] < len(found):
+        low = low.parent
+    up = low
+    while up is not None:
+        low, up = (up if up.tag == "article" else low), up.parent
+    while low.parent is not None and not any(n.tag == "h1" for n in _nodes(low)) and _titled(low):
+        low = low.parent
+    skip: list[int] = []
+    walk = [(low, low.tag == "article")]
+    while walk:
+        node, article = walk.pop()
+        if id(node) in marked:
+            continue
+        for c in node.children:
+            if isinstance(c, Node) and not c.drop:
+                if id(c) in holds:
+                    walk.append((c, article or c.tag == "article"))
+                elif c.density < threshold and c.tag not in INLINE and not (article and c.chars > 2 * c.link_chars):
+                    skip.append(id(c))
+    return low, frozenset(skip)
+
+
+def _titled(node: Node) -> bool:
+    """A heading stands before it."""
+    for c in node.parent.children:
+        if c is node:
+            return False
+        if isinstance(c, Node) and not c.drop and c.tag in HEADINGS:
+            return True
+    return False
+
+
 def text_below(node: Node, skip: frozenset[int] = frozenset()) -> str:
     out: list[str] = []
     todo: list[Node | str] = [node]
@@ -207,15 +277,7 @@ def text_below(node: Node, skip: frozenset[int] = frozenset()) -> str:
 def extract(page: str | None) -> str:
     if not page:
         return ""
-    root = parse(page)
-    best, threshold = select(root)
-    skip: frozenset[int] = frozenset()
-    inline = ("b", "i", "em", "strong", "span", "a", "u", "small", "mark", "code", "br", "sup", "sub", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
-    while best.parent is not None and best.tag in inline:  # a part of a sentence or a list isn't the article
-        best = best.parent
-    if best.parent is None:
-        skip = frozenset(id(c) for c in best.children if isinstance(c, Node) and c.density < threshold and c.tag not in ("h1", "h2", "h3", "p", *inline))
-    return text_below(best, skip)
+    return text_below(*content(parse(page)))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

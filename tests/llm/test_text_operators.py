@@ -37,6 +37,34 @@ def test_odd_pages(page, text):
     assert html_density.extract(page) == text
 
 
+def _words(tag, n, word):
+    return f"<{tag}>" + (word + " ") * (n // (len(word) + 1)) + f"</{tag}>"
+
+
+def _plain(page):
+    return " ".join(re.sub(r"<[^>]+>", " ", page).split())
+
+
+TITLE = "<h1>A title of it</h1>"
+SECTION = "<section><h2>Part {0}</h2>" + "".join(_words("p", 300, "{0}" + w) for w in ("one", "two", "six", "ten")) + "</section>"
+LIST = "<ul>" + "".join(_words("li", 80, f"item{k}") for k in range(20)) + "</ul>"
+TABLE = "<table>" + "".join("<tr>" + _words("td", 30, f"c{k}") * 4 + "</tr>" for k in range(100)) + "</table>"
+SMALL = "<section><table>" + "".join(f"<tr><td>a{k}</td><td>b{k}</td></tr>" for k in range(10)) + "</table></section>"
+LINKS = "<div>" + "".join(f"<div><a href=/{k}>somewhere else {k}</a></div>" for k in range(12)) + "</div>"
+
+
+@pytest.mark.parametrize("body", [TITLE + SECTION.format("x") + SECTION.format("y"), TITLE + _words("p", 300, "text") * 3 + LIST, TITLE + _words("p", 300, "text") * 3 + TABLE, TITLE + SECTION.format("x") + SECTION.format("y") + LIST + TABLE])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<div><div>{}</div></div>", "{}", "<div>" + LINKS + "<div>{}</div></div>"])
+def test_all_parts_of_an_article(body, wrap):
+    assert html_density.extract("<html><body>" + wrap.format(body) + LINKS + "</body></html>") == _plain(body)
+
+
+def test_sparse_parts_of_an_article():
+    body = TITLE + SECTION.format("x") + SMALL
+    assert html_density.extract(f"<body><article>{body}{LINKS}</article></body>") == _plain(body)
+    assert html_density.extract(f"<body><div>{TITLE}<div>{_words('p', 300, 'text') * 4}</div></div>{LINKS}</body>") == _plain(TITLE + _words("p", 300, "text") * 4)
+
+
 def test_pages_query(spark, sf_dir):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = queries.op1_text_density(spark, sf_dir).collect()
