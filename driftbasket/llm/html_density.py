@@ -5,7 +5,7 @@ for links by the logarithm of (C / LC)(T / LT) to a base that grows with the sha
 the body. A node's sum is that of its children's densities. The least density on the path from the node of the largest
 sum up to the body is the threshold: every subtree that reaches it, from the body down, holds a part of the
 article, and of each that of the largest sum is taken. Menus, forms, adverts and the like, known by their tags
-or class names, are taken out before. (Sun, Song and Liao 2011.)
+or class names, are taken out before, unless they wrap the main content. (Sun, Song and Liao 2011.)
 """
 
 from __future__ import annotations
@@ -31,12 +31,18 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Taken out with all below them.
+#: Taken out with all below them, unless spare() finds that they wrap the main content.
 DROPPED = frozenset("nav footer aside form script style noscript iframe template svg math button select option textarea title head dialog menu object embed canvas audio video input label search".split())
 #: Words in a class, id or role that mark what is no article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus respond replies cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended widget toolbar pagination pager search complementary contentinfo alert paywall skip".split()
 )
+#: Those of DROPPED that may wrap the main content.
+WRAPPERS = frozenset("nav footer aside form menu dialog search".split())
+#: Why a node goes: by all means; by its tag or a whole name; by a part of a name, or as a form.
+HARD, BY_TAG, BY_PART = 1, 2, 3
+#: Of the main content, what a node must hold more than to stay nevertheless.
+SHARE = {BY_TAG: 0.9, BY_PART: 0.5}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of a sentence, a list or an article.
 INLINE = HEADINGS | frozenset("b i em strong span a u small mark code br sup sub p li".split())
@@ -49,12 +55,13 @@ _SCOPE = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("tabl
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "drop", "sum", "top")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "drop", "named", "text", "sum", "top")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
+    def __init__(self, tag: str, parent: Node | None, drop: int = 0):
         self.tag, self.parent, self.drop = tag, parent, drop
         self.children: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.named = False
+        self.text = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
         self.top = self
 
@@ -92,6 +99,7 @@ def parse(page: str) -> Node:
         if tag in _CLOSES:
             now = _close(now, _CLOSES[tag], _SCOPE.get(tag, ()))
         node = Node(tag, now, _dropped(tag, m[3], now))
+        node.named = tag == "article" and _named(m[3]) > 0
         now.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
@@ -122,23 +130,80 @@ def _close(now: Node, tags: tuple[str, ...], scope: tuple[str, ...]) -> Node:
     return now
 
 
-def _dropped(tag: str, attributes: str, parent: Node) -> bool:
+def _dropped(tag: str, attributes: str, parent: Node) -> int:
+    """0: stays; otherwise HARD, or BY_TAG or BY_PART, about which spare() has the last word."""
     if tag in DROPPED:
-        return True
+        return (BY_PART if tag == "form" else BY_TAG) if tag in WRAPPERS else HARD
     if tag == "header":
         while parent is not None:
             if parent.tag in ("article", "main"):
-                return False
+                return 0
             parent = parent.parent
-        return True
+        return BY_TAG
     if not attributes or tag in ("article", "main"):
-        return False
+        return 0
     if _HIDDEN.search(attributes):
-        return True
+        return HARD
+    return _named(attributes)
+
+
+def _named(attributes: str) -> int:
+    """BY_TAG if a whole name is a mark, BY_PART if a part of one is ("with-sidebar")."""
+    out = 0
     for m in _NAMES.finditer(attributes):
-        if not MARKS.isdisjoint(_SPLIT.split((m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            if name in MARKS:
+                return BY_TAG
+            if not MARKS.isdisjoint(_SPLIT.split(name)):
+                out = BY_PART
+    return out
+
+
+def spare(root: Node) -> None:
+    """Keep what would go by its name or tag but wraps the main content: more than SHARE of what main elements
+    hold, or without them article elements, or without both of all text outside links; in an article or main element,
+    of what that holds. If nothing at all would be left, the node with the most text outside links stays."""
+    nodes, todo = [], [(root, root, False)]
+    base: list[Node] = []
+    links: list[bool] = []
+    while todo:
+        node, b, link = todo.pop()
+        link = link or node.tag == "a"
+        nodes.append(node)
+        base.append(b)
+        links.append(link)
+        inner = node if node.tag in ("article", "main") else b
+        todo += [(c, inner, link) for c in reversed(node.children) if isinstance(c, Node) and c.drop != HARD]
+    soft = any(n.drop for n in nodes)
+    held: dict[int, list[int]] = {id(n): [0, 0, 0] for n in nodes}  # outside links: all text, that in articles, in main
+    for node, link in zip(reversed(nodes), reversed(links), strict=True):
+        node.text = sum(len(_WHITE.sub(" ", html.unescape(c)).strip()) for c in node.children if isinstance(c, str))
+        if not soft:
+            continue
+        h = held[id(node)]
+        h[0] += 0 if link else node.text
+        if node.tag == "article" and not node.named:
+            h[1] = h[0]
+        elif node.tag == "main":
+            h[2] = h[0]
+        if node.parent is not None:
+            up = held[id(node.parent)]
+            for k in range(3):
+                up[k] += h[k]
+    if not soft:
+        return
+    for node, b in zip(nodes, base, strict=True):
+        if node.drop:
+            whole, h = held[id(b)], held[id(node)]
+            k = 0 if b.tag == "article" else 1 if b.tag == "main" and whole[1] else 2 if b is root and whole[2] else 1 if b is root and whole[1] else 0
+            if h[k] > SHARE[node.drop] * whole[k]:
+                node.drop = 0
+    kept = _nodes(root)
+    if not any(n.text for n in kept):
+        stay = {id(n) for n in kept}
+        edge = [n for n in nodes if n.drop and id(n.parent) in stay and held[id(n)][0]]
+        if edge:
+            max(edge, key=lambda n: held[id(n)][0]).drop = 0
 
 
 def _nodes(root: Node) -> list[Node]:
@@ -152,15 +217,15 @@ def _nodes(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> list[Node]:
+    spare(root)
     nodes = _nodes(root)
     inside = {id(root): False}
     for node in nodes[1:]:
         inside[id(node)] = node.tag == "a" or inside[id(node.parent)]
     for node in reversed(nodes):
-        text = sum(len(_WHITE.sub(" ", html.unescape(c)).strip()) for c in node.children if isinstance(c, str))
-        node.chars += text
+        node.chars += node.text
         if inside[id(node)]:
-            node.link_chars += text
+            node.link_chars += node.text
         if node.parent is not None:
             up = node.parent
             up.chars += node.chars

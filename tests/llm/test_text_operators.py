@@ -65,6 +65,26 @@ def test_sparse_parts_of_an_article():
     assert html_density.extract(f"<body><div>{TITLE}<div>{_words('p', 300, 'text') * 4}</div></div>{LINKS}</body>") == _plain(TITLE + _words("p", 300, "text") * 4)
 
 
+ARTICLE = TITLE + _words("p", 300, "text") * 4
+NAV = "<nav><ul><li><a href=/>Home page</a></li></ul></nav><div class=sidebar><p>side side</p></div><footer>&copy; of it</footer>"
+
+
+@pytest.mark.parametrize("open_,close", [("<div class='content with-sidebar'>", "</div>"), ('<div class="page has-comments">', "</div>"), ("<div id=search-page>", "</div>"), ("<form method=post id=aspnetForm>", "</form>"), ("<div class=search>", "</div>"), ("<aside>", "</aside>")])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main><div>{}</div></main>"])
+def test_wrappers_known_by_name(open_, close, inner):
+    assert html_density.extract(f"<body>{open_}{NAV}{inner.format(ARTICLE)}{close}</body>") == _plain(ARTICLE)
+    assert html_density.extract(f"<body>{NAV}<main>{open_}{inner.replace('main', 'div').format(ARTICLE)}{close}</main></body>") == _plain(ARTICLE)
+
+
+def test_boilerplate_still_goes():
+    comments = "<section class=comments>" + "".join(f"<article class=comment-body><p>{'nice ' * 90}{k}</p></article>" for k in range(8)) + "</section>"
+    related = "<div class=related-posts>" + "".join(f"<article><h3>other {k}</h3><p>{'teaser ' * 9}</p></article>" for k in range(6)) + "</div>"
+    for page in (f"<article>{ARTICLE}</article>{comments}{related}", f"<main><div>{ARTICLE}</div>{comments}</main>{related}", f"<article>{ARTICLE}{comments}</article>{related}", f"<div>{ARTICLE}{comments}</div>"):
+        assert html_density.extract(f"<body>{NAV}{page}</body>") == _plain(ARTICLE)
+    half = "<div class=left-banner><p>{}</p></div>"
+    assert html_density.extract(half.format("one " * 30) + half.format("two " * 30) + half.format("six " * 31)) == ("six " * 31).strip()
+
+
 def test_pages_query(spark, sf_dir):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     got = queries.op1_text_density(spark, sf_dir).collect()
