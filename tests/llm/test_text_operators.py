@@ -200,6 +200,16 @@ def test_grammar_tells_formats_apart():
     assert secrets.redact(text, g.added(text, [])) == "say [secret] now"
 
 
+def test_background_of_all_words(spark):
+    from fixtures import SCHEMA
+
+    texts = ["plain words only " * 5] * 300 + ["some words " * 10_001 + "Xy9-zz é0a", None, "ends in a word", "x" * (1 << 20) + "-7Q" + "b" * (1 << 20)]
+    want = secrets.Background(secrets.symbols(w) for t in texts for w in re.findall(r"[A-Za-z0-9+/_.=-]+", t or ""))
+    for n in (1, 7):
+        got = secrets.fit_grammar(spark.createDataFrame([(i, t, None, None, None, 1, 2, 3) for i, t in enumerate(texts)], SCHEMA).repartition(n)).background
+        assert {a: dict(c) for a, c in got.pairs.items()} == {a: dict(c) for a, c in want.pairs.items()} and got.total == want.total
+
+
 def test_secrets_of_edges(spark):
     docs = edge_docs(spark)
     g = secrets.fit_grammar(docs)
