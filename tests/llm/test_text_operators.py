@@ -200,6 +200,26 @@ def test_grammar_tells_formats_apart():
     assert secrets.redact(text, g.added(text, [])) == "say [secret] now"
 
 
+def test_every_candidate_is_scored():
+    import random
+
+    rng = random.Random(3)
+    token = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    mixed = "ghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ"
+    automaton = secrets.merge_states(secrets.prefix_tree(secrets.symbols(token(24, mixed + "0123456789")) for _ in range(300)))
+    g = secrets.Grammar({"assign": automaton}, secrets.Background(map(secrets.symbols, ["erthes", "thention", "Of", "the-version"] * 500)))
+    no_digit, short = "kQ" + token(20, mixed), token(12, "GHIJKLMN0123456789")
+    for t in (no_digit, short):
+        assert g.score(t) >= g.threshold and g.added(f"a {t} b", []) == [(2, 3, 2 + len(t))]
+    assert g.added("a " + short[:11] + " b", []) == []
+    long = "sk-Zz/0123456789abcdefQwErTyKzR0"
+    base = secrets.base_spans(f"a {long} b")
+    assert base == [(8, 2, 24)] and g.score(long) >= g.threshold and g.added(f"a {long} b", base) == [(2, 3, 2 + len(long))]
+    assert secrets.redact(f"a {long} b", base + g.added(f"a {long} b", base)) == "a [secret] b"
+    for t in ("0123456789abcdef", "token: " + no_digit, "token=" + no_digit, "AKIA" + token(20, "GHKLM0123456789")):
+        assert (found := secrets.base_spans(t)) and g.added(t, found) == []
+
+
 def test_background_of_all_words(spark):
     from fixtures import SCHEMA
 
