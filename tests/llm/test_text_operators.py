@@ -130,6 +130,27 @@ def test_scores_of_edges(spark):
     assert context_mixing.score(empty_docs(spark)).count() == 0
 
 
+def test_contexts_follow_the_words(spark):
+    """The tables against counts of every decision; with so many words they have more slots than at the least."""
+    import numpy as np
+
+    texts = [" ".join(f"w{(k + i) * 7919 % 400_000}" for k in range(8_000)) + " it is it is" for i in range(0, 400_000, 8_000)]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    m, _, _ = context_mixing.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    m = m.mapped()
+    train = [t for (i, t), h in zip(docs, context_mixing.held_out([i for i, _ in docs])) if not h]
+    distinct = len({w for t in train for w in t.split()})
+    assert m.code.word_bits > 20 and 1 << m.code.word_bits >= 4 * distinct
+    t = context_mixing.tokens_of([x.encode() for x in train])
+    d = context_mixing.decisions(t, m.code.classes(t), m.code)
+    for table, slots in zip(m.stretch, d.slots, strict=True):
+        ones, all_ = np.bincount(slots, d.bit, len(table)), np.bincount(slots, minlength=len(table))
+        got = table if table.dtype == np.float32 else table * context_mixing.STEP
+        assert np.allclose(got, np.clip(np.log((ones + 0.4) / (all_ - ones + 0.4)), -8, 8), atol=0.034)
+    seen = np.bincount(d.slots[2], minlength=1 << m.code.pair_bits)
+    assert (context_mixing.sure_of(m, np.arange(len(seen))) == (seen > 3).astype(int) + (seen > 60)).all()
+
+
 def test_class_code_is_a_code():
     import numpy as np
 
