@@ -24,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 D, K, L, SWEEPS = 0.85, 10, 20, 10
 TOLERANCE, MOST_SWEEPS = 0.05, 16
 SAMPLE, SEED = 10, "report"
+TEST_NODES = 200  # the report's own default
 WALKS, WALKERS = 40, 5
 
 
@@ -110,9 +111,9 @@ def _report_sql(strict: bool) -> str:
     return _with("flow", *_basket_sql(), *more) + f"select {_e6('avg(jaccard)')} as jaccard_average, {_e6('min(jaccard)')} as jaccard_min, {_e6('avg(kendall)')} as kendall_average, {_e6('min(kendall)')} as kendall_min, {_e6('avg(size)')} as average_map_size from jc join kn using (source)"
 
 
-def _report(spark: SparkSession, d: str, strict: bool) -> DataFrame:
+def _report(spark: SparkSession, d: str, strict: bool, sample: int = SAMPLE) -> DataFrame:
     g = graph(spark, d, "flow")
-    out = benchmark_report(baskets(g, K, L, SWEEPS, D), g, SAMPLE, strict, SEED)
+    out = benchmark_report(baskets(g, K, L, SWEEPS, D), g, sample, strict, SEED)
     return out.select(*(e6(F.col(c)).alias(c) for c in out.columns))
 
 
@@ -126,8 +127,9 @@ _WALK = [
 ]
 
 
-def _sources(g: Graph, n: int) -> DataFrame:
-    return g.vertices.orderBy("id").limit(n).select(F.col("id").alias("source"))
+def _sources(g: Graph, n: int | None) -> DataFrame:
+    """The n least ids, or without n all."""
+    return (g.vertices if n is None else g.vertices.orderBy("id").limit(n)).select(F.col("id").alias("source"))
 
 
 def _long(df: DataFrame, **to: str) -> DataFrame:
@@ -138,12 +140,13 @@ def _list(column: str) -> Column:
     return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
 
 
-def _baskets_pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two sparse vectors per source: successors by weight, and predecessors by share."""
+def _baskets_pair(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two sparse vectors per source: successors by weight, and predecessors by share; of two thirds of the edges, or
+    of the whole graph."""
     g = graph(spark, d, "bipartite")
     a = g.weights(D).select(F.col("src").alias("source"), F.col("dst").alias("node"), F.col("w").alias("score"))
     e = edges(spark, d, "bipartite")
-    b = e.where("(src + dst) % 3 <> 0").select(F.col("src").alias("source"), F.col("dst").alias("node"), (F.col("dst") / 1000.0).alias("score"))
+    b = (e if whole else e.where("(src + dst) % 3 <> 0")).select(F.col("src").alias("source"), F.col("dst").alias("node"), (F.col("dst") / 1000.0).alias("score"))
     return a, b
 
 
@@ -169,8 +172,8 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     q["keep_top_short_baskets"] = (lambda s, d: _scored(keep_top(_baskets_pair(s, d)[0], 10_000), "source", "node"), _with("bipartite", *_PAIR) + f"select source, node, {_e6('score')} as score_e6 from a")
     q["norm1_pairs"] = (lambda s, d: norm1(*_baskets_pair(s, d)).select("source", e6(F.col("norm1")).alias("norm1_e6")), _with("bipartite", *_PAIR) + f"select source, {_e6('sum(abs(coalesce(a.score, 0) - coalesce(b.score, 0)))')} as norm1_e6 from a full join b using (source, node) group by source")
 
-    def jaccard_pairs(s: SparkSession, d: str) -> DataFrame:
-        a, b = (x.groupBy("source").agg(F.collect_set("node").alias(n)) for x, n in zip(_baskets_pair(s, d), "ab", strict=True))
+    def jaccard_pairs(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+        a, b = (x.groupBy("source").agg(F.collect_set("node").alias(n)) for x, n in zip(_baskets_pair(s, d, whole), "ab", strict=True))
         return a.join(b, "source", "full").select("source", e6(jaccard(F.coalesce("a", F.array().cast("array<bigint>")), F.coalesce("b", F.array().cast("array<bigint>")))).alias("jaccard_e6"))
 
     jaccard_sql = _with("bipartite", *_PAIR) + f"select source, {_e6('count(a.node + b.node) / count(*)')} as jaccard_e6 from a full join b using (source, node) group by source"
@@ -190,9 +193,10 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     q["exact_single_fixed"] = (lambda s, d: _scored(exact_single_source(x := g(s, d), least(x), 15, D, -1.0), "node"), _with("flow", *_exact(one, 15)) + f"select node, {_e6('score')} as score_e6 from x")
     q["exact_single_converged"] = (lambda s, d: _scored(exact_single_source(x := g(s, d), least(x), 60, D, 0.02), "node"), _with("flow", *_exact(one, 60, 0.02)) + f"select node, {_e6('score')} as score_e6 from x")
 
-    def dangling_loss(s: SparkSession, d: str) -> DataFrame:
+    def dangling_loss(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
         x = g(s, d, "tree")
-        sources = x.vertices.where("id >= 1000000").orderBy("id").limit(50).select(F.col("id").alias("source"))
+        customers = x.vertices.where("id >= 1000000")
+        sources = (customers if whole else customers.orderBy("id").limit(50)).select(F.col("id").alias("source"))
         return _scored(exact_multi_source(x, sources, 10, D, 1e-4), "source", "node")
 
     q["exact_dangling_loss"] = (
@@ -230,9 +234,9 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     q["basket_converged"] = (converged, _with("flow", *_basket_sql(MOST_SWEEPS)[:-1], *steps) + f"select t.source, t.node, {_e6('t.score')} as score_e6, cast(h.n as bigint) as half_sweeps from ({_top('select * from last', K)}) t cross join h")
     q["basket_parallel"] = (lambda s, d: _scored(baskets(g(s, d), K, L, SWEEPS, D, nThreads=4), "source", "node"), fixed)
 
-    def error(s: SparkSession, d: str) -> DataFrame:
+    def error(s: SparkSession, d: str, n: int | None = WALKERS) -> DataFrame:
         x = g(s, d)
-        b, t = baskets(x, K, L, SWEEPS, D), exact_multi_source(x, _sources(x, WALKERS), 30, D, -1.0)
+        b, t = baskets(x, K, L, SWEEPS, D), exact_multi_source(x, _sources(x, n), 30, D, -1.0)
         both = b.join(t.withColumnRenamed("score", "exact"), ["source", "node"])
         return both.groupBy("source").agg(F.count("*").alias("nodes"), e6(F.sum(F.abs(F.col("score") - F.col("exact")))).alias("error_e6"))
 
@@ -249,6 +253,17 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     seen = f"select source, node, sum(n) as n, min(f) as f from (select source, source as node, {WALKS} as n, -1000000 as f from src union all select source, node, count(*), min(walk * 1000 + step) from t group by source, node) group by source, node"
     q["walk_scores"] = (lambda s, d: _scored(walk_baskets(x := g(s, d), _sources(x, WALKERS), 30, WALKS, D), "source", "node"), _with("flow", *_WALK) + f"select source, node, {_e6(f'n / {WALKS}')} as score_e6 from ({seen}) qualify row_number() over (partition by source order by f) <= 30")
     q["mc_baskets"] = (lambda s, d: _scored(monte_carlo(g(s, d), K, L, WALKS, D), "source", "node"), None)
+    # The queries above of few sources or edges, over all of them; brute force stands in for SQL, which would be too slow.
+    q["keep_top_per_source_whole"] = (lambda s, d: _scored(keep_top(_baskets_pair(s, d, True)[1], 5), "source", "node"), None)
+    q["norm1_pairs_whole"] = (lambda s, d: norm1(*_baskets_pair(s, d, True)).select("source", e6(F.col("norm1")).alias("norm1_e6")), None)
+    q["jaccard_pairs_whole"] = (lambda s, d: jaccard_pairs(s, d, True), None)
+    q["exact_dangling_loss_whole"] = (lambda s, d: dangling_loss(s, d, True), None)
+    q["exact_multi_source_whole"] = (lambda s, d: _scored(exact_multi_source(x := g(s, d), _sources(x, None), 12, D, -1.0), "source", "node"), None)
+    q["basket_vs_exact_error_whole"] = (lambda s, d: error(s, d, None), None)
+    q["benchmark_report_all_whole"] = (lambda s, d: _report(s, d, False, TEST_NODES), None)
+    q["benchmark_report_strict_whole"] = (lambda s, d: _report(s, d, True, TEST_NODES), None)
+    q["walk_trace_whole"] = (lambda s, d: _long(walk_trace(x := g(s, d), _sources(x, None), WALKS, D), source="source", walk="walk", step="step", node="node"), None)
+    q["walk_scores_whole"] = (lambda s, d: _scored(walk_baskets(x := g(s, d), _sources(x, None), 30, WALKS, D), "source", "node"), None)
     return q
 
 
