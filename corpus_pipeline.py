@@ -1,8 +1,8 @@
 """The corpus pipeline: documents to packed training sequences in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are written as Parquet
-and read again. All but the last return the columns of documents. Rows that repeat a doc_id stay or go
-together where a stage decides by id.
+and read again. All but the last return the columns of documents. Each stage decides
+by row: rows of a null or repeated doc_id are documents of their own.
 """
 
 from __future__ import annotations
@@ -23,16 +23,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.keep(docs, references)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with a key of each row in _row, written once so that it stays the same."""
+    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) for operators that go by id: the key of the row is its id."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that of the smallest id."""
-    gone = ngram_join.join(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of linked ones: that of the smallest id, a null one last, and of rows that repeat it
+    any one. Rows that link with none stay."""
+    rows = _keyed(docs)
+    groups = materialize(ngram_join.join(_by_row(rows)).select(F.col("doc_id").alias("_row"), "component_id"), "groups")
+    several = groups.where("component_id <> _row").select("component_id").distinct()
+    linked = materialize(groups.join(several, "component_id", "left_semi").join(rows.select("_row", "doc_id"), "_row"), "linked")
+    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    gone = linked.select("_row").join(first, "_row", "left_anti")
+    return rows.join(materialize(gone, "gone"), "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    gone = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that leak no benchmark item."""
+    rows = _keyed(docs)
+    gone = decontaminate.leaks(_by_row(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(materialize(gone, "gone"), "_row", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,3 +27,16 @@ def test_stages(spark, sf_dir):
     assert all(n == got for (_, n), got in total.items())
     run = corpus_pipeline.run(spark, sf_dir)
     assert sorted(map(str, run.collect())) == sorted(map(str, kept[5].collect()))
+
+
+def test_rows_of_null_and_repeated_ids(spark, sf_dir):
+    words = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    item = next(r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) >= 8)
+    kind = "doc_id long, text string, lang string"
+    texts = [(None, words(1)), (None, words(1) + " end"), (None, words(2)), (5, words(2)), (4, words(3)), (4, words(3)), (4, words(4)), (3, words(5)), (2, words(5)), (9, None), (9, ""), (None, None)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(*x, "en") for x in texts], kind).repartition(3), sf_dir).collect()
+    left = sorted((str(r.doc_id), str(r.text)[:4]) for r in got)
+    assert left == sorted([("None", "w1x0"), ("5", "w2x0"), ("4", "w3x0"), ("4", "w4x0"), ("2", "w5x0"), ("9", "None"), ("9", ""), ("None", "None")])
+    texts = [(None, item), (None, words(6)), (7, f"x {item} y"), (7, words(7)), (8, words(8)), (8, words(8))]
+    got = corpus_pipeline.decontamination(spark, spark.createDataFrame([(*x, "en") for x in texts], kind), sf_dir).collect()
+    assert sorted((str(r.doc_id), r.text[:4]) for r in got) == [("7", "w7x0"), ("8", "w8x0"), ("8", "w8x0"), ("None", "w6x0")]
