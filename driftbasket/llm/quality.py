@@ -89,15 +89,15 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n >= 6, let(let(hashed, windows), covered)).otherwise(F.lit(0)).cast("long")
 
 
-def fit_references(docs: DataFrame, labels: DataFrame, sample: int = 4000, common_words: int = 16, languages: int = 32) -> References:
-    """From at most `sample` labelled good documents (quality 1), chosen by a hash of their id; at most
-    `languages` languages, those with the most of them."""
+def fit_references(docs: DataFrame, labels: DataFrame, sample: int = 4000, common_words: int = 16, least_words: int = 500) -> References:
+    """From at most `sample` labelled good documents (quality 1), chosen by a hash of their id; of each language with
+    at least `least_words` words in them."""
     good = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(good), "doc_id").select("lang", "text")
-    per_class = rows.select("lang", char_counts(F.col("text")).alias("c"))
-    sums = per_class.groupBy("lang").agg(F.count("*").alias("n"), *(F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(N_CLASSES)))
+    per_class = rows.select("lang", char_counts(F.col("text")).alias("c"), F.size(word_array(F.col("text"))).alias("n"))
+    sums = per_class.groupBy("lang").agg(F.sum("n").alias("n"), *(F.sum(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(N_CLASSES)))
     classes = {}
-    for r in sums.orderBy(F.desc("n"), "lang").limit(languages).collect():
+    for r in sums.where(F.col("n") >= least_words).orderBy("lang").collect():
         total = sum(r[f"c{k}"] for k in range(N_CLASSES))
         if total:
             classes[r["lang"]] = [r[f"c{k}"] / total for k in range(N_CLASSES)]
@@ -126,15 +126,11 @@ def _word_distance(words: Column, n: Column, common: list[tuple[str, float]]) ->
 
 
 def _by_language(lang: Column, per: dict[str, Column]) -> Column:
-    """The document's own language's, or for an unknown one the least of all."""
-    values = list(per.values())
-    if not values:
-        return F.lit(0.0)
-    other = F.least(*values) if len(values) > 1 else values[0]
+    """The document's own language's, or for one without a reference 0."""
     out = None
     for name, value in per.items():
         out = F.when(lang == name, value) if out is None else out.when(lang == name, value)
-    return out.otherwise(other)
+    return F.lit(0.0) if out is None else out.otherwise(F.lit(0.0))
 
 
 def _line_copies(text: Column) -> Column:
@@ -167,8 +163,8 @@ def quality(docs: DataFrame, references: References, limits: Limits = Limits())
     """docs(doc_id, text, lang, ...) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, class_distance, word_distance and kept; the columns of docs stay in front.
 
-    A null text is an empty one: 0 words, not kept. A null or unknown language is held against the nearest
-    reference; without references only the plain rules decide. Repeated rows are judged each; columns of
+    A null text is an empty one: 0 words, not kept. Where a language is null or has no reference, only the
+    plain rules decide. Repeated rows are judged each; columns of
     docs that have the names of results are replaced; an empty table gives an empty one.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]

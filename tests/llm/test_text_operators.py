@@ -291,6 +291,25 @@ def test_quality(spark, sf_dir, texts):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.kept}
 
 
+def test_quality_of_languages_without_reference(spark):
+    import random
+
+    rng = random.Random(4)
+    say = lambda of, n: " ".join(rng.choice(of) for _ in range(n))
+    vocabulary = lambda k: [f"{chr(97 + k % 26)}{chr(97 + k // 26)}" + "".join(rng.choices("aeioulnrst", k=5)) for _ in range(60)]
+    many = {f"l{k:02}": vocabulary(k) for k in range(33)}
+    rows = [(k, say(of, 600), lang) for k, (lang, of) in enumerate(many.items())] + [(90, "one two " * 30 + say(many["l01"], 10), "few")]
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    capitals = [f"{chr(65 + k)}TRE" for k in range(26)] + list("ABCDEFGHIJ")
+    more = [(100, say(capitals, 200), "other"), (101, say(capitals, 200), None), (102, say(capitals, 200), "few"), (103, say(capitals, 200), "l07"), (104, say(["a b c d e f"], 40), "other")]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, lang string")
+    r = rules.fit_references(docs, labels)
+    assert set(r.classes) == set(r.words) == set(many)
+    kept = {x.doc_id: x.kept for x in rules.quality(docs.where("doc_id >= 100"), r).collect()}
+    assert kept == {100: True, 101: True, 102: True, 103: False, 104: False}
+    assert {x.doc_id for x in rules.keep(docs.where("doc_id >= 100"), r).collect()} == {100, 101, 102}
+
+
 def test_quality_of_edges(spark):
     loops = ["a b c d e f " * 30, "x y z\n" * 5, "a b c d e a b c d e", "# $ | <b> # words of some length here and more of them to pass ten", *EDGE_TEXTS]
     docs = edge_docs(spark, loops, repeat_id=False)
