@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..scratch import discard, materialize
 
 
 def _least(both: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down).distinct()
-        edges = materialize(small.where("a <> b"), "edges")
+        before, edges = edges, materialize(small.where("a <> b"), "edges")
+        discard([before])
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
