@@ -5,29 +5,24 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import materialize, scratch_root  # noqa: F401
+from ..scratch import discard, materialize, scratch_root  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def discard(tables: list[DataFrame]) -> None:
-    """Delete tables that materialize() has written and that nothing reads any more."""
-    for t in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """For operators whose rows hold whole texts or sets of them: fewer rows in one Arrow batch, so that a worker
-    and its executor hold a few MB of them. A runtime setting of the session."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """For operators whose rows hold whole texts or sets of them: fewer rows and bytes in one Arrow batch (one row at
+    least), so that a worker and its executor hold a few MB of them. Runtime settings of the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def trimmed(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -49,6 +44,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Bits of one row of a bitmap (128 KB), and the most rows of one.
+BITMAP_ROW, MOST_ROWS = 1 << 20, 1 << 10
+
+
+def bitmap_of(hashes: DataFrame) -> Broadcast:
+    """A broadcast bitmap that holds hashes(h): at least 64 bits for each, 128 MB at most. is_marked() says yes to all of
+    them and to some others, beyond two million hashes to more of them, so exact joins follow it."""
+    rows = 1
+    while rows < MOST_ROWS and rows * BITMAP_ROW < 64 * hashes.count():
+        rows *= 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            row, bit = np.divmod(b.column("slot").to_numpy(), BITMAP_ROW)
+            for r in np.unique(row):
+                held.setdefault(int(r), np.zeros(BITMAP_ROW, bool))[bit[row == r]] = True
+        for r, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["row", "bits"])
+
+    slots = hashes.select(F.pmod("h", F.lit(rows * BITMAP_ROW)).alias("slot"))
+    slots = slots.repartition(F.floor(F.col("slot") / BITMAP_ROW)).mapInArrow(trimmed(run), "row long, bits binary")
+    out = np.zeros(rows * BITMAP_ROW // 8, np.uint8)
+    for r in slots.toLocalIterator():
+        at = r["row"] * BITMAP_ROW // 8
+        out[at : at + BITMAP_ROW // 8] |= np.frombuffer(r["bits"], np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(out)
+
+
+def is_marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % (8 * len(bitmap))
+    return (bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """A null text is an empty one."""
     return ["" if x is None else x for x in batch.column(column).to_pylist()]

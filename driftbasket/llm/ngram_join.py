@@ -1,20 +1,26 @@
 r"""Exact n-gram Jaccard join by a prefix tree of globally ordered sets.
 
 Texts are lower-cased (A-Z) and cut into words [^\x20\x09-\x0D]+; a document's set holds its distinct 5-word
-shingles, as 63-bit hashes (a text of fewer words is one shingle). All sets are ordered alike: shingles that
-few documents have come first, by hash; the most frequent ones come last, rarest first.
-
-1. Documents of equal sets form a class; its smallest doc_id stands for it.
-2. Two sets with J >= t share one of the first |x| - ceil(t |x|) + 1 elements of either (prefix filter), so
-   only these are posted; postings whose shingle no other class has are dropped in one streaming scan.
-3. Star round: each posted class is verified against the least class of its posting lists, and links are
-   joined to components. Then all pairs of one list that still lie in different components are verified. Sizes, places in the sets and the number of shared
-   postings bound the overlap, and pairs that can't reach it are left out.
-   So a large group of near copies costs links in proportion to its size, and no pair is left out:
-   a pair in one component needs no link of its own.
-4. Verification walks a trie. Sets sorted as byte strings are the depth-first order of their trie; a set
-   starts from the overlap that the prefix it shares with its predecessor has with the other set, and a subtree
-   is left as soon as overlap + remaining length can't reach ceil(t (|x| + |y|) / (1 + t)).
+shingles, as 63-bit hashes (a text of fewer words is one shingle). All sets are ordered alike, rare shingles
+first, so that what only copies have in common comes before what many documents quote.
+
+1. Document frequencies. Of each set the shingles with hashes in the lower half are counted. A chunk of documents
+   sends each of its shingles once, whatever the number of its documents that have it, so a passage in every
+   document costs a task one entry a chunk. What comes back are the shared ones and the power of two of their
+   frequency. The order is: counted shingles by that power, then by value; then the others by hash. It
+   is the same for all sets, and no result depends on it.
+2. Two sets with J >= t share one of the first |x| - ceil(t |x|) + 1 elements of either (prefix filter). Of these
+   only shared ones are posted. A document with less than half of its words in common with others posts
+   nothing. Equal sets form a class, of which one posts. Lists of the same members are one list.
+3. Star rounds: the members of each list are verified against its least one, and links are joined to
+   components; then those of a list that lie in other components against the least of these; at last all pairs of one list that
+   still lie in different components. Sizes and places bound the overlap, and pairs that can't reach it are left
+   out. So a large group of near copies costs links in proportion to its size, and no pair is left out: a pair in one
+   component needs no link of its own.
+4. Verification walks a trie. Sets sorted as byte strings are the depth-first order of their trie; all partners of a
+   set stand together, a set starts from the overlap that the prefix it shares with its predecessor has with
+   that one, and a subtree is left as soon as overlap + remaining length can't reach
+   ceil(t (|x| + |y|) / (1 + t)).
 """
 
 from __future__ import annotations
@@ -24,62 +30,50 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, small_batches, texts_of, trimmed
+from .common import bitmap_of, discard, is_marked, materialize, small_batches, texts_of, trimmed
 from .word_hashes import hashed_words, mixed
 from ..operators.components import components
 
 N = 5
-#: Surrogate ids of classes without any doc_id start here.
-NO_ID = 1 << 62
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-FREQUENT = 65_536
-BITMAP_BITS = 1 << 24
-
-
-class Shingler:
-    """Sorted sets of order keys: the hash, or for a frequent shingle 2^63 + 2^40 its rank."""
-
-    def __init__(self, frequent: np.ndarray | None = None):
-        hashes = np.empty(0, np.uint64) if frequent is None else frequent
-        order = np.argsort(hashes)
-        self.frequent, self.rank = hashes[order], order.astype(np.uint64)
-
-    def hashes(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """Of each text the distinct shingles' 63-bit hashes, ascending."""
-        for words, counts in hashed_words(texts):
-            at = 0
-            m = max(len(words) - N + 1, 0)
-            s = words[:m].copy()
-            for k in range(1, N):
-                s *= _MULTIPLIER
-                s += words[k : k + m]
-                s ^= s >> np.uint64(29)
-            s = mixed(s) >> np.uint64(1)
-            for n in counts:
-                if n >= N:
-                    yield np.unique(s[at : at + n - N + 1])
-                elif n:
-                    yield np.array([xxhash.xxh64_intdigest(words[at : at + n].tobytes(), seed=int(n)) >> 1], np.uint64)
-                else:
-                    yield np.empty(0, np.uint64)
-                at += n
-
-    def keys(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for h in self.hashes(texts):
-            if len(self.frequent) and len(h):
-                at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
-                known = self.frequent[at] == h
-                if known.any():
-                    h = np.sort(np.where(known, self.rank[at] << np.uint64(40) | np.uint64(1 << 63), h))
-            yield h
-
-
-def prefix_length(n: int, percent: int) -> int:
-    return n + (-percent * n // 100) + 1 if n else 0
+#: Hashes below this one are counted.
+COUNTED = 1 << 62
+#: Shingles that a chunk holds, and documents (their numbers have two bytes).
+CHUNK_KEYS, CHUNK_DOCS = 1 << 20, 60_000
+#: About so many entries meet in one part of the hashes, whatever the size of the corpus.
+PART_KEYS = 1_500_000
+#: Places in the order: the power of two of the frequency, over a part's number and 32 bits within the part.
+POWER_AT, LAST = 58, 31
+
+
+def shingle_hashes(texts: list[str]) -> Iterator[np.ndarray]:
+    """Of each text the distinct shingles' 63-bit hashes, ascending."""
+    for words, counts in hashed_words(texts):
+        at = 0
+        m = max(len(words) - N + 1, 0)
+        s = words[:m].copy()
+        for k in range(1, N):
+            s *= _MULTIPLIER
+            s += words[k : k + m]
+            s ^= s >> np.uint64(29)
+        s = mixed(s) >> np.uint64(1)
+        for n in counts:
+            if n >= N:
+                yield np.unique(s[at : at + n - N + 1])
+            elif n:
+                yield np.array([xxhash.xxh64_intdigest(words[at : at + n].tobytes(), seed=int(n)) >> 1], np.uint64)
+            else:
+                yield np.empty(0, np.uint64)
+            at += n
+
+
+def prefix_length(n, percent: int):
+    """Of one set, or of an array of them."""
+    return n + (-percent * n // 100) + (n > 0)
 
 
 def least_overlap(nx: int, ny: int, percent: int) -> int:
@@ -117,324 +111,333 @@ class TrieWalk:
         return depth == n and bool(overlap[n] >= need)
 
 
-def frequent_shingles(docs: DataFrame, most: int = FREQUENT, least_docs: int = 16) -> np.ndarray:
-    """Hashes of the (about) most frequent shingles, rarest first, at most `most`. They only shape the order:
-    counts come from each task's repeated ones, so they may fall short, and results don't depend on them."""
+def _planes(x: np.ndarray) -> bytes:
+    """Four-byte numbers, leading bytes first: those of sorted ones compress."""
+    return x.astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = Shingler()
-        held: list[np.ndarray] = []
-        size = 0
 
-        def flush() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held or [np.empty(0, np.uint64)]), return_counts=True)
-            h, n = h[n >= 3], n[n >= 3]
-            top = np.argsort(-n, kind="stable")[:8192]
-            return pa.RecordBatch.from_arrays([pa.array(h[top].astype(np.int64), pa.int64()), pa.array(n[top], pa.int64())], ["h", "n"])
+def _read_planes(octets: bytes) -> np.ndarray:
+    return np.frombuffer(octets, np.uint8).reshape(4, -1).T.copy().view(">u4").reshape(-1).astype(np.uint64)
 
-        for b in batches:
-            for h in sh.hashes(texts_of(b)):
-                held.append(h)
-                size += len(held[-1])
-                if size > 1_000_000:
-                    yield flush()
-                    held, size = [], 0
-        yield flush()
 
-    counts = docs.select("text").mapInArrow(trimmed(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
-    return np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(most).collect()][::-1], np.uint64)
+class Parts:
+    """Equal parts of the counted hashes. A value is a part's number over 32 bits of the place in it."""
 
+    def __init__(self, n: int):
+        self.n, self.width = n, COUNTED // n + 1
+        self.shift = max(0, self.width.bit_length() - 32)
 
-def _classes(docs: DataFrame, frequent: Broadcast, percent: int) -> DataFrame:
-    """doc_id, n, digest of the set, first keys of the set."""
+    def values(self, hashes: np.ndarray) -> np.ndarray:
+        part, place = np.divmod(hashes, np.uint64(self.width))
+        return part << np.uint64(32) | place >> np.uint64(self.shift)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh = Shingler(frequent.value)
-        for b in batches:
-            n, digest, prefix = [], [], []
-            for k in sh.keys(texts_of(b)):
-                n.append(len(k))
-                digest.append(xxhash.xxh3_128_digest(k.tobytes()))
-                prefix.append(k[: prefix_length(len(k), percent)].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary())], ["doc_id", "n", "digest", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n long, digest binary, prefix binary")
+_CHUNK = "chunk long, part int, keys binary, owners binary, several binary, counts binary, doc_id array<long>, mark array<long>, n array<int>, counted array<int>, digest array<binary>, rest array<binary>"
+_CHUNK_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+_CHUNK_NAMES = [c.split(" ")[0] for c in _CHUNK.split(", ")]
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(key, id, place in the set) of the first keys; key as a signed long, so frequent ones are negative."""
+def _rows(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CHUNK_TYPES, strict=True)], _CHUNK_NAMES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, prefix = b.column("id").to_numpy(), b.column("prefix").to_pylist()
-            n = np.array([len(p) // 8 for p in prefix])
-            for at in range(0, len(ids), 256):  # a long text has thousands of keys
-                part = slice(at, at + 256)
-                keys = np.frombuffer(b"".join(prefix[part]), np.int64)
-                ends = np.cumsum(n[part])
-                place = np.arange(len(keys)) - np.repeat(ends - n[part], n[part])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids[part], n[part]), pa.int64()), pa.array(place, pa.int32())], ["key", "id", "place"])
-
-    return classes.select("id", "prefix").mapInArrow(trimmed(run), "key long, id long, place int")
 
-
-def _shared(postings: DataFrame) -> DataFrame:
-    """Without the keys of one id alone. Frequent keys are dealt by id too and kept unseen: they are shared."""
+def _chunks(docs: DataFrame, percent: int, n_parts: int) -> DataFrame:
+    """Chunks of documents. Part -1: the documents (id, hash of the text, size of the set, number of counted values, digest
+    of the set, first hashes beyond the counted ones if those are too few for the prefix), and in keys and owners the
+    values that several of them have. Other parts: the values that one document has and its number, and
+    those that several have and by how many, at most 255."""
+    parts = Parts(n_parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        for b in batches:
-            if held is not None:
-                b = pa.concat_batches([held, b])
-            key = b.column("key").to_numpy()
-            if not len(key):
-                continue
-            same = key[1:] == key[:-1]
-            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (key < 0)
-            # the last row waits for its successor; with it, so does its run's last row
-            first = len(key) - 2 if len(key) > 1 and same[-1] else len(key) - 1
-            held = b.slice(first)
-            yield b.slice(0, first).filter(pa.array(keep[:first]))
-        if held is not None and (held.num_rows > 1 or held.column("key")[0].as_py() < 0):
-            yield held
-
-    salt = F.when(F.col("key") < 0, F.xxhash64("id")).otherwise(F.lit(0))
-    return postings.repartition("key", salt).sortWithinPartitions("key").mapInArrow(trimmed(run), "key long, id long, place int")
-
-
-def _slot():
-    return F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
-
-
-def _marks(ids: DataFrame) -> Broadcast:
-    """A bitmap of fixed size with a bit for each id's slot."""
-    words = ids.select(F.shiftright(_slot(), 5).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (_slot() % 32).cast("int")).alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    bitmap = np.zeros(BITMAP_BITS // 32, np.uint32)
-    for w, bits in words.toLocalIterator():
-        bitmap[w] = bits
-    return ids.sparkSession.sparkContext.broadcast(bitmap)
-
-
-def _is_marked(bitmap: np.ndarray, slots: pa.Array) -> np.ndarray:
-    at = slots.to_numpy().astype(np.int64)
-    return (bitmap[at // 32] >> (at % 32).astype(np.uint32) & 1).astype(bool)
-
+        number = TaskContext.get().partitionId() << 20
+        held: list[tuple] = []
+        values: list[np.ndarray] = []
+        size = 0
 
-def _having(rows: DataFrame, ids: DataFrame, wanted: bool = True) -> DataFrame:
-    """The rows whose id is in ids(id), and few others: a bitmap tells. Joins that follow are exact.
-    With wanted=False the rest of the rows, none of whose ids is in ids."""
-    marks, names = _marks(ids), rows.columns
+        def flush() -> Iterator[pa.RecordBatch]:
+            owner = np.repeat(np.arange(len(values), dtype=np.uint16), [len(v) for v in values])
+            all_ = np.concatenate(values)
+            order = np.argsort(all_, kind="stable")
+            all_, owner = all_[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1]])) if len(all_) else np.empty(0, np.int64)
+            count = np.diff(np.concatenate([first, [len(all_)]]))
+            one, more = first[count == 1], first[count > 1]
+            many = np.repeat(count, count) > 1
+            columns = [[number], [-1], [all_[many].astype("<u8").tobytes()], [owner[many].astype("<u2").tobytes()], [None], [None], *([list(c)] for c in zip(*held, strict=True))]
+            yield _rows(columns)
+            at_one, at_more = (np.searchsorted(all_[x] >> np.uint64(32), np.arange(n_parts + 1, dtype=np.uint64)) for x in (one, more))
+            capped = np.minimum(count[count > 1], 255).astype(np.uint8)
+            rows = []
+            for p in np.flatnonzero((np.diff(at_one) > 0) | (np.diff(at_more) > 0)):
+                x, y = one[at_one[p] : at_one[p + 1]], more[at_more[p] : at_more[p + 1]]
+                rows.append((number, int(p), _planes(all_[x] & np.uint64(0xFFFFFFFF)), owner[x].astype("<u2").tobytes(), _planes(all_[y] & np.uint64(0xFFFFFFFF)), capped[at_more[p] : at_more[p + 1]].tobytes(), *(None,) * 6))
+            if rows:
+                yield _rows([list(c) for c in zip(*rows, strict=True)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            some = pa.array(_is_marked(marks.value, b.column("slot")) == wanted)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(some) for c in names], names)
-
-    return rows.withColumn("slot", _slot()).mapInArrow(trimmed(run), rows.schema)
-
-
-def _except(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """The rows (id, digest, ...) that are not in copies(id, digest). Only rows that share their id's place in the
-    bitmap with a copy and are none are joined: shipping all rows would ship all posted keys."""
-    others = materialize(_having(rows.select("id", "digest"), copies.select("id")).join(copies, ["id", "digest"], "left_anti").distinct(), "others")
-    joined = _having(rows, others.select("id")).join(others, ["id", "digest"], "left_semi")
-    return _having(rows, copies.select("id"), False).unionByName(joined)
-
-
-def _sets_of(docs: DataFrame, ids: DataFrame, frequent: Broadcast) -> DataFrame:
-    """(id, keys) of the documents whose doc_id is in ids(id), and of few others; keys as big-endian bytes, so that
-    they sort as sets. A task returns equal rows once."""
-    marks = _marks(ids)
-    named = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.col("doc_id").isNull().alias("nameless"), "text").withColumn("slot", _slot())
+            for doc, mark, h in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), shingle_hashes(texts_of(b)), strict=True):
+                low = int(np.searchsorted(h, np.uint64(COUNTED)))
+                v = np.unique(parts.values(h[:low]))
+                most = prefix_length(len(h), percent)
+                rest = (h[low : low + most - len(v)] if most > len(v) else h[:0]) >> np.uint64(63 - POWER_AT)
+                held.append((doc, mark, len(h), len(v), xxhash.xxh3_128_digest(h.tobytes()), rest.astype("<u8").tobytes()))
+                values.append(v)
+                size += len(v)
+                if size >= CHUNK_KEYS or len(held) >= CHUNK_DOCS:
+                    yield from flush()
+                    number, held, values, size = number + 1, [], [], 0
+        if held:
+            yield from flush()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(trimmed(run), _CHUNK)
+
+
+def _counted(chunks: DataFrame) -> DataFrame:
+    """Of each chunk's parts what is shared: values and owners, and those that several of its documents have; counts
+    hold the powers of two of the numbers of documents, first of `keys`, then of `several`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sh, done = Shingler(frequent.value), set()
-        for b in batches:
-            nameless = np.array(b.column("nameless").to_pylist(), bool)
-            b = b.filter(pa.array(_is_marked(marks.value, b.column("slot")) | nameless))
-            out_ids, out_keys = [], []
-            for i, none, k in zip(b.column("id").to_pylist(), b.column("nameless").to_pylist(), sh.keys(texts_of(b)), strict=True):
-                digest = xxhash.xxh3_128_digest(k.tobytes())
-                if len(k) and (one := (i, none, digest)) not in done:
-                    done.add(one)
-                    out_ids.append(_surrogate(digest) if none else i)
-                    out_keys.append(k.astype(">u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out_keys, pa.binary())], ["id", "keys"])
-
-    return named.mapInArrow(trimmed(run), "id long, keys binary")
-
-
-def _surrogate(digest: bytes) -> int:
-    return NO_ID + (int.from_bytes(digest[:8], "big") >> 2)
+        now, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            ones, mores = [_read_planes(x[1]) for x in held], [_read_planes(x[3]) for x in held]
+            value = np.concatenate([*ones, *mores])
+            count = np.concatenate([np.ones(sum(map(len, ones)), np.int64), *(np.frombuffer(x[4], np.uint8) for x in held)])
+            order = np.argsort(value, kind="stable")
+            ranked = value[order]
+            first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+            total = np.add.reduceat(count[order], first)
+            back = np.empty(len(value), np.uint8)
+            power = np.minimum(np.ceil(np.log2(total)), LAST - 1).astype(np.uint8)  # 0: one document alone
+            back[order] = np.repeat(power, np.diff(np.concatenate([first, [len(value)]])))
+            at, other = 0, sum(map(len, ones))
+            rows = []
+            for x, o, m in zip(held, ones, mores, strict=True):
+                p, q = back[at : at + len(o)], back[other : other + len(m)]
+                at, other = at + len(o), other + len(m)
+                keep = p > 0
+                if keep.any() or len(q):
+                    rows.append((x[0], now, _planes(o[keep]), np.frombuffer(x[2], "<u2")[keep].tobytes(), x[3], np.concatenate([p[keep], q]).tobytes(), *(None,) * 6))
+            for a in range(0, len(rows), 256):
+                yield _rows([list(c) for c in zip(*rows[a : a + 256], strict=True)])
 
-
-def _ids(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-
-
-def _leading(keys: np.ndarray) -> bytes:
-    """Of each big-endian key the leading three bytes, in the same order."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, :3].tobytes()
-
-
-def _read_leading(octets: bytes) -> np.ndarray:
-    o = np.frombuffer(octets, np.uint8).reshape(-1, 3).astype(np.uint32)
-    return o[:, 0] << 16 | o[:, 1] << 8 | o[:, 2]
-
-
-def _shortened(sets: DataFrame) -> DataFrame:
-    """The sets (id, keys) with the leading bytes of their keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([_leading(np.frombuffer(k, ">u8")) for k in b.column("keys").to_pylist()], pa.binary())], ["id", "keys"])
+            for part, *row in zip(*(b.column(c).to_pylist() for c in ("part", "chunk", "keys", "owners", "several", "counts")), strict=True):
+                if held and part != now:
+                    yield from flush()
+                    held = []
+                now = part
+                held.append(row)
+        if held:
+            yield from flush()
 
-    return sets.mapInArrow(trimmed(run), "id long, keys binary")
+    return chunks.where("part >= 0").repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(run), _CHUNK)
 
 
-def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that can link by the leading bytes of their keys. Those can only seem equal too often, so
-    no link is lost; full keys are shipped for what is left."""
+def _posted(chunks: DataFrame, percent: int) -> DataFrame:
+    """(id, doc_id, mark, n, digest, start, posted): the documents that post a value, its places being start, start + 1, ..."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for x, y in zip(b.column("fixed").to_pylist(), b.column("keys").to_pylist(), strict=True):
-                x, y = _read_leading(x), _read_leading(y)
-                # an element of either that seems to be in the other
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                out.append(int((y[at] == x).sum()) >= least_overlap(len(x), len(y), percent))
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(out, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-    short = _shortened(sets)
-    right = pairs.join(short.select(F.col("id").alias("b"), "keys"), "b")
-    both = right.join(short.select(F.col("id").alias("a"), F.col("keys").alias("fixed")), "a")
-    return both.select("a", "b", "fixed", "keys").mapInArrow(trimmed(run), "a long, b long").distinct()
+        about, owners, ranks, several = None, [], [], []
 
+        def flush() -> pa.RecordBatch:
+            chunk, value, owner, doc_id, mark, n, counted, digest, rest = about
+            keys = np.concatenate([x for x, _ in several] or [np.empty(0, np.uint64)])
+            power = np.concatenate([x for _, x in several] or [np.empty(0, np.uint64)])
+            if len(value):
+                ranks.append(power[np.searchsorted(keys, value)] << np.uint64(POWER_AT) | value)
+                owners.append(owner)
+            rank, own = np.concatenate([*ranks, np.empty(0, np.uint64)]), np.concatenate([*owners, np.empty(0, np.int64)]).astype(np.int64)
+            order = np.lexsort((rank, own))
+            rank = rank[order]
+            n, counted = np.array(n, np.int64), np.array(counted, np.int64)
+            shared = np.bincount(own, minlength=len(n))
+            begin = np.cumsum(shared) - shared
+            start = counted - shared
+            taken = np.clip(prefix_length(n, percent) - start, 0, shared)
+            out = []
+            for k in np.flatnonzero((taken > 0) | np.array([len(r) > 0 for r in rest])):
+                more = np.frombuffer(rest[k], "<u8") | np.uint64(LAST << POWER_AT)
+                posted = np.concatenate([rank[begin[k] : begin[k] + taken[k]], more])
+                at = start[k] if taken[k] else counted[k]
+                out.append((chunk << 16 | int(k), doc_id[k], mark[k], int(n[k]), digest[k], int(at), posted.astype("<i8").tobytes()))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 7, types, strict=True)], ["id", "doc_id", "mark", "n", "digest", "start", "posted"])
 
-def _posted_short(posted: DataFrame) -> DataFrame:
-    """The posted keys' leading bytes, in the same order."""
+        for b in batches:
+            for chunk, part, keys, own, more, counts, *documents in zip(*(b.column(c).to_pylist() for c in _CHUNK_NAMES), strict=True):
+                if part < 0:
+                    if about:
+                        yield flush()
+                    about, owners, ranks, several = (chunk, np.frombuffer(keys, "<u8"), np.frombuffer(own, "<u2"), *documents), [], [], []
+                    continue
+                power = np.frombuffer(counts, np.uint8).astype(np.uint64)
+                value, lot = (_read_planes(x) | np.uint64(part << 32) for x in (keys, more))
+                owners.append(np.frombuffer(own, "<u2"))
+                ranks.append(power[: len(value)] << np.uint64(POWER_AT) | value)
+                several.append((lot, power[len(value) :]))
+        if about:
+            yield flush()
+
+    both = chunks.where("part < 0").unionByName(_counted(chunks))
+    return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(trimmed(run), "id long, doc_id long, mark long, n int, digest binary, start int, posted binary")
+
+
+def _lists(posted: DataFrame) -> DataFrame:
+    """(key, id, n, place) of lists of two members and more; of lists of the same members the one of the least key. A
+    pair's first common value is kept, since all lists that come before it lack one of the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            short = [_leading(np.frombuffer(p, np.uint64).astype(">u8")) for p in b.column("prefix").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array(short, pa.binary())], ["id", "n", "prefix"])
-
-    return posted.mapInArrow(trimmed(run), posted.schema)
-
+            ids, sizes, start, octets = b.column("id").to_numpy(), b.column("n").to_numpy(), b.column("start").to_numpy(), b.column("posted").to_pylist()
+            n = np.array([len(p) // 8 for p in octets])
+            for at in range(0, len(ids), 256):  # a long text has thousands of values
+                part = slice(at, at + 256)
+                keys = np.frombuffer(b"".join(octets[part]), np.int64)
+                ends = np.cumsum(n[part])
+                place = np.arange(len(keys)) - np.repeat(ends - n[part] - start[part], n[part])
+                spread = lambda x: pa.array(np.repeat(x[part], n[part]))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(keys), spread(ids), spread(sizes), pa.array(place.astype(np.int32))], ["key", "id", "n", "place"])
 
-def _stars(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Each class with the least one of its posting list, if the keys they share in such lists are enough."""
-    centres = rooted.groupBy("key").agg(F.min_by("root", "id").alias("ra"), F.min("id").alias("a"))
-    pairs = rooted.join(centres, "key").where("root <> ra").select("a", F.col("id").alias("b"))
-    return _promising(pairs.groupBy("a", "b").agg(F.count("*").alias("c")), size_of, percent), []
+    postings = materialize(posted.select("id", "n", "start", "posted").mapInArrow(trimmed(run), "key long, id long, n int, place int"), "postings")
+    members = [F.count("*").alias("c"), F.min("id").alias("a"), F.max("id").alias("z"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
+    kept = postings.groupBy("key").agg(*members).where("c > 1").groupBy("c", "a", "z", "x", "y").agg(F.min("key").alias("key")).select("key")
+    out = materialize(postings.join(kept, "key"), "lists")
+    discard([postings])
+    return out
 
 
-def _all(rooted: DataFrame, size_of: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """All pairs of one list in different components that can link. The first key that a pair shares has at
-    least the needed overlap from its place on, in either set; later keys need not be looked at."""
-    sized = rooted.join(size_of, "id")
-    x = sized.select("key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("place").alias("pa"))
-    y = sized.select("key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("place").alias("pb"))
-    need = percent * (F.col("la") + F.col("lb"))
-    first = ((F.col("na") - F.col("pa")) * (100 + percent) >= need) & ((F.col("nb") - F.col("pb")) * (100 + percent) >= need)
-    pairs = x.join(y, "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & first).select("a", "b").distinct()
-    pairs = materialize(pairs, "candidates")
-    posted = materialize(_posted_short(_having(rows.where("n > 0").select("id", "n", "prefix"), _ids(pairs))), "posted")
+def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, keys) of wanted(id, doc_id, mark, digest); keys as big-endian bytes, so that they sort as sets. A bitmap of
+    the wanted documents lets few others through, and the digest tells those."""
+    slots = wanted.select(F.xxhash64("doc_id", "mark").alias("h"))
+    marks = bitmap_of(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for b in batches:
-            out = []
-            for x, y, nx, ny, px, py in zip(*(b.column(c).to_pylist() for c in ("a", "b", "na", "nb", "pa", "pb")), strict=True):
-                px, py = _read_leading(px), _read_leading(py)
-                at = np.minimum(np.searchsorted(py, px), len(py) - 1)
-                c = int((py[at] == px).sum())
-                # all that both have up to the smaller last key is posted; beyond it one has only so many left.
-                # Leading bytes can only seem equal too often and stand too early, so no pair is lost.
-                kx, ky = np.searchsorted(px, py[-1]), np.searchsorted(py, px[-1])
-                out.append(c + min(nx - kx, ny - ky) >= least_overlap(nx, ny, percent))
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(out, pa.bool_())) for c in ("a", "b")], ["a", "b"])
-
-    right = pairs.join(posted.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
-    both = right.join(posted.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
-    return both.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(trimmed(run), "a long, b long").distinct(), [pairs, posted]
-
-
-def _promising(counted: DataFrame, size_of: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that c shared posted keys and their sizes (at most n, at least `least`) let link.
-
-    Both have posted all their keys up to the smaller of their last posted ones, so beyond the c shared keys
-    they share at most the rest of one of the two: |x & y| <= c + max(|x| - posted, |y| - posted).
-    """
-    sized = counted.join(size_of.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("least").alias("la")), "a")
-    sized = sized.join(size_of.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb")), "b")
-    fits = (100 * F.col("nb") >= percent * F.col("la")) & (100 * F.col("na") >= percent * F.col("lb"))
-    unposted = F.ceil(F.lit(percent) * F.greatest("na", "nb") / 100) - 1
-    enough = (F.col("c") + unposted) * (100 + percent) >= percent * (F.col("la") + F.col("lb"))
-    return sized.where(fits & enough).select("a", "b")
+            b = b.filter(pa.array(is_marked(marks.value, b.column("h").to_numpy())))
+            digests, keys = [], []
+            for k in shingle_hashes(texts_of(b)):
+                digest = xxhash.xxh3_128_digest(k.tobytes())
+                if len(k) and digest not in done:
+                    done.add(digest)
+                    digests.append(digest)
+                    keys.append(k.astype(">u8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(keys, pa.binary())], ["digest", "keys"])
+
+    named = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("h"), "text")
+    sets = named.mapInArrow(trimmed(run), "digest binary, keys binary").dropDuplicates(["digest"])
+    return sets.join(wanted.select("id", "digest"), "digest").select("id", "keys")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """The pairs (a, b) that link. The set of a goes once to each block of its partners, of about 256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, walk = None, None
+        walk = None
         for b in batches:
             out: list[tuple[int, int]] = []
-            for x, y, fixed, keys in zip(*(b.column(c).to_pylist() for c in ("a", "b", "fixed", "keys")), strict=True):
-                if now != (x, fixed):
-                    now, walk = (x, fixed), TrieWalk(np.frombuffer(fixed, ">u8").astype(np.uint64), percent)
-                if walk.linked(np.frombuffer(keys, ">u8").astype(np.uint64)):
+            for x, y, keys in zip(*(b.column(c).to_pylist() for c in ("a", "b", "keys")), strict=True):
+                keys = np.frombuffer(keys, ">u8").astype(np.uint64)
+                if y is None:
+                    walk = TrieWalk(keys, percent)
+                elif walk.linked(keys):
                     out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    right = pairs.join(sets.select(F.col("id").alias("b"), "keys"), "b")
-    both = right.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("fixed")), "a")
-    return both.sortWithinPartitions("a", "fixed", "keys").select("a", "b", "fixed", "keys").mapInArrow(trimmed(run), "a long, b long")
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("blocks"))
+    dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
+    theirs = dealt.join(sets.select(F.col("id").alias("b"), "keys"), "b")
+    own = dealt.select("a", "block").distinct().join(sets.select(F.col("id").alias("a"), "keys"), "a").withColumn("b", F.lit(None).cast("long"))
+    return theirs.unionByName(own).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").isNotNull(), "keys").select("a", "b", "keys").mapInArrow(trimmed(run), "a long, b long")
+
+
+def _fits(percent: int, *pair: str):
+    """The sizes let the pair link."""
+    a, b = pair
+    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+
+
+def _star(rooted: DataFrame, percent: int, other: bool) -> DataFrame:
+    """Each member with the least one of its list; or, with other, of those in another component than that one's."""
+    least = lambda rows: rows.groupBy("key").agg(F.min_by(F.struct("id", "n", "root"), "id").alias("c"))
+    centres = least(rooted)
+    if other:
+        centres = least(rooted.join(centres.select("key", F.col("c.root").alias("r")), "key").where("root <> r"))
+    centres = centres.select("key", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.root").alias("ra"))
+    pairs = rooted.join(centres, "key").where((F.col("root") != F.col("ra")) & _fits(percent, "n", "na"))
+    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+
+
+def _pairs(rooted: DataFrame, percent: int) -> DataFrame:
+    """All pairs of one list in different components that can link. The first value that a pair shares has at
+    least the needed overlap from its place on, in either set; later ones need not be looked at."""
+    side = lambda s: rooted.select("key", F.col("id").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"))
+    need = percent * (F.col("na") + F.col("nb"))
+    left = lambda s: (F.col(f"n{s}") - F.col(f"p{s}")) * (100 + percent) >= need
+    pairs = side("a").join(side("b"), "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & _fits(percent, "na", "nb") & left("a") & left("b"))
+    return pairs.select("a", "b").distinct()
+
+
+def _roots(docs: DataFrame, lists: DataFrame, posted: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root) of the ids that link with another one; None if no two do."""
+    links, tried = [], []
+    roots = None
+    for step in (lambda r: _star(r, percent, False), lambda r: _star(r, percent, True), lambda r: _pairs(r, percent)):
+        rooted = lists.withColumn("root", F.col("id"))
+        if roots is not None:
+            rooted = lists.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("key", "id", "n", "place", F.coalesce("r", "id").alias("root"))
+            several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+            rooted = materialize(rooted.join(several, "key"), "rooted")
+        pairs = step(rooted)
+        for t in tried:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")  # a < b in each
+        pairs = materialize(pairs, "pairs")
+        if roots is not None:
+            discard([rooted])
+        if pairs.isEmpty():
+            continue
+        tried.append(pairs)
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        wanted = materialize(posted.join(ids, "id").select("id", "doc_id", "mark", "digest"), "wanted")
+        sets = materialize(_members(docs, wanted), "members")
+        found = materialize(_verified(pairs, sets, percent), "links")
+        discard([sets, wanted])
+        if not found.isEmpty():
+            links.append(found)
+            roots = components(links[0] if len(links) == 1 else links[0].unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))).unionByName(found))
+    return roots
 
 
 def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs(doc_id, text, ...): the size of its set and the
     smallest doc_id reachable by links 100 |x & y| >= percent |x | y|, its own included.
 
-    Null, empty and word-free texts have an empty set and link with nothing. Rows of a null doc_id take part;
-    the component of rows that all lack an id is null. Rows that repeat a doc_id with other texts are one
-    node. Other columns are ignored; an empty table gives an empty one. Ids lie below 2^62.
+    Null, empty and word-free texts have an empty set and link with nothing. Rows of a null doc_id take part; the
+    component of rows that all lack an id is null. Rows that repeat a doc_id are documents of
+    their own. Other columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
-    rows = materialize(_classes(docs, frequent, percent), "sets")
-    surrogate = F.lit(NO_ID) + F.shiftrightunsigned(F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long"), 2)
-    named = rows.withColumn("id", F.coalesce(F.col("doc_id"), surrogate))
-    least = named.where("n > 0").groupBy("digest").agg(F.min("id").alias("root"))
-    copies = materialize(named.where("n > 0").select("digest", "id").join(least, "digest").where("id <> root").select("id", "digest").distinct(), "copies")
-    classes = _except(named.where("n > 0").select("id", "digest", "prefix"), copies)
-    live = materialize(_shared(_postings(classes)), "postings")
-    size_of = materialize(named.where("n > 0").groupBy("id").agg(F.max("n").alias("n"), F.min("n").alias("least")).join(live.select("id").distinct(), "id", "left_semi"), "sizes")
-    links = roots = tried = None
-    for step in (_stars, _all):
-        rooted = live.withColumn("root", F.col("id"))
-        if roots is not None:
-            rooted = live.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("key", "id", "place", F.coalesce("r", "id").alias("root"))
-            mixed = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-            rooted = rooted.join(mixed, "key", "left_semi")
-        pairs, scratch = step(rooted, size_of, named, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")  # a < b in either
-        pairs = materialize(pairs, "pairs")
-        discard(scratch)
-        tried = pairs if tried is None else tried.union(pairs)
-        if pairs.isEmpty():
-            continue
-        sets = materialize(_sets_of(docs, _ids(pairs), frequent), "members")
-        found = materialize(_verified(materialize(_near(pairs, sets, percent), "near"), sets, percent), "links")
-        discard([sets])
-        links = found if links is None else links.union(found)
-        roots = components(links)
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // (12 * PART_KEYS)))  # about six characters a word, half of which count
+    chunks = materialize(_chunks(docs, percent, n_parts), "chunks")
+    posted = materialize(_posted(chunks, percent), "posted")
+    one = posted.groupBy("digest").agg(F.min("id").alias("id"))
+    classes = materialize(posted.join(one, ["digest", "id"]), "classes")
+    lists = _lists(classes)
+    roots = _roots(docs, lists, classes, percent)
+    all_ = chunks.where("part < 0").select(F.explode(F.arrays_zip("doc_id", "mark", "n", "digest")).alias("d")).select("d.doc_id", "d.mark", "d.n", "d.digest")
+    copies = all_.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     if roots is None:
-        roots = spark.createDataFrame([], "node long, root long")
-    by_class = least.select("digest", F.col("root").alias("id")).join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-    out = named.join(by_class.select("digest", F.coalesce("root", "id").alias("root")), "digest", "left")
-    component = F.coalesce("root", "id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(component < NO_ID, component).alias("component_id"))
+        named = copies.where("c > 1").select("digest", F.col("least").alias("component"))
+    else:
+        linked = roots.join(classes.select(F.col("id").alias("node"), "digest"), "node").select("digest", "root")
+        found = materialize(copies.join(linked, "digest", "left").where("c > 1 or root is not null").select("digest", "least", "root"), "found")
+        least = found.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
+        named = found.join(least, "root", "left").select("digest", F.coalesce("component", "least").alias("component"))
+    salts = 16  # a third of all rows may have one text
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    out = all_.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(salts)).cast("int")).join(named, ["digest", "salt"], "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

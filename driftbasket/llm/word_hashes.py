@@ -6,6 +6,7 @@ Prefix sums over the joined texts give each word's sum times P^start, and P has
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,9 @@ _TABLE = np.random.default_rng(20240229).integers(1, 1 << 64, 256, np.uint64)
 _TABLE[ord("A") : ord("Z") + 1] = _TABLE[ord("a") : ord("z") + 1]  # A-Z is lower-cased
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_NEXT_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+#: Powers that are kept, of each base; a longer word has its own.
+MOST_POWERS = 1 << 22
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -32,16 +36,24 @@ def _power(base: int, n: int) -> np.ndarray:
     got = _powers.get(base, np.ones(1, np.uint64))
     while len(got) < n:
         got = np.concatenate([got, got * np.uint64(pow(base, len(got), 1 << 64))])
-    _powers[base] = got
+    _powers[base] = got[:MOST_POWERS]
     return got[:n]
 
 
 def hashed_words(texts: list[str], size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     r"""Slices of whole texts: the hashes of their words [^\x20\x09-\x0D]+, A-Z lower-cased, one text after
-    another, and how many words each text has."""
+    another, and how many words each text has. A text of more than `size` bytes is a slice of its own, read in pieces."""
     held, length = [], 0
     for t in texts:
         held.append(t.encode("utf-8", "surrogatepass"))
+        if len(held[-1]) > size:
+            long = held.pop()
+            if held:
+                yield _hashed(held)
+            words = np.concatenate([_hashed([x])[0] for x in _pieces(long, size)])
+            yield words, np.array([len(words)])
+            held, length = [], 0
+            continue
         length += len(held[-1]) + 1
         if length >= size:
             yield _hashed(held)
@@ -50,6 +62,16 @@ def hashed_words(texts: list[str], size: int = 1 << 19) -> Iterator[tuple[np.nda
         yield _hashed(held)
 
 
+def _pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """Pieces of about `size` bytes, cut at white space; a longer word stays whole."""
+    at = 0
+    while at < len(text):
+        cut = _NEXT_WHITE.search(text, at + size)
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
 def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words, counts, _, _, _ = located_words(texts)
     return words, counts
