@@ -9,18 +9,19 @@ first, so that what only copies have in common comes before what many documents
    document costs a task one entry a chunk. What comes back are the shared ones and the power of two of their
    frequency. The order is: counted shingles by that power, then by value; then the others by hash. It
    is the same for all sets, and no result depends on it.
-2. Two sets with J >= t share one of the first |x| - ceil(t |x|) + 1 elements of either (prefix filter). Of these
-   only shared ones are posted. A document with less than half of its words in common with others posts
-   nothing. Equal sets form a class, of which one posts. Lists of the same members are one list.
-3. Star rounds: the members of each list are verified against its least one, and links are joined to
-   components; then those of a list that lie in other components against the least of these; at last all pairs of one list that
-   still lie in different components. Sizes and places bound the overlap, and pairs that can't reach it are left
-   out. So a large group of near copies costs links in proportion to its size, and no pair is left out: a pair in one
-   component needs no link of its own.
-4. Verification walks a trie. Sets sorted as byte strings are the depth-first order of their trie; all partners of a
-   set stand together, a set starts from the overlap that the prefix it shares with its predecessor has with
-   that one, and a subtree is left as soon as overlap + remaining length can't reach
-   ceil(t (|x| + |y|) / (1 + t)).
+2. Two sets with J >= t share one of the first |x| - ceil(t |x|) + 1 elements of either (prefix filter), the heads. A
+   document that has no shared one among them, as it must if less than three quarters of it are shared, is done with. Equal sets form a
+   class, of which one goes on. Shingles of the same documents are one atom, whose weight is their number, so a
+   set is a short list of atoms in the global order.
+3. Star rounds: each document is verified against the least partner that a head atom names, and links are joined to
+   components. So a large group of near copies costs links in proportion to its size: a pair in one component needs no
+   link of its own.
+4. Trie join. The documents of a head atom that lie in several components are stored as a trie of their atoms. It is
+   walked depth first with the partial overlaps of all other documents at each node, and a branch is left once these, what remains of
+   it and what was not counted can't reach ceil(t (|x| + |y|) / (1 + t)). Only pairs that can are rows; a long list is
+   walked by blocks. No pair is left out.
+5. What is named by 3 and 4 is verified by whole sets. These, sorted as byte strings, are the depth-first order of their
+   trie too; all partners of a set stand together, and each starts from the overlap of the prefix it shares with its predecessor.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ COUNTED = 1 << 62
 CHUNK_KEYS, CHUNK_DOCS = 1 << 20, 60_000
 #: About so many entries meet in one part of the hashes, whatever the size of the corpus.
 PART_KEYS = 1_500_000
+#: Star rounds before the trie join, and documents of a list that it takes at once.
+STARS, BLOCK = 2, 512
 #: Places in the order: the power of two of the frequency, over a part's number and 32 bits within the part.
 POWER_AT, LAST = 58, 31
 
@@ -235,7 +238,9 @@ def _counted(chunks: DataFrame) -> DataFrame:
 
 
 def _posted(chunks: DataFrame, percent: int) -> DataFrame:
-    """(id, doc_id, mark, n, digest, start, posted): the documents that post a value, its places being start, start + 1, ..."""
+    """(id, doc_id, mark, n, digest, start, counted, posted): the documents that have a shared value among their heads, with
+    all their shared values, in the places start, start + 1, ...; counted is the number of places that come before
+    those of uncounted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         about, owners, ranks, several = None, [], [], []
@@ -254,15 +259,13 @@ def _posted(chunks: DataFrame, percent: int) -> DataFrame:
             shared = np.bincount(own, minlength=len(n))
             begin = np.cumsum(shared) - shared
             start = counted - shared
-            taken = np.clip(prefix_length(n, percent) - start, 0, shared)
             out = []
-            for k in np.flatnonzero((taken > 0) | np.array([len(r) > 0 for r in rest])):
+            for k in np.flatnonzero(((shared > 0) & (start < prefix_length(n, percent))) | np.array([len(r) > 0 for r in rest])):
                 more = np.frombuffer(rest[k], "<u8") | np.uint64(LAST << POWER_AT)
-                posted = np.concatenate([rank[begin[k] : begin[k] + taken[k]], more])
-                at = start[k] if taken[k] else counted[k]
-                out.append((chunk << 16 | int(k), doc_id[k], mark[k], int(n[k]), digest[k], int(at), posted.astype("<i8").tobytes()))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 7, types, strict=True)], ["id", "doc_id", "mark", "n", "digest", "start", "posted"])
+                posted = np.concatenate([rank[begin[k] : begin[k] + shared[k]], more])
+                out.append((chunk << 16 | int(k), doc_id[k], mark[k], int(n[k]), digest[k], int(start[k]), int(counted[k]), posted.astype("<i8").tobytes()))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 8, types, strict=True)], ["id", "doc_id", "mark", "n", "digest", "start", "counted", "posted"])
 
         for b in batches:
             for chunk, part, keys, own, more, counts, *documents in zip(*(b.column(c).to_pylist() for c in _CHUNK_NAMES), strict=True):
@@ -280,33 +283,73 @@ def _posted(chunks: DataFrame, percent: int) -> DataFrame:
             yield flush()
 
     both = chunks.where("part < 0").unionByName(_counted(chunks))
-    return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(trimmed(run), "id long, doc_id long, mark long, n int, digest binary, start int, posted binary")
+    return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(trimmed(run), "id long, doc_id long, mark long, n int, digest binary, start int, counted int, posted binary")
 
 
-def _lists(posted: DataFrame) -> DataFrame:
-    """(key, id, n, place) of lists of two members and more; of lists of the same members the one of the least key. A
-    pair's first common value is kept, since all lists that come before it lack one of the pair."""
+def _atoms(posted: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, other, weight, head): the atoms of documents, by their least value. `other` are the shingles of
+    the document that are not counted, and head tells whether the atom's first place is one of the prefix. A pair's first common
+    value is the least of its atom, since all others of the atom are common to the pair too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, start, octets = b.column("id").to_numpy(), b.column("n").to_numpy(), b.column("start").to_numpy(), b.column("posted").to_pylist()
+            ids, sizes, start, counted, octets = (*(b.column(c).to_numpy() for c in ("id", "n", "start", "counted")), b.column("posted").to_pylist())
             n = np.array([len(p) // 8 for p in octets])
             for at in range(0, len(ids), 256):  # a long text has thousands of values
                 part = slice(at, at + 256)
                 keys = np.frombuffer(b"".join(octets[part]), np.int64)
                 ends = np.cumsum(n[part])
                 place = np.arange(len(keys)) - np.repeat(ends - n[part] - start[part], n[part])
-                spread = lambda x: pa.array(np.repeat(x[part], n[part]))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(keys), spread(ids), spread(sizes), pa.array(place.astype(np.int32))], ["key", "id", "n", "place"])
+                spread = lambda x: np.repeat(x[part], n[part])  # noqa: E731, B023
+                head = place < prefix_length(spread(sizes).astype(np.int64), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(spread(ids)), pa.array(spread(sizes)), pa.array(spread(sizes - counted)), pa.array(head)], ["key", "id", "n", "other", "head"])
 
-    postings = materialize(posted.select("id", "n", "start", "posted").mapInArrow(trimmed(run), "key long, id long, n int, place int"), "postings")
+    columns = ["id", "n", "start", "counted", "posted"]
+    postings = materialize(posted.select(*columns).mapInArrow(trimmed(run), "key long, id long, n int, other int, head boolean"), "postings")
     members = [F.count("*").alias("c"), F.min("id").alias("a"), F.max("id").alias("z"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
-    kept = postings.groupBy("key").agg(*members).where("c > 1").groupBy("c", "a", "z", "x", "y").agg(F.min("key").alias("key")).select("key")
-    out = materialize(postings.join(kept, "key"), "lists")
+    kept = postings.groupBy("key").agg(*members).where("c > 1").groupBy("c", "a", "z", "x", "y").agg(F.min("key").alias("key"), F.count("*").cast("int").alias("weight"))
+    out = materialize(postings.join(kept.select("key", "weight"), "key").select("key", "id", "n", "other", "weight", "head"), "atoms")
     discard([postings])
     return out
 
 
+class TrieJoin:
+    """Overlaps of the sets of a walk with all `fixed` ones at once. Sets are arrays (keys, weights) in order of the keys; sets
+    that are walked come in the order of their trie."""
+
+    def __init__(self, fixed: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, others: np.ndarray, percent: int, step: int = 16):
+        self.sizes, self.others, self.percent, self.step = sizes, others, percent, step
+        owner = np.repeat(np.arange(len(fixed)), [len(k) for k, _ in fixed])
+        keys = np.concatenate([k for k, _ in fixed])
+        order = np.argsort(keys, kind="stable")
+        known, first = np.unique(keys[order], return_index=True)
+        self.owners = dict(zip(known.tolist(), np.split(owner[order], first[1:]), strict=True))
+        self.path: list[int] = []
+        self.partial = [np.zeros(len(fixed), np.int64)]
+
+    def partners(self, keys: np.ndarray, weights: np.ndarray, size: int, other: int) -> np.ndarray:
+        """The fixed sets that may link with this one: what both have counted, and have not, is enough."""
+        need = -(-self.percent * (self.sizes + size) // (100 + self.percent)) - np.minimum(self.others, other)
+        left = np.concatenate([np.cumsum(weights[::-1])[::-1], [0]])
+        depth = 0
+        for k in keys[: len(self.path)].tolist():
+            if self.path[depth] != k:
+                break
+            depth += 1
+        del self.path[depth:], self.partial[depth + 1 :]
+        now = self.partial[-1]
+        for at in range(depth, len(keys)):
+            if (at - depth) % self.step == 0 and not (now + left[at] >= need).any():
+                return np.empty(0, np.int64)
+            k = int(keys[at])
+            if (held := self.owners.get(k)) is not None:
+                now = now.copy()
+                now[held] += weights[at]
+            self.path.append(k)
+            self.partial.append(now)
+        return np.flatnonzero(now >= need)
+
+
 def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, keys) of wanted(id, doc_id, mark, digest); keys as big-endian bytes, so that they sort as sets. A bitmap of
     the wanted documents lets few others through, and the digest tells those."""
@@ -353,60 +396,83 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return theirs.unionByName(own).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").isNotNull(), "keys").select("a", "b", "keys").mapInArrow(trimmed(run), "a long, b long")
 
 
-def _fits(percent: int, *pair: str):
-    """The sizes let the pair link."""
-    a, b = pair
-    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+def _stars(rooted: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
+    """(a, b): each document with the least first member of its lists that lies in another component and has not been
+    tried; sizes that can't link are left out."""
+    centres = rooted.groupBy("key").agg(F.min_by(F.struct("id", "n", "root"), "id").alias("c")).select("key", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.root").alias("ra"))
+    fits = (100 * F.col("n") >= percent * F.col("na")) & (100 * F.col("na") >= percent * F.col("n"))
+    pairs = rooted.join(centres, "key").where((F.col("root") != F.col("ra")) & fits).select("a", F.col("id").alias("b"))
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+
 
+def _walked(rooted: DataFrame, atoms: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of each list of rooted(key, id, root), in different components, that can link."""
 
-def _star(rooted: DataFrame, percent: int, other: bool) -> DataFrame:
-    """Each member with the least one of its list; or, with other, of those in another component than that one's."""
-    least = lambda rows: rows.groupBy("key").agg(F.min_by(F.struct("id", "n", "root"), "id").alias("c"))
-    centres = least(rooted)
-    if other:
-        centres = least(rooted.join(centres.select("key", F.col("c.root").alias("r")), "key").where("root <> r"))
-    centres = centres.select("key", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.root").alias("ra"))
-    pairs = rooted.join(centres, "key").where((F.col("root") != F.col("ra")) & _fits(percent, "n", "na"))
-    return pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
 
+        def flush() -> pa.RecordBatch:
+            _, i, j = now
+            sets = [(np.array(keys, np.int64), np.array(weights, np.int64)) for *_, keys, weights in held]
+            ids, roots, sizes, others, block = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:5])
+            out_a, out_b = [], []
+            left, right = np.flatnonzero(block == i), [int(k) for k in np.flatnonzero(block == j)]
+            if len(left) and right and (roots != roots[0]).any():
+                trie = TrieJoin([sets[k] for k in left], sizes[left], others[left], percent)
+                for k in sorted(right, key=lambda k: sets[k][0].tolist()):
+                    found = left[trie.partners(*sets[k], int(sizes[k]), int(others[k]))]
+                    found = found[(roots[found] != roots[k]) & ((ids[found] < ids[k]) | (i != j))]
+                    out_a.append(np.minimum(ids[found], ids[k]))
+                    out_b.append(np.maximum(ids[found], ids[k]))
+            none = [np.empty(0, np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none)) for x in (out_a, out_b)], ["a", "b"])
+
+        columns = ("key", "i", "j", "id", "root", "n", "other", "block", "keys", "weights")
+        for b in batches:
+            for key, i, j, *row in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
+                if held and (key, i, j) != now:
+                    yield flush()
+                    held = []
+                now = (key, i, j)
+                held.append(row)
+        if held:
+            yield flush()
 
-def _pairs(rooted: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one list in different components that can link. The first value that a pair shares has at
-    least the needed overlap from its place on, in either set; later ones need not be looked at."""
-    side = lambda s: rooted.select("key", F.col("id").alias(s), F.col("root").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("place").alias(f"p{s}"))
-    need = percent * (F.col("na") + F.col("nb"))
-    left = lambda s: (F.col(f"n{s}") - F.col(f"p{s}")) * (100 + percent) >= need
-    pairs = side("a").join(side("b"), "key").where((F.col("ra") != F.col("rb")) & (F.col("a") < F.col("b")) & _fits(percent, "na", "nb") & left("a") & left("b"))
-    return pairs.select("a", "b").distinct()
+    blocks = rooted.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rooted.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "id", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    sets = atoms.join(rooted.select("id").distinct(), "id").groupBy("id", "n", "other").agg(F.array_sort(F.collect_list(F.struct("key", "weight"))).alias("atoms"))  # of one document
+    both = dealt.join(sets.select("id", "n", "other", F.col("atoms.key").alias("keys"), F.col("atoms.weight").alias("weights")), "id")
+    return both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
-def _roots(docs: DataFrame, lists: DataFrame, posted: DataFrame, percent: int) -> DataFrame | None:
+def _roots(docs: DataFrame, atoms: DataFrame, posted: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) of the ids that link with another one; None if no two do."""
-    links, tried = [], []
-    roots = None
-    for step in (lambda r: _star(r, percent, False), lambda r: _star(r, percent, True), lambda r: _pairs(r, percent)):
-        rooted = lists.withColumn("root", F.col("id"))
+    heads = atoms.where("head").select("key", "id", "n")
+    roots = tried = None
+    for step in range(STARS + 1):
+        rooted = heads.withColumn("root", F.col("id"))
         if roots is not None:
-            rooted = lists.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("key", "id", "n", "place", F.coalesce("r", "id").alias("root"))
-            several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
-            rooted = materialize(rooted.join(several, "key"), "rooted")
-        pairs = step(rooted)
-        for t in tried:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")  # a < b in each
+            rooted = heads.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("key", "id", "n", F.coalesce("r", "id").alias("root"))
+        several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
+        rooted = materialize(rooted.join(several, "key"), "rooted")
+        pairs = _stars(rooted, percent, tried) if step < STARS else _walked(rooted, atoms, percent)
+        if step == STARS and tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        if roots is not None:
-            discard([rooted])
+        discard([rooted])
         if pairs.isEmpty():
             continue
-        tried.append(pairs)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         wanted = materialize(posted.join(ids, "id").select("id", "doc_id", "mark", "digest"), "wanted")
         sets = materialize(_members(docs, wanted), "members")
         found = materialize(_verified(pairs, sets, percent), "links")
         discard([sets, wanted])
         if not found.isEmpty():
-            links.append(found)
-            roots = components(links[0] if len(links) == 1 else links[0].unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))).unionByName(found))
+            roots = components(found if roots is None else found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     return roots
 
 
@@ -426,8 +492,7 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     posted = materialize(_posted(chunks, percent), "posted")
     one = posted.groupBy("digest").agg(F.min("id").alias("id"))
     classes = materialize(posted.join(one, ["digest", "id"]), "classes")
-    lists = _lists(classes)
-    roots = _roots(docs, lists, classes, percent)
+    roots = _roots(docs, _atoms(classes, percent), classes, percent)
     all_ = chunks.where("part < 0").select(F.explode(F.arrays_zip("doc_id", "mark", "n", "digest")).alias("d")).select("d.doc_id", "d.mark", "d.n", "d.digest")
     copies = all_.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     if roots is None:
