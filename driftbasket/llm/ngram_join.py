@@ -4,22 +4,21 @@ Texts are lower-cased (A-Z) and cut into words [^\x20\x09-\x0D]+; a document's s
 shingles, as 63-bit hashes (a text of fewer words is one shingle). All sets are ordered alike, rare shingles
 first, so that what only copies have in common comes before what many documents quote.
 
-1. Document frequencies. Of each set the shingles with hashes in the lower half are counted. A chunk of documents
-   sends each of its shingles once, whatever the number of its documents that have it, so a passage in every
-   document costs a task one entry a chunk. What comes back are the shared ones and the power of two of their
-   frequency. The order is: counted shingles by that power, then by value; then the others by hash. It
-   is the same for all sets, and no result depends on it.
+1. Document frequencies. A chunk of documents sends each of its shingles once, whatever the number of its documents that
+   have it, so a passage in every document costs a task one entry a chunk. What comes back are the shared ones and
+   the power of two of their frequency. The order is by that power, then by value; it is the same for all
+   sets, and no result depends on it.
 2. Two sets with J >= t share one of the first |x| - ceil(t |x|) + 1 elements of either (prefix filter), the heads. A
-   document that has no shared one among them, as it must if less than three quarters of it are shared, is done with. Equal sets form a
-   class, of which one goes on. Shingles of the same documents are one atom, whose weight is their number, so a
-   set is a short list of atoms in the global order.
-3. Star rounds: each document is verified against the least partner that a head atom names, and links are joined to
+   document of which no head is shared, which is one with less than three quarters in common with others, is done with. Equal
+   sets form a class, of which one goes on. Of lists of the same documents one is kept.
+3. Star rounds: each document is verified against the least partner that its lists name, and links are joined to
    components. So a large group of near copies costs links in proportion to its size: a pair in one component needs no
    link of its own.
-4. Trie join. The documents of a head atom that lie in several components are stored as a trie of their atoms. It is
-   walked depth first with the partial overlaps of all other documents at each node, and a branch is left once these, what remains of
-   it and what was not counted can't reach ceil(t (|x| + |y|) / (1 + t)). Only pairs that can are rows; a long list is
-   walked by blocks. No pair is left out.
+4. Trie join. Of the lists whose documents lie in several components those documents remain that have a partner in another one
+   by size and by place: from the first element that two sets share on, either has what they must share. These
+   are stored as a trie, which is walked depth first with the partial overlaps of all other documents at each
+   node; a branch is left once these and what remains of it can't reach ceil(t (|x| + |y|) / (1 + t)).
+   Only pairs that can are rows; a long list is walked by blocks. No pair is left out.
 5. What is named by 3 and 4 is verified by whole sets. These, sorted as byte strings, are the depth-first order of their
    trie too; all partners of a set stand together, and each starts from the overlap of the prefix it shares with its predecessor.
 """
@@ -41,8 +40,6 @@ from ..operators.components import components
 
 N = 5
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Hashes below this one are counted.
-COUNTED = 1 << 62
 #: Shingles that a chunk holds, and documents (their numbers have two bytes).
 CHUNK_KEYS, CHUNK_DOCS = 1 << 20, 60_000
 #: About so many entries meet in one part of the hashes, whatever the size of the corpus.
@@ -50,7 +47,7 @@ PART_KEYS = 1_500_000
 #: Star rounds before the trie join, and documents of a list that it takes at once.
 STARS, BLOCK = 2, 512
 #: Places in the order: the power of two of the frequency, over a part's number and 32 bits within the part.
-POWER_AT, LAST = 58, 31
+POWER_AT, MOST_POWER = 58, 31
 
 
 def shingle_hashes(texts: list[str]) -> Iterator[np.ndarray]:
@@ -124,10 +121,10 @@ def _read_planes(octets: bytes) -> np.ndarray:
 
 
 class Parts:
-    """Equal parts of the counted hashes. A value is a part's number over 32 bits of the place in it."""
+    """Equal parts of the hashes. A value is a part's number over 32 bits of the place in it."""
 
     def __init__(self, n: int):
-        self.n, self.width = n, COUNTED // n + 1
+        self.n, self.width = n, (1 << 63) // n + 1
         self.shift = max(0, self.width.bit_length() - 32)
 
     def values(self, hashes: np.ndarray) -> np.ndarray:
@@ -135,8 +132,8 @@ class Parts:
         return part << np.uint64(32) | place >> np.uint64(self.shift)
 
 
-_CHUNK = "chunk long, part int, keys binary, owners binary, several binary, counts binary, doc_id array<long>, mark array<long>, n array<int>, counted array<int>, digest array<binary>, rest array<binary>"
-_CHUNK_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.binary())]
+_CHUNK = "chunk long, part int, keys binary, owners binary, several binary, counts binary, doc_id array<long>, mark array<long>, n array<int>, counted array<int>, digest array<binary>"
+_CHUNK_TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary())]
 _CHUNK_NAMES = [c.split(" ")[0] for c in _CHUNK.split(", ")]
 
 
@@ -144,10 +141,9 @@ def _rows(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CHUNK_TYPES, strict=True)], _CHUNK_NAMES)
 
 
-def _chunks(docs: DataFrame, percent: int, n_parts: int) -> DataFrame:
-    """Chunks of documents. Part -1: the documents (id, hash of the text, size of the set, number of counted values, digest
-    of the set, first hashes beyond the counted ones if those are too few for the prefix), and in keys and owners the
-    values that several of them have. Other parts: the values that one document has and its number, and
+def _chunks(docs: DataFrame, n_parts: int) -> DataFrame:
+    """Chunks of documents. Part -1: the documents (id, hash of the text, size of the set, number of its values, digest
+    of the set), and in keys and owners the values that several of them have. Other parts: the values that one document has and its number, and
     those that several have and by how many, at most 255."""
     parts = Parts(n_parts)
 
@@ -173,17 +169,14 @@ def _chunks(docs: DataFrame, percent: int, n_parts: int) -> DataFrame:
             rows = []
             for p in np.flatnonzero((np.diff(at_one) > 0) | (np.diff(at_more) > 0)):
                 x, y = one[at_one[p] : at_one[p + 1]], more[at_more[p] : at_more[p + 1]]
-                rows.append((number, int(p), _planes(all_[x] & np.uint64(0xFFFFFFFF)), owner[x].astype("<u2").tobytes(), _planes(all_[y] & np.uint64(0xFFFFFFFF)), capped[at_more[p] : at_more[p + 1]].tobytes(), *(None,) * 6))
+                rows.append((number, int(p), _planes(all_[x] & np.uint64(0xFFFFFFFF)), owner[x].astype("<u2").tobytes(), _planes(all_[y] & np.uint64(0xFFFFFFFF)), capped[at_more[p] : at_more[p + 1]].tobytes(), *(None,) * 5))
             if rows:
                 yield _rows([list(c) for c in zip(*rows, strict=True)])
 
         for b in batches:
             for doc, mark, h in zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), shingle_hashes(texts_of(b)), strict=True):
-                low = int(np.searchsorted(h, np.uint64(COUNTED)))
-                v = np.unique(parts.values(h[:low]))
-                most = prefix_length(len(h), percent)
-                rest = (h[low : low + most - len(v)] if most > len(v) else h[:0]) >> np.uint64(63 - POWER_AT)
-                held.append((doc, mark, len(h), len(v), xxhash.xxh3_128_digest(h.tobytes()), rest.astype("<u8").tobytes()))
+                v = np.unique(parts.values(h))
+                held.append((doc, mark, len(h), len(v), xxhash.xxh3_128_digest(h.tobytes())))
                 values.append(v)
                 size += len(v)
                 if size >= CHUNK_KEYS or len(held) >= CHUNK_DOCS:
@@ -211,7 +204,7 @@ def _counted(chunks: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
             total = np.add.reduceat(count[order], first)
             back = np.empty(len(value), np.uint8)
-            power = np.minimum(np.ceil(np.log2(total)), LAST - 1).astype(np.uint8)  # 0: one document alone
+            power = np.minimum(np.ceil(np.log2(total)), MOST_POWER).astype(np.uint8)  # 0: one document alone
             back[order] = np.repeat(power, np.diff(np.concatenate([first, [len(value)]])))
             at, other = 0, sum(map(len, ones))
             rows = []
@@ -220,7 +213,7 @@ def _counted(chunks: DataFrame) -> DataFrame:
                 at, other = at + len(o), other + len(m)
                 keep = p > 0
                 if keep.any() or len(q):
-                    rows.append((x[0], now, _planes(o[keep]), np.frombuffer(x[2], "<u2")[keep].tobytes(), x[3], np.concatenate([p[keep], q]).tobytes(), *(None,) * 6))
+                    rows.append((x[0], now, _planes(o[keep]), np.frombuffer(x[2], "<u2")[keep].tobytes(), x[3], np.concatenate([p[keep], q]).tobytes(), *(None,) * 5))
             for a in range(0, len(rows), 256):
                 yield _rows([list(c) for c in zip(*rows[a : a + 256], strict=True)])
 
@@ -238,15 +231,14 @@ def _counted(chunks: DataFrame) -> DataFrame:
 
 
 def _posted(chunks: DataFrame, percent: int) -> DataFrame:
-    """(id, doc_id, mark, n, digest, start, counted, posted): the documents that have a shared value among their heads, with
-    all their shared values, in the places start, start + 1, ...; counted is the number of places that come before
-    those of uncounted ones."""
+    """(id, doc_id, mark, n, digest, start, lost, posted): the documents that have a shared value among their heads, with
+    all their shared values, in the places start, start + 1, ...; lost is by how much they have fewer values than shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         about, owners, ranks, several = None, [], [], []
 
         def flush() -> pa.RecordBatch:
-            chunk, value, owner, doc_id, mark, n, counted, digest, rest = about
+            chunk, value, owner, doc_id, mark, n, counted, digest = about
             keys = np.concatenate([x for x, _ in several] or [np.empty(0, np.uint64)])
             power = np.concatenate([x for _, x in several] or [np.empty(0, np.uint64)])
             if len(value):
@@ -260,12 +252,10 @@ def _posted(chunks: DataFrame, percent: int) -> DataFrame:
             begin = np.cumsum(shared) - shared
             start = counted - shared
             out = []
-            for k in np.flatnonzero(((shared > 0) & (start < prefix_length(n, percent))) | np.array([len(r) > 0 for r in rest])):
-                more = np.frombuffer(rest[k], "<u8") | np.uint64(LAST << POWER_AT)
-                posted = np.concatenate([rank[begin[k] : begin[k] + shared[k]], more])
-                out.append((chunk << 16 | int(k), doc_id[k], mark[k], int(n[k]), digest[k], int(start[k]), int(counted[k]), posted.astype("<i8").tobytes()))
+            for k in np.flatnonzero((shared > 0) & (start < prefix_length(n, percent))):
+                out.append((chunk << 16 | int(k), doc_id[k], mark[k], int(n[k]), digest[k], int(start[k]), int(n[k] - counted[k]), rank[begin[k] : begin[k] + shared[k]].astype("<i8").tobytes()))
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 8, types, strict=True)], ["id", "doc_id", "mark", "n", "digest", "start", "counted", "posted"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 8, types, strict=True)], ["id", "doc_id", "mark", "n", "digest", "start", "lost", "posted"])
 
         for b in batches:
             for chunk, part, keys, own, more, counts, *documents in zip(*(b.column(c).to_pylist() for c in _CHUNK_NAMES), strict=True):
@@ -283,54 +273,48 @@ def _posted(chunks: DataFrame, percent: int) -> DataFrame:
             yield flush()
 
     both = chunks.where("part < 0").unionByName(_counted(chunks))
-    return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(trimmed(run), "id long, doc_id long, mark long, n int, digest binary, start int, counted int, posted binary")
+    return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(trimmed(run), "id long, doc_id long, mark long, n int, digest binary, start int, lost int, posted binary")
 
 
-def _atoms(posted: DataFrame, percent: int) -> DataFrame:
-    """(key, id, n, other, weight, head): the atoms of documents, by their least value. `other` are the shingles of
-    the document that are not counted, and head tells whether the atom's first place is one of the prefix. A pair's first common
-    value is the least of its atom, since all others of the atom are common to the pair too."""
+def _lists(posted: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, place) of the heads that two documents share; of lists of the same documents the one of the least key. A
+    pair's first common value is kept, since the lists that come before it lack one of the pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, start, counted, octets = (*(b.column(c).to_numpy() for c in ("id", "n", "start", "counted")), b.column("posted").to_pylist())
-            n = np.array([len(p) // 8 for p in octets])
+            ids, sizes, start = (b.column(c).to_numpy() for c in ("id", "n", "start"))
+            keys = [np.frombuffer(p, np.int64)[:most] for p, most in zip(b.column("posted").to_pylist(), (prefix_length(sizes.astype(np.int64), percent) - start).tolist(), strict=True)]
+            n = np.array([len(k) for k in keys])
             for at in range(0, len(ids), 256):  # a long text has thousands of values
                 part = slice(at, at + 256)
-                keys = np.frombuffer(b"".join(octets[part]), np.int64)
                 ends = np.cumsum(n[part])
-                place = np.arange(len(keys)) - np.repeat(ends - n[part] - start[part], n[part])
-                spread = lambda x: np.repeat(x[part], n[part])  # noqa: E731, B023
-                head = place < prefix_length(spread(sizes).astype(np.int64), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(spread(ids)), pa.array(spread(sizes)), pa.array(spread(sizes - counted)), pa.array(head)], ["key", "id", "n", "other", "head"])
+                place = np.arange(n[part].sum()) - np.repeat(ends - n[part] - start[part], n[part])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys[part])), *(pa.array(np.repeat(x[part], n[part])) for x in (ids, sizes)), pa.array(place.astype(np.int32))], ["key", "id", "n", "place"])
 
-    columns = ["id", "n", "start", "counted", "posted"]
-    postings = materialize(posted.select(*columns).mapInArrow(trimmed(run), "key long, id long, n int, other int, head boolean"), "postings")
+    postings = materialize(posted.select("id", "n", "start", "posted").mapInArrow(trimmed(run), "key long, id long, n int, place int"), "postings")
     members = [F.count("*").alias("c"), F.min("id").alias("a"), F.max("id").alias("z"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")]
-    kept = postings.groupBy("key").agg(*members).where("c > 1").groupBy("c", "a", "z", "x", "y").agg(F.min("key").alias("key"), F.count("*").cast("int").alias("weight"))
-    out = materialize(postings.join(kept.select("key", "weight"), "key").select("key", "id", "n", "other", "weight", "head"), "atoms")
+    kept = postings.groupBy("key").agg(*members).where("c > 1").groupBy("c", "a", "z", "x", "y").agg(F.min("key").alias("key")).select("key")
+    out = materialize(postings.join(kept, "key"), "lists")
     discard([postings])
     return out
 
 
 class TrieJoin:
-    """Overlaps of the sets of a walk with all `fixed` ones at once. Sets are arrays (keys, weights) in order of the keys; sets
-    that are walked come in the order of their trie."""
+    """Overlaps of the sets of a walk with all `fixed` ones at once; sets are ascending arrays, and those that are walked come
+    in the order of their trie."""
 
-    def __init__(self, fixed: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, others: np.ndarray, percent: int, step: int = 16):
-        self.sizes, self.others, self.percent, self.step = sizes, others, percent, step
-        owner = np.repeat(np.arange(len(fixed)), [len(k) for k, _ in fixed])
-        keys = np.concatenate([k for k, _ in fixed])
+    def __init__(self, fixed: list[np.ndarray], sizes: np.ndarray, lost: np.ndarray, percent: int, step: int = 16):
+        self.sizes, self.lost, self.percent, self.step = sizes, lost, percent, step
+        owner, keys = np.repeat(np.arange(len(fixed)), [len(k) for k in fixed]), np.concatenate(fixed)
         order = np.argsort(keys, kind="stable")
         known, first = np.unique(keys[order], return_index=True)
         self.owners = dict(zip(known.tolist(), np.split(owner[order], first[1:]), strict=True))
         self.path: list[int] = []
         self.partial = [np.zeros(len(fixed), np.int64)]
 
-    def partners(self, keys: np.ndarray, weights: np.ndarray, size: int, other: int) -> np.ndarray:
-        """The fixed sets that may link with this one: what both have counted, and have not, is enough."""
-        need = -(-self.percent * (self.sizes + size) // (100 + self.percent)) - np.minimum(self.others, other)
-        left = np.concatenate([np.cumsum(weights[::-1])[::-1], [0]])
+    def partners(self, keys: np.ndarray, size: int, lost: int) -> np.ndarray:
+        """The fixed sets that may link with this one of `size` shingles: of shingles that are one value both have lost."""
+        need = -(-self.percent * (self.sizes + size) // (100 + self.percent)) - np.minimum(self.lost, lost)
         depth = 0
         for k in keys[: len(self.path)].tolist():
             if self.path[depth] != k:
@@ -339,12 +323,12 @@ class TrieJoin:
         del self.path[depth:], self.partial[depth + 1 :]
         now = self.partial[-1]
         for at in range(depth, len(keys)):
-            if (at - depth) % self.step == 0 and not (now + left[at] >= need).any():
+            if (at - depth) % self.step == 0 and not (now + (len(keys) - at) >= need).any():
                 return np.empty(0, np.int64)
             k = int(keys[at])
             if (held := self.owners.get(k)) is not None:
                 now = now.copy()
-                now[held] += weights[at]
+                now[held] += 1
             self.path.append(k)
             self.partial.append(now)
         return np.flatnonzero(now >= need)
@@ -407,58 +391,94 @@ def _stars(rooted: DataFrame, percent: int, tried: DataFrame | None) -> DataFram
     return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
 
 
-def _walked(rooted: DataFrame, atoms: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of each list of rooted(key, id, root), in different components, that can link."""
+def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """(key, i, j) and the rows of each block pair of a list, from rows in this order."""
+    now, held = None, []
+    for b in batches:
+        for key, i, j, *row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", *columns)), strict=True):
+            if held and (key, i, j) != now:
+                yield now, held
+                held = []
+            now = (key, i, j)
+            held.append(row)
+    if held:
+        yield now, held
+
+
+_MEMBER = "key long, id long, root long, n int, place int, block int, i int, j int"
+
+
+def _viable(rooted: DataFrame, percent: int) -> DataFrame:
+    """rooted(key, id, root, n, place) by blocks i <= j of its lists: the rows that have a partner in the other block, and in
+    another component, with which they can link if key is the first value that they share."""
+    names = ["id", "root", "n", "place", "block"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        out, size = [], 0
+        for (key, i, j), rows in _grouped(batches, names):
+            _, root, n, place, block = all_ = np.array(rows, np.int64).T
+            x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            need = percent * (n[x][:, None] + n[y][None, :])
+            rest = (n - place) * (100 + percent)
+            fits = (np.minimum(n[x][:, None], n[y][None, :]) * (100 + percent) >= need) & (rest[x][:, None] >= need) & (rest[y][None, :] >= need) & (root[x][:, None] != root[y][None, :])
+            keep = np.union1d(x[fits.any(1)], y[fits.any(0)])
+            if len(keep):
+                here = all_[:, keep]
+                out.append([np.full(len(keep), key), *here, np.full(len(keep), i), np.full(len(keep), j)])
+                size += len(keep)
+            if size > 20_000:
+                yield _members_batch(out)
+                out, size = [], 0
+        yield _members_batch(out)
 
-        def flush() -> pa.RecordBatch:
-            _, i, j = now
-            sets = [(np.array(keys, np.int64), np.array(weights, np.int64)) for *_, keys, weights in held]
-            ids, roots, sizes, others, block = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:5])
-            out_a, out_b = [], []
-            left, right = np.flatnonzero(block == i), [int(k) for k in np.flatnonzero(block == j)]
-            if len(left) and right and (roots != roots[0]).any():
-                trie = TrieJoin([sets[k] for k in left], sizes[left], others[left], percent)
-                for k in sorted(right, key=lambda k: sets[k][0].tolist()):
-                    found = left[trie.partners(*sets[k], int(sizes[k]), int(others[k]))]
+    blocks = rooted.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rooted.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", *names, F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(trimmed(run), _MEMBER)
+
+
+def _members_batch(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 8
+    types = [pa.int64(), pa.int64(), pa.int64(), *(pa.int32(),) * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], [c.split(" ")[0] for c in _MEMBER.split(", ")])
+
+
+def _walked(viable: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of each block pair, in different components, that can link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), rows in _grouped(batches, ["id", "root", "n", "lost", "block", "posted"]):
+            sets = [np.frombuffer(r[-1], np.int64) for r in rows]
+            ids, roots, sizes, lost, block = np.array([r[:-1] for r in rows], np.int64).T
+            out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j).tolist()
+            if len(left) and right:
+                trie = TrieJoin([sets[k] for k in left], sizes[left], lost[left], percent)
+                for k in sorted(right, key=lambda k: sets[k].tolist()):
+                    found = left[trie.partners(sets[k], int(sizes[k]), int(lost[k]))]
                     found = found[(roots[found] != roots[k]) & ((ids[found] < ids[k]) | (i != j))]
                     out_a.append(np.minimum(ids[found], ids[k]))
                     out_b.append(np.maximum(ids[found], ids[k]))
-            none = [np.empty(0, np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none)) for x in (out_a, out_b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-        columns = ("key", "i", "j", "id", "root", "n", "other", "block", "keys", "weights")
-        for b in batches:
-            for key, i, j, *row in zip(*(b.column(c).to_pylist() for c in columns), strict=True):
-                if held and (key, i, j) != now:
-                    yield flush()
-                    held = []
-                now = (key, i, j)
-                held.append(row)
-        if held:
-            yield flush()
-
-    blocks = rooted.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rooted.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "id", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    sets = atoms.join(rooted.select("id").distinct(), "id").groupBy("id", "n", "other").agg(F.array_sort(F.collect_list(F.struct("key", "weight"))).alias("atoms"))  # of one document
-    both = dealt.join(sets.select("id", "n", "other", F.col("atoms.key").alias("keys"), F.col("atoms.weight").alias("weights")), "id")
+    both = viable.join(posted.select("id", "lost", "posted"), "id")
     return both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
-def _roots(docs: DataFrame, atoms: DataFrame, posted: DataFrame, percent: int) -> DataFrame | None:
+def _roots(docs: DataFrame, lists: DataFrame, posted: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) of the ids that link with another one; None if no two do."""
-    heads = atoms.where("head").select("key", "id", "n")
     roots = tried = None
     for step in range(STARS + 1):
-        rooted = heads.withColumn("root", F.col("id"))
+        rooted = lists.withColumn("root", F.col("id"))
         if roots is not None:
-            rooted = heads.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("key", "id", "n", F.coalesce("r", "id").alias("root"))
+            rooted = lists.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("key", "id", "n", "place", F.coalesce("r", "id").alias("root"))
         several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
         rooted = materialize(rooted.join(several, "key"), "rooted")
-        pairs = _stars(rooted, percent, tried) if step < STARS else _walked(rooted, atoms, percent)
+        if step < STARS:
+            pairs = _stars(rooted, percent, tried)
+        else:
+            viable = materialize(_viable(rooted, percent), "viable")
+            pairs = _walked(viable, posted, percent)
         if step == STARS and tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -487,12 +507,12 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // (12 * PART_KEYS)))  # about six characters a word, half of which count
-    chunks = materialize(_chunks(docs, percent, n_parts), "chunks")
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // (6 * PART_KEYS)))  # about six characters a word
+    chunks = materialize(_chunks(docs, n_parts), "chunks")
     posted = materialize(_posted(chunks, percent), "posted")
     one = posted.groupBy("digest").agg(F.min("id").alias("id"))
     classes = materialize(posted.join(one, ["digest", "id"]), "classes")
-    roots = _roots(docs, _atoms(classes, percent), classes, percent)
+    roots = _roots(docs, _lists(classes, percent), classes, percent)
     all_ = chunks.where("part < 0").select(F.explode(F.arrays_zip("doc_id", "mark", "n", "digest")).alias("d")).select("d.doc_id", "d.mark", "d.n", "d.digest")
     copies = all_.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     if roots is None:
