@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 
 from .common import small_batches, texts_of, trimmed
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.DOTALL)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 _WHITE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,17 +32,22 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Taken out with all below them, unless spare() finds that they wrap the main content.
-DROPPED = frozenset("nav footer aside form script style noscript iframe template svg math button select option textarea title head dialog menu object embed canvas audio video input label search".split())
+DROPPED = frozenset("nav footer aside form script style noscript iframe template svg math button select option textarea title head dialog menu object embed canvas audio video input search".split())
 #: Words in a class, id or role that mark what is no article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead comment comments disqus respond replies cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup modal overlay share sharing social related recommended widget toolbar pagination pager search complementary contentinfo alert paywall skip".split()
 )
 #: Those of DROPPED that may wrap the main content.
 WRAPPERS = frozenset("nav footer aside form menu dialog search".split())
-#: Why a node goes: by all means; by its tag or a whole name; by a part of a name, or as a form.
-HARD, BY_TAG, BY_PART = 1, 2, 3
+#: Those that as a part of a name leave no doubt.
+CLEAR = frozenset("banner related recommended advert adverts advertisement advertising sponsor sponsored nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead comment comments disqus respond replies cookie cookies consent gdpr newsletter subscribe subscription signup popup modal pagination paywall".split())
+#: Why a node goes: by all means; by its tag or a whole name; by a part of a name, or as a form; by a hint in its name.
+HARD, BY_TAG, BY_PART, BY_HINT = 1, 2, 3, 4
 #: Of the main content, what a node must hold more than to stay nevertheless.
-SHARE = {BY_TAG: 0.9, BY_PART: 0.5}
+SHARE = {BY_TAG: 0.9, BY_PART: 0.5, BY_HINT: 0.5}
+#: A node that only a hint marks goes if it has less than so many characters outside links, or more of them inside: density
+#: has the last word about the others.
+HINTED_CHARS = 100
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of a sentence, a list or an article.
 INLINE = HEADINGS | frozenset("b i em strong span a u small mark code br sup sub p li".split())
@@ -131,7 +136,7 @@ def _close(now: Node, tags: tuple[str, ...], scope: tuple[str, ...]) -> Node:
 
 
 def _dropped(tag: str, attributes: str, parent: Node) -> int:
-    """0: stays; otherwise HARD, or BY_TAG or BY_PART, about which spare() has the last word."""
+    """0: stays; otherwise HARD, or BY_TAG, BY_PART or BY_HINT, about which spare() has the last word."""
     if tag in DROPPED:
         return (BY_PART if tag == "form" else BY_TAG) if tag in WRAPPERS else HARD
     if tag == "header":
@@ -148,14 +153,18 @@ def _dropped(tag: str, attributes: str, parent: Node) -> int:
 
 
 def _named(attributes: str) -> int:
-    """BY_TAG if a whole name is a mark, BY_PART if a part of one is ("with-sidebar")."""
+    """BY_TAG if a whole name is a mark ("navbar", "cookieNotice"), BY_PART if a part of one is ("with-sidebar"), BY_HINT if that may
+    be a word of another name as well ("share-price")."""
     out = 0
     for m in _NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
-            if name in MARKS:
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in _SPLIT.split(name) if p]
+            if name.lower() in MARKS or (parts and MARKS.issuperset(parts)):
                 return BY_TAG
-            if not MARKS.isdisjoint(_SPLIT.split(name)):
+            if not CLEAR.isdisjoint(parts):
                 out = BY_PART
+            elif not MARKS.isdisjoint(parts):
+                out = out or BY_HINT
     return out
 
 
@@ -175,20 +184,20 @@ def spare(root: Node) -> None:
         inner = node if node.tag in ("article", "main") else b
         todo += [(c, inner, link) for c in reversed(node.children) if isinstance(c, Node) and c.drop != HARD]
     soft = any(n.drop for n in nodes)
-    held: dict[int, list[int]] = {id(n): [0, 0, 0] for n in nodes}  # outside links: all text, that in articles, in main
+    held: dict[int, list[int]] = {id(n): [0, 0, 0, 0] for n in nodes}  # outside links: all text, that in articles, in main; in links
     for node, link in zip(reversed(nodes), reversed(links), strict=True):
         node.text = sum(len(_WHITE.sub(" ", html.unescape(c)).strip()) for c in node.children if isinstance(c, str))
         if not soft:
             continue
         h = held[id(node)]
-        h[0] += 0 if link else node.text
+        h[3 if link else 0] += node.text
         if node.tag == "article" and not node.named:
             h[1] = h[0]
         elif node.tag == "main":
             h[2] = h[0]
         if node.parent is not None:
             up = held[id(node.parent)]
-            for k in range(3):
+            for k in range(4):
                 up[k] += h[k]
     if not soft:
         return
@@ -196,7 +205,7 @@ def spare(root: Node) -> None:
         if node.drop:
             whole, h = held[id(b)], held[id(node)]
             k = 0 if b.tag == "article" else 1 if b.tag == "main" and whole[1] else 2 if b is root and whole[2] else 1 if b is root and whole[1] else 0
-            if h[k] > SHARE[node.drop] * whole[k]:
+            if h[k] > SHARE[node.drop] * whole[k] or (node.drop == BY_HINT and h[0] >= HINTED_CHARS and h[0] > h[3]):
                 node.drop = 0
     kept = _nodes(root)
     if not any(n.text for n in kept):

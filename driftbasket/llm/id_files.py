@@ -4,7 +4,7 @@ An id is written as its rank by frequency in the corpus, in one to four bytes, l
 Two bits of a control byte give the length (less one) of each of four ids; a document's last control byte
 may have unused slots. A block holds whole documents in ascending doc_id order:
 
-    bucket, seq       place of the block: by bucket, then by seq
+    bucket, seq       place of the block: by bucket (a range of the order), then by seq
     doc_ids, lengths  the documents and how many ids each has
     start             ids of the bucket before the block
     n_ids             ids in the block
@@ -22,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_root, small_batches, texts_of, trimmed
-from .encoding import encode_text
+from .common import discard, materialize, scratch_root, small_batches, texts_of, trimmed
+from .encoding import encode_text, vocabulary_size
 
 #: Fixed by the format: byte lengths of the four slots of each control byte.
 SLOT_LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -64,100 +65,89 @@ def decode_ranks(control: bytes, data: bytes, lengths: np.ndarray) -> np.ndarray
     return out
 
 
+def _split(ids: np.ndarray) -> bytes:
+    """All first bytes of the ids, then all second ones, ...: of small ids half are zeros, which files hold in no space."""
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _read_split(octets: bytes) -> np.ndarray:
+    return np.frombuffer(octets, np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(-1)
+
+
 def _tokenize(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            low, high, n = [], [], []
-            for text in texts_of(b):
-                ids = np.append(encode_text(path, text), end_id).astype("<u2").view(np.uint8)
-                low.append(ids[0::2].tobytes())
-                high.append(ids[1::2].tobytes())
-                n.append(len(ids) // 2)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(low, pa.binary()), pa.array(high, pa.binary())], ["doc_id", "n", "low", "high"])
+            ids = [np.append(encode_text(path, text), np.uint32(end_id)) for text in texts_of(b)]
+            split = [_split(x) for x in ids]
+            check = [zlib.crc32(x) for x in split]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(check, pa.int64()), pa.array(split, pa.binary())], ["doc_id", "n", "check", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n long, low binary, high binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n long, check long, ids binary")
 
 
-def _planes(low: bytes, high: bytes) -> np.ndarray:
-    return np.frombuffer(low, np.uint8).astype(np.uint32) | np.frombuffer(high, np.uint8).astype(np.uint32) << np.uint32(8)
-
-
-def _id_counts(ids: DataFrame) -> DataFrame:
+def _id_counts(ids: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(65_536, np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
-            for low, high in zip(b.column("low").to_pylist(), b.column("high").to_pylist(), strict=True):
-                total += np.bincount(_planes(low, high), minlength=65_536) if len(low) > 4096 else 0
-                if len(low) <= 4096:
-                    np.add.at(total, _planes(low, high), 1)
+            held = [_read_split(x) for x in b.column("ids").to_pylist()]
+            total += np.bincount(np.concatenate([*held, np.empty(0, np.uint32)]).astype(np.int64), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    return ids.select("low", "high").mapInArrow(trimmed(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(trimmed(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None, ids_per_bucket: int = 4_000_000, ids_per_block: int = 65_536) -> str:
     """Write docs(doc_id, text, ...) to `path` (a new folder in the shared one by default); returns the path.
 
     Null and empty texts are the end id alone. Documents lie in ascending doc_id order, null ids first; of
-    repeated ids the shorter document comes first, then the one of the smaller checksum. Other columns are
-    ignored; an empty table writes no block.
+    repeated ids the shorter document comes first, then the one of the smaller checksum. Buckets are ranges of
+    that order, so the documents of one id, or of none, may fill many. Other columns are ignored; an empty table writes no
+    block.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = path or f"{scratch_root(spark)}/ids-{np.random.default_rng().integers(1 << 62):x}"
     ids = materialize(_tokenize(docs, tokenizer_path, end_id), "tokens")
-    counts = sorted(((-r["n"], r["id"]) for r in _id_counts(ids).collect()))  # one row for each id of the vocabulary
+    size = max(vocabulary_size(tokenizer_path), end_id + 1)
+    counts = sorted(((-r["n"], r["id"]) for r in _id_counts(ids, size).collect()))  # one row for each id of the vocabulary
     by_rank = np.array([i for _, i in counts], np.int64)
-    rank_of = np.zeros(65_536, np.uint32)
+    rank_of = np.zeros(size, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(by_rank)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     n_buckets = max(12, -(-int(-sum(c for c, _ in counts)) // ids_per_bucket))
-    bounds = np.unique(np.array(ids.approxQuantile("doc_id", [k / n_buckets for k in range(1, n_buckets)], 0.2 / n_buckets), np.float64))
-    ranks, cuts = spark.sparkContext.broadcast(rank_of), spark.sparkContext.broadcast(bounds)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            control, data, check = [], [], []
-            for low, high in zip(b.column("low").to_pylist(), b.column("high").to_pylist(), strict=True):
-                got = _planes(low, high)
-                c, d = encode_ranks(ranks.value[got])
-                control.append(c)
-                data.append(d)
-                check.append(zlib.crc32(d))
-            doc = np.array([-np.inf if x is None else x for x in b.column("doc_id").to_pylist()], np.float64)
-            bucket = np.searchsorted(cuts.value, doc, side="right")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), b.column("doc_id"), b.column("n"), pa.array(check, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["bucket", "doc_id", "n", "check", "control", "data"])
+    ranks = spark.sparkContext.broadcast(rank_of)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "seq", "doc_ids", "lengths", "start", "n_ids", "control", "data"]
         types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        now, seq, start, held, size = None, 0, 0, [], 0
+        bucket, seq, start, held, size = TaskContext.get().partitionId(), 0, 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            row = [now, seq, [x[0] for x in held], [x[1] for x in held], start, size, b"".join(x[2] for x in held), b"".join(x[3] for x in held)]
+            row = [bucket, seq, [x[0] for x in held], [x[1] for x in held], start, size, b"".join(x[2] for x in held), b"".join(x[3] for x in held)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for b in batches:
-            for bucket, doc, n, control, data in zip(*(b.column(c).to_pylist() for c in ("bucket", "doc_id", "n", "control", "data")), strict=True):
-                if held and (bucket != now or size >= ids_per_block):
+            for doc, n, split in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True):
+                if held and size + n > ids_per_block:
                     yield flush()
                     seq, start, held, size = seq + 1, start + size, [], 0
-                if bucket != now:
-                    now, seq, start = bucket, 0, 0
-                held.append((doc, n, control, data))
+                held.append((doc, n, *encode_ranks(ranks.value[_read_split(split)])))
                 size += n
         if held:
             yield flush()
 
+    order = [F.asc_nulls_first("doc_id"), F.col("n"), F.col("check")]
     (
-        ids.mapInArrow(trimmed(encode), "bucket int, doc_id long, n long, check long, control binary, data binary")
-        .repartition(n_buckets, "bucket")
-        .sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "n", "check")
+        ids.withColumn("row", F.monotonically_increasing_id())  # splits the rows of one id
+        .repartitionByRange(n_buckets, *order, "row")
+        .sortWithinPartitions(*order, "row")
+        .select("doc_id", "n", "ids")
         .mapInArrow(trimmed(block), "bucket int, seq int, doc_ids array<long>, lengths array<long>, start long, n_ids long, control binary, data binary")
         .write.option("compression", "zstd")
         .parquet(f"{path}/blocks")
     )
+    discard([ids])
     return path
 
 

@@ -13,6 +13,7 @@ dealt by a hash into shards of bounded size, which tasks pack on their own:
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,11 +21,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, texts_of, trimmed
-from .encoding import encode_text
+from .common import materialize, small_batches, texts_of, trimmed
+from .encoding import encode_text, vocabulary_size
 
 UNITS = 64
 
@@ -142,27 +144,69 @@ def _close_gaps(sequences: list[list[tuple[int, int, int]]], window: int, least_
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 4096, depth: int = 4, docs_per_shard: int = 6_000) -> DataFrame:
+def _tokens(docs: DataFrame, tokenizer_path: str, end_id: int, window: int) -> DataFrame:
+    """(row, doc_id, n, crc, part, ids): a row for each `window` ids of each document and for what remains; row numbers
+    documents, n counts the document's ids, and crc is that of all of them."""
+    kind = "<u2" if max(vocabulary_size(tokenizer_path), end_id) < 1 << 16 else "<u4"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for b in batches:
+            rows, size = [], 0
+            for doc, text in zip(b.column("doc_id").cast(pa.int64()).to_pylist(), texts_of(b), strict=True):
+                ids = np.append(encode_text(tokenizer_path, text), np.uint32(end_id)).astype(kind)
+                crc = zlib.crc32(ids.tobytes())
+                for at in range(0, len(ids), window):
+                    rows.append((number, doc, len(ids), crc, at // window, ids[at : at + window].tobytes()))
+                number, size = number + 1, size + len(ids)
+                if size > MOST_IDS:
+                    yield _batch(rows, _TOKENS)
+                    rows, size = [], 0
+            if rows:
+                yield _batch(rows, _TOKENS)
+
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "row long, doc_id long, n long, crc long, part int, ids binary")
+
+
+#: Ids in one Arrow batch.
+MOST_IDS = 1 << 20
+_TOKENS = {"row": pa.int64(), "doc_id": pa.int64(), "n": pa.int64(), "crc": pa.int64(), "part": pa.int32(), "ids": pa.binary()}
+_PIECES = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
+
+
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types.values(), strict=True)], list(types))
+
+
+def _shards(lengths: DataFrame, docs_per_shard: int, ids_per_shard: int) -> DataFrame:
+    """lengths(row, doc_id, n, crc) with shard and sub: dealt by a hash of id and crc, so the layout of the files doesn't
+    matter; only a shard that comes out twice as large as it should, by repeated rows, is dealt on by row."""
+    total = lengths.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("ids")).first()
+    shards = max(1, -(-total["docs"] // docs_per_shard), -(-total["ids"] // ids_per_shard))
+    dealt = lengths.withColumn("shard", F.pmod(F.xxhash64("doc_id", "crc"), F.lit(shards)))
+    times = F.greatest(F.count("*") / docs_per_shard, F.sum("n") / ids_per_shard)
+    large = dealt.groupBy("shard").agg(times.alias("times"), F.count("*").alias("docs")).where("times >= 2 and docs > 1")
+    large = large.select("shard", F.ceil("times").alias("subs"))
+    return dealt.join(large, "shard", "left").withColumn("sub", F.when(F.col("subs") > 0, F.pmod(F.xxhash64("row"), "subs")).otherwise(F.lit(0)).cast("long"))
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 4096, depth: int = 4, docs_per_shard: int = 6_000, ids_per_shard: int = 6_000_000) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) of each piece of docs(doc_id, text, ...).
 
     `ids` are the piece's ids as little-endian uint32, `start` counts the document's ids before it. Null and
     empty texts are the end id alone; a null doc_id stays null, and rows that repeat an id are documents of
     their own; other columns are ignored; an empty table gives an empty one. A sequence is padded to `window`
-    unless its length is a power of two. A shard holds about `docs_per_shard` documents, dealt by a hash of
-    id and ids, so a task's memory is bounded; sequence ids are the shard's number x 2^32 + the number in it.
+    unless its length is a power of two. A shard holds about `docs_per_shard` documents and `ids_per_shard` ids, but no
+    ids themselves: these are joined to the pieces afterwards, at most a window of them at a time. So a task's memory is
+    bounded; sequence ids are shard x 2^40 + sub x 2^24 + the number in it.
     """
     small_batches(docs.sparkSession)
-    shards = max(1, -(-docs.count() // docs_per_shard))
-
-    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [np.append(encode_text(tokenizer_path, t), end_id).astype("<u2").tobytes() for t in texts_of(b)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+    tokens = materialize(_tokens(docs, tokenizer_path, end_id, window), "tokens")
+    dealt = _shards(tokens.where("part = 0").select("row", "doc_id", "n", "crc"), docs_per_shard, ids_per_shard)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "ids"], na_position="first", kind="stable")
-        ids = [np.frombuffer(x, "<u2") for x in rows["ids"]]
-        n = np.array([len(x) for x in ids])
+        rows = rows.sort_values(["doc_id", "crc", "n", "row"], na_position="first", kind="stable")
+        n = rows["n"].to_numpy()
         rest = n % window
         whole, at = [], []
         for d in np.flatnonzero(n >= window):
@@ -175,13 +219,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
                 at.append((d, s, m, k, offset))
                 offset += m
         d, s, m, k, offset = (np.array(x, np.int64) for x in zip(*at, strict=True))
-        return pd.DataFrame(
-            {
-                "doc_id": rows["doc_id"].array.take(d), "start": s, "length": m, "ids": [ids[i][a : a + b].astype("<u4").tobytes() for i, a, b in zip(d, s, m, strict=True)],
-                "doc_tokens": n[d], "sequence_id": (int(key[0]) << 32) + k, "offset": offset,
-            }
-        )
-
-    tokens = docs.select("doc_id", "text").mapInArrow(trimmed(tokenize), "doc_id long, ids binary")
-    shard = F.pmod(F.xxhash64("doc_id", F.crc32("ids")), F.lit(shards)).cast("int")
-    return tokens.withColumn("shard", shard).groupBy("shard").applyInPandas(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+        return pd.DataFrame({"row": rows["row"].to_numpy()[d], "part": (s // window).astype(np.int32), "start": s, "length": m, "sequence_id": (int(key[0]) << 40) + (int(key[1]) << 24) + k, "offset": offset})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc, start, length, ids, n, sequence, offset in zip(*(b.column(c).to_pylist() for c in _PIECES), strict=True):
+                held = np.frombuffer(ids, kind).astype("<u4")
+                out.append((doc, start, length, held[start % window : start % window + length].tobytes(), n, sequence, offset))
+            yield _batch(out, _PIECES)
+
+    kind = "<u2" if max(vocabulary_size(tokenizer_path), end_id) < 1 << 16 else "<u4"
+    pieces = dealt.groupBy("shard", "sub").applyInPandas(run, "row long, part int, start long, length long, sequence_id long, offset long")
+    found = pieces.join(tokens.select("row", "part", "doc_id", F.col("n").alias("doc_tokens"), "ids"), ["row", "part"]).select(*_PIECES)
+    return found.mapInArrow(trimmed(cut), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -102,11 +102,13 @@ def fit_references(docs: DataFrame, labels: DataFrame, sample: int = 4000, commo
         if total:
             classes[r["lang"]] = [r[f"c{k}"] / total for k in range(N_CLASSES)]
     seen = rows.where(F.col("lang").isin(list(classes))).select("lang", F.explode(word_array(F.col("text"))).alias("word")).groupBy("lang", "word").count()
-    order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
-    top = seen.select("lang", "word", "count", F.sum("count").over(Window.partitionBy("lang")).alias("total"), F.row_number().over(order).alias("k"))
+    total = {r["lang"]: r["n"] for r in sums.select("lang", "n").collect()}
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("count"), "word"))
+    parted = seen.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(64)))  # a language may have most of the words
+    top = parted.withColumn("k", rank("part")).where(F.col("k") <= common_words).withColumn("k", rank())
     words: dict[str, list[tuple[str, float]]] = {}
     for r in top.where(F.col("k") <= common_words).orderBy("lang", "k").collect():
-        words.setdefault(r["lang"], []).append((r["word"], r["count"] / r["total"]))
+        words.setdefault(r["lang"], []).append((r["word"], r["count"] / total[r["lang"]]))
     return References(classes, words)
 
 
@@ -168,9 +170,13 @@ def quality(docs: DataFrame, references: References, limits: Limits = Limits())
     docs that have the names of results are replaced; an empty table gives an empty one.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
-    t, w, c, lang = F.col("_t"), F.col("_w"), F.col("_c"), F.col("lang")
-    base = docs.select(*(x for x in docs.columns if x not in made), F.coalesce("text", F.lit("")).alias("_t"))
-    base = base.withColumns({"_w": word_array(t), "_c": char_counts(t)})
+    own = "own"  # a column for what is computed once
+    while own in docs.columns:
+        own += "_"
+    t, w, c = (F.col(f"{own}.{x}") for x in "twc")
+    lang = F.col("lang")
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select(*(x for x in docs.columns if x not in made), F.struct(text.alias("t"), word_array(text).alias("w"), char_counts(text).alias("c")).alias(own))
     base = base.withColumns(
         {
             "n_words": F.size(w).cast("long"),
@@ -182,7 +188,7 @@ def quality(docs: DataFrame, references: References, limits: Limits = Limits())
             "word_distance": _words_distance(w, lang, references, limits),
         }
     )
-    base = base.withColumn("base_failed", _failed(F.col("n_words"), F.col("n_repeat_words"))).drop("_w", "_t", "_c")
+    base = base.withColumn("base_failed", _failed(F.col("n_words"), F.col("n_repeat_words"))).drop(own)
     return base.withColumn("kept", ~F.col("base_failed") & _near(F.col("class_distance"), F.col("word_distance"), limits))
 
 

@@ -1,8 +1,8 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier 1 is a compact table of the frequent pre-tokens' lengths, broadcast (its size is a parameter).
-Tier 2 is a bounded cache in each Python worker; what misses both is encoded by the library, a batch
-at a time. No pre-token is ever shuffled, and one pass over the texts is all there is.
+Tier 2 is a bounded cache in each Python worker, which it keeps from task to task; what misses both is encoded by the
+library, a batch at a time. No pre-token is ever shuffled, and one pass over the texts is all there is.
 
 A text may be cut before every single space that stands before a non-space: no match of the byte-level
 pre-tokenization pattern spans such a place. So the pieces are encoded one by one, and repeated pieces
@@ -65,9 +65,14 @@ def encode_pieces(path: str, texts: list[str]) -> list[list[int]]:
 class PieceLengths:
     """Token counts of texts; at most `limit` pieces are kept beside the broadcast table."""
 
-    def __init__(self, path: str, frequent: dict[str, int], limit: int = 600_000):
+    def __init__(self, path: str, frequent: dict[str, int], limit: int = 400_000):
         self.path, self.frequent, self.limit, self.cache = path, frequent, limit, dict(frequent)
 
+    def with_frequent(self, frequent: dict[str, int]) -> PieceLengths:
+        self.frequent = frequent
+        self.cache.update(frequent)
+        return self
+
     def batch(self, texts: list[str]) -> list[int]:
         tok, special = tokenizer(self.path), special_strings(self.path)
         out, cut = [0] * len(texts), []
@@ -93,6 +98,16 @@ class PieceLengths:
         return out
 
 
+#: Of this process, by tokenizer file: lengths of pieces depend on nothing else.
+_kept: dict[str, PieceLengths] = {}
+
+
+def piece_lengths(path: str, frequent: dict[str, int]) -> PieceLengths:
+    if path not in _kept:
+        _kept[path] = PieceLengths(path, frequent)
+    return _kept[path].with_frequent(frequent)
+
+
 def frequent_pieces(docs: DataFrame, path: str, table_size: int, sample_docs: int, seed: int = 7) -> dict[str, int]:
     """Lengths of the commonest pieces of about `sample_docs` documents. It decides what is looked up
     first, never a result."""
@@ -132,7 +147,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, table_size: int =
     known = spark.sparkContext.broadcast(frequent_pieces(docs, path, table_size, sample_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = PieceLengths(path, known.value)
+        lengths = piece_lengths(path, known.value)
         for b in batches:
             texts = texts_of(b)
             n = [x for _, part in _slices(texts) for x in lengths.batch(part)]
