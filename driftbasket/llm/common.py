@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import discard, materialize, scratch_root  # noqa: F401
+from ..scratch import discard, materialize, materialize_by, scratch_root  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,7 @@ def bitmap_of(hashes: DataFrame) -> Broadcast:
     slots = hashes.select(F.pmod("h", F.lit(rows * BITMAP_ROW)).alias("slot"))
     slots = slots.repartition(F.floor(F.col("slot") / BITMAP_ROW)).mapInArrow(trimmed(run), "row long, bits binary")
     out = np.zeros(rows * BITMAP_ROW // 8, np.uint8)
-    for r in slots.toLocalIterator():
+    for r in slots.collect() if rows <= 64 else slots.toLocalIterator():
         at = r["row"] * BITMAP_ROW // 8
         out[at : at + BITMAP_ROW // 8] |= np.frombuffer(r["bits"], np.uint8)
     return hashes.sparkSession.sparkContext.broadcast(out)

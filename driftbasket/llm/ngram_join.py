@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, discard, is_marked, materialize, small_batches, texts_of, trimmed
+from .common import bitmap_of, discard, is_marked, materialize, materialize_by, small_batches, texts_of, trimmed
 from .word_hashes import hashed_words, mixed
 from ..operators.components import components
 
@@ -43,7 +43,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles that a chunk holds, and documents (their numbers have two bytes).
 CHUNK_KEYS, CHUNK_DOCS = 1 << 20, 60_000
 #: About so many entries meet in one part of the hashes, whatever the size of the corpus.
-PART_KEYS = 1_500_000
+PART_KEYS = 800_000
 #: Star rounds before the trie join, and documents of a list that it takes at once.
 STARS, BLOCK = 2, 512
 #: Places in the order: the power of two of the frequency, over a part's number and 32 bits within the part.
@@ -188,7 +188,7 @@ def _chunks(docs: DataFrame, n_parts: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(trimmed(run), _CHUNK)
 
 
-def _counted(chunks: DataFrame) -> DataFrame:
+def _counted(values: DataFrame) -> DataFrame:
     """Of each chunk's parts what is shared: values and owners, and those that several of its documents have; counts
     hold the powers of two of the numbers of documents, first of `keys`, then of `several`."""
 
@@ -227,10 +227,10 @@ def _counted(chunks: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return chunks.where("part >= 0").repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(run), _CHUNK)
+    return values.repartition("part").sortWithinPartitions("part").mapInArrow(trimmed(run), _CHUNK)
 
 
-def _posted(chunks: DataFrame, percent: int) -> DataFrame:
+def _posted(about: DataFrame, values: DataFrame, percent: int) -> DataFrame:
     """(id, doc_id, mark, n, digest, start, lost, posted): the documents that have a shared value among their heads, with
     all their shared values, in the places start, start + 1, ...; lost is by how much they have fewer values than shingles."""
 
@@ -272,7 +272,7 @@ def _posted(chunks: DataFrame, percent: int) -> DataFrame:
         if about:
             yield flush()
 
-    both = chunks.where("part < 0").unionByName(_counted(chunks))
+    both = about.unionByName(_counted(values))
     return both.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(trimmed(run), "id long, doc_id long, mark long, n int, digest binary, start int, lost int, posted binary")
 
 
@@ -359,32 +359,31 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. The set of a goes once to each block of its partners, of about 256."""
+    """The pairs (a, b) that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = None
+        now, walk = None, None
         for b in batches:
             out: list[tuple[int, int]] = []
-            for x, y, keys in zip(*(b.column(c).to_pylist() for c in ("a", "b", "keys")), strict=True):
-                keys = np.frombuffer(keys, ">u8").astype(np.uint64)
-                if y is None:
-                    walk = TrieWalk(keys, percent)
-                elif walk.linked(keys):
+            for x, y, fixed, keys in zip(*(b.column(c).to_pylist() for c in ("a", "b", "fixed", "keys")), strict=True):
+                if now != x:
+                    now, walk = x, TrieWalk(np.frombuffer(fixed, ">u8").astype(np.uint64), percent)
+                if walk.linked(np.frombuffer(keys, ">u8").astype(np.uint64)):
                     out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("blocks"))
-    dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
-    theirs = dealt.join(sets.select(F.col("id").alias("b"), "keys"), "b")
-    own = dealt.select("a", "block").distinct().join(sets.select(F.col("id").alias("a"), "keys"), "a").withColumn("b", F.lit(None).cast("long"))
-    return theirs.unionByName(own).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").isNotNull(), "keys").select("a", "b", "keys").mapInArrow(trimmed(run), "a long, b long")
+    right = pairs.join(sets.select(F.col("id").alias("b"), "keys"), "b")
+    both = right.join(sets.select(F.col("id").alias("a"), F.col("keys").alias("fixed")), "a")
+    return both.select("a", "b", "fixed", "keys").sortWithinPartitions("a", "keys").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _stars(rooted: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
-    """(a, b): each document with the least first member of its lists that lies in another component and has not been
-    tried; sizes that can't link are left out."""
-    centres = rooted.groupBy("key").agg(F.min_by(F.struct("id", "n", "root"), "id").alias("c")).select("key", F.col("c.id").alias("a"), F.col("c.n").alias("na"), F.col("c.root").alias("ra"))
-    fits = (100 * F.col("n") >= percent * F.col("na")) & (100 * F.col("na") >= percent * F.col("n"))
+    """(a, b): each document with the least first member of its lists that lies in another component, has not been
+    tried and fits by size and place."""
+    centre = F.min_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("place").alias("pa")), "id").alias("c")
+    centres = rooted.groupBy("key").agg(centre).select("key", "c.*")
+    need = percent * (F.col("n") + F.col("na"))
+    fits = (F.least("n", "na") * (100 + percent) >= need) & ((F.col("n") - F.col("place")) * (100 + percent) >= need) & ((F.col("na") - F.col("pa")) * (100 + percent) >= need)
     pairs = rooted.join(centres, "key").where((F.col("root") != F.col("ra")) & fits).select("a", F.col("id").alias("b"))
     if tried is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -507,13 +506,14 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // (6 * PART_KEYS)))  # about six characters a word
-    chunks = materialize(_chunks(docs, n_parts), "chunks")
-    posted = materialize(_posted(chunks, percent), "posted")
+    n_parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // (6 * PART_KEYS)))  # about six characters a word
+    about, values = materialize_by(_chunks(docs, n_parts).withColumn("sent", F.col("part") >= 0), "sent", [False, True], "chunks")
+    posted = materialize(_posted(about, values, percent), "posted")
+    discard([values])
     one = posted.groupBy("digest").agg(F.min("id").alias("id"))
     classes = materialize(posted.join(one, ["digest", "id"]), "classes")
     roots = _roots(docs, _lists(classes, percent), classes, percent)
-    all_ = chunks.where("part < 0").select(F.explode(F.arrays_zip("doc_id", "mark", "n", "digest")).alias("d")).select("d.doc_id", "d.mark", "d.n", "d.digest")
+    all_ = about.select(F.explode(F.arrays_zip("doc_id", "mark", "n", "digest")).alias("d")).select("d.doc_id", "d.mark", "d.n", "d.digest")
     copies = all_.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     if roots is None:
         named = copies.where("c > 1").select("digest", F.col("least").alias("component"))
