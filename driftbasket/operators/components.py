@@ -19,15 +19,16 @@ def _least(both: DataFrame) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node that is in a link (a, b), root being the least node it reaches."""
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
+    checksum = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    seen = checksum(edges)
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(_least(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down).distinct()
         before, edges = edges, materialize(small.where("a <> b"), "edges")
         discard([before])
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = checksum(edges)
         if now == seen:
             break
         seen = now
