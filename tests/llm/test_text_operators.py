@@ -243,8 +243,11 @@ def _mixed_in_turn(m, t, cls, text):
             path = [(int(a), int(b)) for a, b, _ in zip(code.nodes[cls[token]], code.bits[cls[token]], range(code.lengths[cls[token]]), strict=False)]
             own = [(int(a), int(b)) for a, b, _ in zip(code.nodes[follow], code.bits[follow], range(code.lengths[follow]), strict=False)] if follow >= 0 else []
             says = len(own) > depth and own[:depth] == path[:depth]
-            x.append(2.0 * (2 * own[depth][1] - 1) if says else 0.0)
-            gate = (min(depth // 2, 2), int(context_mixing.sure_of(m, d.slots[2][k : k + 1])[0]), says)
+            x.append(5.0 * (2 * own[depth][1] - 1) if says else 0.0)
+            run = 0
+            while run < t.place[token] and int(m.follow[slot[token - run - 1]]) - 1 == cls[token - run - 1]:
+                run += 1
+            gate = (min(depth // 2, 2), int(context_mixing.sure_of(m, d.slots[2][k : k + 1])[0]), says and 1 + (run > 0) + (run > 3))
             w = weights.setdefault(gate, list(m.start))
             s = max(-12, min(12, sum(a * b for a, b in zip(w, x, strict=True))))
             at = max(0, min(7, int(s + 4)))
