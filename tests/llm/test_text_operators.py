@@ -537,7 +537,7 @@ def test_planted_leaks_that_were_edited(spark):
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.choice((2, 3, 4, 9))))
     items = [(i, " ".join(word() for _ in range(rng.choice((6, 15, 40, 40, 90))))) for i in range(24)] + [(90, "zz yy"), (91, "zx zy zw zv")]
     texts = []
-    for d in range(160):
+    for d in range(320):
         w = items[d % 24][1].split()
         for _ in range(rng.choice((0, 1, 1, 2))):
             at, n = rng.randrange(len(w)), rng.choice((1, 2, max(1, len(w) // 8)))
