@@ -1,8 +1,10 @@
 """The corpus pipeline: documents to packed training sequences in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are written as Parquet
-and read again. All but the last return the columns of documents. Each stage decides
-by row: rows of a null or repeated doc_id are documents of their own.
+and read again. All but the last return the columns of documents, whatever they are: the stages need doc_id and text,
+the first lang as well, and names of their own give way to those of the table. Each stage decides
+by row: rows of a null or repeated doc_id are documents of their own. Whole texts count, however long. An empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,47 +20,51 @@ from pyspark.sql import functions as F
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; references of the languages come from good labelled documents."""
+    """Documents that the quality rules keep; references of the languages come from good labelled documents. Null, empty and
+    word-free texts go, as having under ten words; where the language is null or has no reference, only the plain rules
+    decide; equal rows fare alike."""
     references = rules.fit_references(docs, table(spark, sf_dir, "labels"))
     return rules.keep(docs, references)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key of each row in _row, written once so that it stays the same."""
-    return materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-
-
-def _by_row(rows: DataFrame) -> DataFrame:
-    """(doc_id, text) for operators that go by id: the key of the row is its id."""
-    return rows.select(F.col("_row").alias("doc_id"), "text")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of each row, written once so that it stays the same; the key's name is new to docs."""
+    key = "row"
+    while key in docs.columns:
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows"), key
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked ones: that of the smallest id, a null one last, and of rows that repeat it
-    any one. Rows that link with none stay."""
-    rows = _keyed(docs)
-    groups = materialize(ngram_join.join(_by_row(rows)).select(F.col("doc_id").alias("_row"), "component_id"), "groups")
-    several = groups.where("component_id <> _row").select("component_id").distinct()
-    linked = materialize(groups.join(several, "component_id", "left_semi").join(rows.select("_row", "doc_id"), "_row"), "linked")
-    first = linked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
-    gone = linked.select("_row").join(first, "_row", "left_anti")
-    return rows.join(materialize(gone, "gone"), "_row", "left_anti").select(*docs.columns)
+    any one. Rows that link with none stay, among them all null, empty and word-free texts."""
+    rows, key = _keyed(docs)
+    groups = ngram_join.join(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    groups = materialize(groups, "groups")
+    several = groups.where(F.col("component_id") != F.col(key)).select("component_id").distinct()
+    named = rows.select(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(key).alias("row")).alias("order"))
+    linked = materialize(groups.join(several, "component_id", "left_semi").join(named, key), "linked")
+    first = linked.groupBy("component_id").agg(F.min("order")["row"].alias(key))
+    gone = linked.select(key).join(first, key, "left_anti")
+    return rows.join(materialize(gone, "gone"), key, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that leak no benchmark item."""
-    rows = _keyed(docs)
-    gone = decontaminate.leaks(_by_row(rows), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(materialize(gone, "gone"), "_row", "left_anti").select(*docs.columns)
+    """Rows that leak no benchmark item; null and empty texts leak none."""
+    rows, key = _keyed(docs)
+    gone = decontaminate.leaks(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(materialize(gone, "gone"), key, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by [secret]; n_chars follows the text."""
+    """All documents, secrets replaced by [secret]; n_chars, if there is such a column, follows the text. Null texts stay null
+    and empty ones empty; equal rows fare alike."""
     return secrets.redacted(docs, secrets.fit_grammar(docs))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 4096 tokens."""
+    """The pieces of all documents in sequences of at most 4096 tokens; a null or empty text is its end alone, and a null
+    doc_id stays null."""
     out = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
