@@ -5,6 +5,7 @@ Scores are compared as whole millionths: sums of doubles in another order differ
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,14 +19,15 @@ from ..operators.partition import find_partitions
 from ..operators.quality_report import benchmark_report, sample_sources
 from ..operators.topk import keep_top
 from ..operators.walks import degree_order, monte_carlo, queue_order, walk_baskets, walk_trace
+from ..scratch import scratch_root
+from ..sources.edge_csv import read_edge_csv
 from .graphs import EDGES, edges, graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 D, K, L, SWEEPS = 0.85, 10, 20, 10
 TOLERANCE, MOST_SWEEPS = 0.05, 16
-SAMPLE, SEED = 10, "report"
-TEST_NODES = 200  # the report's own default
-WALKS, WALKERS = 40, 5
+SAMPLE, SEED = 200, "report"  # the report's own default
+WALKS = 40
 
 
 def e6(score: Column) -> Column:
@@ -117,19 +119,18 @@ def _report(spark: SparkSession, d: str, strict: bool, sample: int = SAMPLE) ->
     return out.select(*(e6(F.col(c)).alias(c) for c in out.columns))
 
 
-_FIRST = f"select id as source from v order by id limit {WALKERS}"
+_ALL = "select id as source from v"
 _PRNG = "cast(('0x' || substr(md5('walk:' || source || ':' || walk || ':' || (step + 1) || ':{}'), 1, 8)) as bigint) / 4294967296.0"
 _WALK = [
-    f"src(source) as ({_FIRST})",
+    f"src(source) as materialized ({_ALL})",
     "k as materialized (select src, dst, row_number() over (partition by src order by dst) as k, count(*) over (partition by src) as n from e)",
     f"""t(source, walk, step, node) as (select s.source, g.walk, 1, k.dst from src s cross join range({int(WALKS * D)}) g(walk) join k on k.src = s.source and k.k = (g.walk + 1) % k.n + 1
       union all select t.source, t.walk, t.step + 1, k.dst from t join k on k.src = t.node and k.k = cast(floor({_PRNG.format('hop')} * k.n) as bigint) + 1 where {_PRNG.format('stay')} <= {D})""",
 ]
 
 
-def _sources(g: Graph, n: int | None) -> DataFrame:
-    """The n least ids, or without n all."""
-    return (g.vertices if n is None else g.vertices.orderBy("id").limit(n)).select(F.col("id").alias("source"))
+def _sources(g: Graph) -> DataFrame:
+    return g.vertices.select(F.col("id").alias("source"))
 
 
 def _long(df: DataFrame, **to: str) -> DataFrame:
@@ -140,20 +141,37 @@ def _list(column: str) -> Column:
     return F.array_join(F.transform(column, lambda x: x.cast("string")), ",")
 
 
-def _baskets_pair(spark: SparkSession, d: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Two sparse vectors per source: successors by weight, and predecessors by share; of two thirds of the edges, or
-    of the whole graph."""
-    g = graph(spark, d, "bipartite")
-    a = g.weights(D).select(F.col("src").alias("source"), F.col("dst").alias("node"), F.col("w").alias("score"))
-    e = edges(spark, d, "bipartite")
-    b = (e if whole else e.where("(src + dst) % 3 <> 0")).select(F.col("src").alias("source"), F.col("dst").alias("node"), (F.col("dst") / 1000.0).alias("score"))
-    return a, b
+_RETURNED = "select cast(l_partkey + 100000 as bigint) as source, cast(l_suppkey as bigint) as node, sum(l_quantity) / 1000 as score from lineitem where l_returnflag = 'R' group by l_partkey, l_suppkey"
 
 
-_PAIR = ["a as (select src as source, dst as node, w as score from w)", "b as (select src as source, dst as node, dst / 1000.0 as score from e where (src + dst) % 3 <> 0)"]
+def _baskets_pair(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two sparse vectors per part: its suppliers by weight, and those that got it back by quantity."""
+    a = graph(spark, d, "bipartite").weights(D).select(F.col("src").alias("source"), F.col("dst").alias("node"), F.col("w").alias("score"))
+    return a, spark.sql(_RETURNED.replace("from lineitem", "from {lineitem}"), lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+
+
+_PAIR = ["a as (select src as source, dst as node, w as score from w)", f"b as ({_RETURNED})"]
 _DEGENERATE = "(1, 1, 1, 1), (1, 2, 1, 2), (2, 1, 1, 2), (2, 2, 1, 2), (3, 1, 5, 7), (4, 1, 1, 3), (4, 2, 2, 2), (4, 3, 3, 1), (5, 1, 1, 1), (5, 2, 1, 2), (5, 3, 2, 2)"
 
 
+#: Nations before regions unless these have more links; the customers of a nation as soon as it has come.
+_ORDER_TREE = _with("tree").rstrip() + """, r as (select id, row_number() over (order by coalesce(i.n, 0) desc, coalesce(o.n, 0), id) as r from v left join (select dst, count(*) as n from e group by dst) i on i.dst = id left join o on o.src = id),
+    n as (select e.src as id, least(a.r, b.r) as q, case when a.r < b.r then 0 else 1 end as d from e join r a on a.id = e.src join r b on b.id = e.dst where e.src < 1000000),
+    p as (select id, q, d, id as at from n union all select e.src, n.q, n.d + 1, n.id from e join n on n.id = e.dst union all select id, r, 0, id from r where id not in (select src from e))
+    select id, row_number() over (order by q, d, at, id) - 1 as ord from p"""
+_MC_TREE = f"""with r as (select id as source, id as node, 1.0::double as score from (select c_custkey + 1000000 as id from customer union select c_nationkey + 1000 from customer union select n_nationkey + 1000 from nation union select n_regionkey from nation)
+    union all select c_custkey + 1000000, c_nationkey + 1000, {D} from customer union all select n_nationkey + 1000, n_regionkey, {D} from nation
+    union all select c_custkey + 1000000, n_regionkey, {D * D:.10f} from customer join nation on n_nationkey = c_nationkey)
+    select cast(source as bigint) as source, cast(node as bigint) as node, {_e6('score')} as score_e6 from r"""
+
+
+def edge_file(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of `flow` written as lines of text, with repeats, and read as an edge file."""
+    path = f"{scratch_root(spark)}/edges-{uuid.uuid4().hex}"
+    edges(spark, d, "flow_multi").select(F.concat_ws(", ", "src", "dst").alias("value")).write.text(path)
+    return _long(read_edge_csv(spark, path).edges, src="src", dst="dst")
+
+
 def _registry() -> dict[str, tuple[Query, str | None]]:
     g = lambda s, d, n="flow": graph(s, d, n)
     q: dict[str, tuple[Query, str | None]] = {}
@@ -172,8 +190,8 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     q["keep_top_short_baskets"] = (lambda s, d: _scored(keep_top(_baskets_pair(s, d)[0], 10_000), "source", "node"), _with("bipartite", *_PAIR) + f"select source, node, {_e6('score')} as score_e6 from a")
     q["norm1_pairs"] = (lambda s, d: norm1(*_baskets_pair(s, d)).select("source", e6(F.col("norm1")).alias("norm1_e6")), _with("bipartite", *_PAIR) + f"select source, {_e6('sum(abs(coalesce(a.score, 0) - coalesce(b.score, 0)))')} as norm1_e6 from a full join b using (source, node) group by source")
 
-    def jaccard_pairs(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
-        a, b = (x.groupBy("source").agg(F.collect_set("node").alias(n)) for x, n in zip(_baskets_pair(s, d, whole), "ab", strict=True))
+    def jaccard_pairs(s: SparkSession, d: str) -> DataFrame:
+        a, b = (x.groupBy("source").agg(F.collect_set("node").alias(n)) for x, n in zip(_baskets_pair(s, d), "ab", strict=True))
         return a.join(b, "source", "full").select("source", e6(jaccard(F.coalesce("a", F.array().cast("array<bigint>")), F.coalesce("b", F.array().cast("array<bigint>")))).alias("jaccard_e6"))
 
     jaccard_sql = _with("bipartite", *_PAIR) + f"select source, {_e6('count(a.node + b.node) / count(*)')} as jaccard_e6 from a full join b using (source, node) group by source"
@@ -189,23 +207,22 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     degenerate = lambda s, d: kendall_tau_b(s.sql(f"select cast(col1 as bigint) as source, col2 as item, col3 as x, col4 as y from values {_DEGENERATE}")).select("source", e6(F.col("kendall")).alias("kendall_e6"))
     q["kendall_degenerate"] = (degenerate, "with " + ", ".join(_kendall(f"select cast(source as bigint) as source, item, x, y from (values {_DEGENERATE}) t(source, item, x, y)")) + f" select source, {_e6('kendall')} as kendall_e6 from kn")
     least = lambda x: x.vertices.agg(F.min("id")).first()[0]
-    one, five = "select min(id) from v", f"select id from v order by id limit {WALKERS}"
+    one = "select min(id) from v"
     q["exact_single_fixed"] = (lambda s, d: _scored(exact_single_source(x := g(s, d), least(x), 15, D, -1.0), "node"), _with("flow", *_exact(one, 15)) + f"select node, {_e6('score')} as score_e6 from x")
     q["exact_single_converged"] = (lambda s, d: _scored(exact_single_source(x := g(s, d), least(x), 60, D, 0.02), "node"), _with("flow", *_exact(one, 60, 0.02)) + f"select node, {_e6('score')} as score_e6 from x")
 
-    def dangling_loss(s: SparkSession, d: str, whole: bool = False) -> DataFrame:
+    def dangling_loss(s: SparkSession, d: str) -> DataFrame:
         x = g(s, d, "tree")
-        customers = x.vertices.where("id >= 1000000")
-        sources = (customers if whole else customers.orderBy("id").limit(50)).select(F.col("id").alias("source"))
-        return _scored(exact_multi_source(x, sources, 10, D, 1e-4), "source", "node")
+        customers = x.vertices.where("id >= 1000000").select(F.col("id").alias("source"))
+        return _scored(exact_multi_source(x, customers, 10, D, 1e-4), "source", "node")
 
     q["exact_dangling_loss"] = (
         dangling_loss,
-        f"""with c as (select c_custkey + 1000000 as source, c_nationkey from customer order by c_custkey limit 50), r as (select source, source as node, {1 - D:.10f} as score from c
+        f"""with c as (select c_custkey + 1000000 as source, c_nationkey from customer), r as (select source, source as node, {1 - D:.10f} as score from c
         union all select source, c_nationkey + 1000, {(1 - D) * D:.10f} from c union all select source, n_regionkey, {(1 - D) * D * D:.10f} from c join nation on n_nationkey = c_nationkey)
         select source, cast(node as bigint) as node, {_e6('score')} as score_e6 from r""",
     )
-    q["exact_multi_source"] = (lambda s, d: _scored(exact_multi_source(x := g(s, d), _sources(x, WALKERS), 12, D, -1.0), "source", "node"), _with("flow", *_exact(five, 12)) + f"select source, node, {_e6('score')} as score_e6 from x")
+    q["exact_multi_source"] = (lambda s, d: _scored(exact_multi_source(x := g(s, d), _sources(x), 12, D, -1.0), "source", "node"), _with("flow", *_exact(_ALL, 12)) + f"select source, node, {_e6('score')} as score_e6 from x")
     q["bfs_partition"] = (lambda s, d: _long(find_partitions(g(s, d)), id="id", side="side"), _with("flow", *_SIDES) + "select id, cast(side as bigint) as side from sides")
     q["partition_sizes"] = (lambda s, d: find_partitions(g(s, d)).groupBy(F.col("side").cast("long").alias("side")).agg(F.count("*").alias("nodes")), _with("flow", *_SIDES) + "select cast(side as bigint) as side, count(*) as nodes from sides group by side")
     q["basket_init"] = (lambda s, d: _scored(initial(g(s, d), L, D), "source", "node"), _with("flow", _INIT) + f"select source, node, {_e6('score')} as score_e6 from b0")
@@ -234,13 +251,13 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     q["basket_converged"] = (converged, _with("flow", *_basket_sql(MOST_SWEEPS)[:-1], *steps) + f"select t.source, t.node, {_e6('t.score')} as score_e6, cast(h.n as bigint) as half_sweeps from ({_top('select * from last', K)}) t cross join h")
     q["basket_parallel"] = (lambda s, d: _scored(baskets(g(s, d), K, L, SWEEPS, D, nThreads=4), "source", "node"), fixed)
 
-    def error(s: SparkSession, d: str, n: int | None = WALKERS) -> DataFrame:
+    def error(s: SparkSession, d: str) -> DataFrame:
         x = g(s, d)
-        b, t = baskets(x, K, L, SWEEPS, D), exact_multi_source(x, _sources(x, n), 30, D, -1.0)
+        b, t = baskets(x, K, L, SWEEPS, D), exact_multi_source(x, _sources(x), 30, D, -1.0)
         both = b.join(t.withColumnRenamed("score", "exact"), ["source", "node"])
         return both.groupBy("source").agg(F.count("*").alias("nodes"), e6(F.sum(F.abs(F.col("score") - F.col("exact")))).alias("error_e6"))
 
-    q["basket_vs_exact_error"] = (error, _with("flow", *_basket_sql(), *_exact(five, 30)) + f"select x.source, count(*) as nodes, {_e6('sum(abs(b.score - x.score))')} as error_e6 from baskets b join x on x.source = b.source and x.node = b.node group by x.source")
+    q["basket_vs_exact_error"] = (error, _with("flow", *_basket_sql(), *_exact(_ALL, 30)) + f"select x.source, count(*) as nodes, {_e6('sum(abs(b.score - x.score))')} as error_e6 from baskets b join x on x.source = b.source and x.node = b.node group by x.source")
     q["benchmark_report_all"] = (lambda s, d: _report(s, d, False), _report_sql(False))
     q["benchmark_report_strict"] = (lambda s, d: _report(s, d, True), _report_sql(True))
     empty = lambda s, d: benchmark_report(s.createDataFrame([], "source long, node long, score double"), g(s, d))
@@ -249,21 +266,13 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
     q["benchmark_sample"] = (picked, _with("tree") + f"select id as source from v where id in (select src from e) order by md5('{SEED}:' || id), id limit {SAMPLE}")
     q["exec_order_rank"] = (lambda s, d: _long(degree_order(g(s, d, "bipartite")), id="id", ord="ord"), _with("bipartite") + "select id, row_number() over (order by coalesce(i.n, 0) desc, coalesce(o.n, 0), id) - 1 as ord from v left join (select dst, count(*) as n from e group by dst) i on i.dst = id left join o on o.src = id")
     q["exec_order_full"] = (lambda s, d: queue_order(g(s, d)), None)
-    q["walk_trace"] = (lambda s, d: _long(walk_trace(x := g(s, d), _sources(x, WALKERS), WALKS, D), source="source", walk="walk", step="step", node="node"), _with("flow", *_WALK) + "select source, cast(walk as bigint) as walk, cast(step as bigint) as step, node from t")
+    q["walk_trace"] = (lambda s, d: _long(walk_trace(x := g(s, d), _sources(x), WALKS, D), source="source", walk="walk", step="step", node="node"), _with("flow", *_WALK) + "select source, cast(walk as bigint) as walk, cast(step as bigint) as step, node from t")
     seen = f"select source, node, sum(n) as n, min(f) as f from (select source, source as node, {WALKS} as n, -1000000 as f from src union all select source, node, count(*), min(walk * 1000 + step) from t group by source, node) group by source, node"
-    q["walk_scores"] = (lambda s, d: _scored(walk_baskets(x := g(s, d), _sources(x, WALKERS), 30, WALKS, D), "source", "node"), _with("flow", *_WALK) + f"select source, node, {_e6(f'n / {WALKS}')} as score_e6 from ({seen}) qualify row_number() over (partition by source order by f) <= 30")
+    q["walk_scores"] = (lambda s, d: _scored(walk_baskets(x := g(s, d), _sources(x), 30, WALKS, D), "source", "node"), _with("flow", *_WALK) + f"select source, node, {_e6(f'n / {WALKS}')} as score_e6 from ({seen}) qualify row_number() over (partition by source order by f) <= 30")
     q["mc_baskets"] = (lambda s, d: _scored(monte_carlo(g(s, d), K, L, WALKS, D), "source", "node"), None)
-    # The queries above of few sources or edges, over all of them; brute force stands in for SQL, which would be too slow.
-    q["keep_top_per_source_whole"] = (lambda s, d: _scored(keep_top(_baskets_pair(s, d, True)[1], 5), "source", "node"), None)
-    q["norm1_pairs_whole"] = (lambda s, d: norm1(*_baskets_pair(s, d, True)).select("source", e6(F.col("norm1")).alias("norm1_e6")), None)
-    q["jaccard_pairs_whole"] = (lambda s, d: jaccard_pairs(s, d, True), None)
-    q["exact_dangling_loss_whole"] = (lambda s, d: dangling_loss(s, d, True), None)
-    q["exact_multi_source_whole"] = (lambda s, d: _scored(exact_multi_source(x := g(s, d), _sources(x, None), 12, D, -1.0), "source", "node"), None)
-    q["basket_vs_exact_error_whole"] = (lambda s, d: error(s, d, None), None)
-    q["benchmark_report_all_whole"] = (lambda s, d: _report(s, d, False, TEST_NODES), None)
-    q["benchmark_report_strict_whole"] = (lambda s, d: _report(s, d, True, TEST_NODES), None)
-    q["walk_trace_whole"] = (lambda s, d: _long(walk_trace(x := g(s, d), _sources(x, None), WALKS, D), source="source", walk="walk", step="step", node="node"), None)
-    q["walk_scores_whole"] = (lambda s, d: _scored(walk_baskets(x := g(s, d), _sources(x, None), 30, WALKS, D), "source", "node"), None)
+    q["exec_order_tree"] = (lambda s, d: _long(queue_order(g(s, d, "tree")), id="id", ord="ord"), _ORDER_TREE)
+    q["mc_baskets_tree"] = (lambda s, d: _scored(monte_carlo(g(s, d, "tree"), K, L, WALKS, D), "source", "node"), _MC_TREE)
+    q["import_edge_file"] = (edge_file, f"select distinct cast(src as bigint) as src, cast(dst as bigint) as dst from ({EDGES['flow_multi']})")
     return q
 
 

@@ -1,8 +1,11 @@
 """Fixtures with known results: shapes, closed forms, orderings, error messages."""
 
+import hashlib
+import math
 import random
 
 import pytest
+from driftbasket.__main__ import run
 from driftbasket.functions.metrics import jaccard, kendall_tau_b, norm1
 from driftbasket.graph import Graph
 from driftbasket.operators.baskets import baskets
@@ -10,7 +13,7 @@ from driftbasket.operators.exact import exact_multi_source, exact_single_source
 from driftbasket.operators.partition import find_partitions
 from driftbasket.operators.quality_report import benchmark_report
 from driftbasket.operators.topk import keep_top, to_maps
-from driftbasket.operators.walks import degree_order, monte_carlo, queue_order
+from driftbasket.operators.walks import degree_order, monte_carlo, queue_order, walk_baskets, walk_trace
 from driftbasket.plans.graphs import graph
 from driftbasket.sources.edge_csv import parse_edges, read_edge_csv
 from pyspark.sql import functions as F
@@ -131,11 +134,96 @@ def test_monte_carlo_estimates_visits(spark):
         assert sum(abs(got[i].get(n, 0) * 0.15 - want[n]) for n in want) < 0.1
 
 
+def walked_in_turn(g):
+    """The order by a queue that one process keeps."""
+    into = {n: sorted(s for s, ts in g.items() for t in ts if t == n) for n in g}
+    left, done, out = {n: len(ts) for n, ts in g.items()}, set(), []
+    for seed in sorted(g, key=lambda n: (-len(into[n]), len(g[n]), n)):
+        line = [] if seed in done else [seed]
+        for n in line:
+            done.add(n)
+            out.append(n)
+            for p in into[n]:
+                left[p] -= 1
+                if left[p] == 0 and p not in done:
+                    line.append(p)
+    return out
+
+
+def in_order(df):
+    rows = df.orderBy("ord").collect()
+    assert [r.ord for r in rows] == list(range(len(rows)))
+    return [r.id for r in rows]
+
+
 def test_orders(spark):
-    g = adj(spark, {0: [1, 2], 1: [2], 2: [], 3: [2, 2]})
-    assert [r.id for r in degree_order(g).orderBy("ord").collect()] == [2, 1, 0, 3]
-    assert sorted(r.id for r in queue_order(g).collect()) == [0, 1, 2, 3]
-    assert [r.id for r in queue_order(g).orderBy("ord").collect()][0] == 2
+    g = {0: [1, 2], 1: [2], 2: [], 3: [2, 2]}
+    assert in_order(degree_order(adj(spark, g))) == [2, 1, 0, 3]
+    assert in_order(queue_order(adj(spark, g))) == walked_in_turn(g)
+    assert queue_order(adj(spark, {})).count() == 0
+
+
+@pytest.mark.parametrize("seed,edges", [(1, 25), (2, 45), (3, 90)])
+def test_queue_order_of_random_graphs(spark, seed, edges):
+    rng = random.Random(seed)
+    g = {n: [] for n in range(30)}
+    for _ in range(edges):
+        a, b = rng.randrange(30), rng.randrange(30)
+        g[max(a, b) if rng.random() < 0.8 else a].append(min(a, b))
+    assert in_order(queue_order(adj(spark, g))) == walked_in_turn(g)
+
+
+def test_chain_is_exact(spark):
+    """A node combines the final baskets of what comes before it, so few walks are enough."""
+    g = {n: [n + 1] for n in range(11)} | {11: []}
+    got = maps(monte_carlo(adj(spark, g), 12, 12, 20))
+    assert all(got[n] == pytest.approx({m: 0.85 ** (m - n) for m in range(n, 12)}, abs=1e-9) for n in g)
+
+
+def test_final_baskets_of_earlier_nodes_walks_of_later_ones(spark):
+    rng = random.Random(9)
+    g = {n: [rng.randrange(14) for _ in range(3)] for n in range(14)} | {14: []}
+    graph = adj(spark, g)
+    order, walks = walked_in_turn(g), 30
+    walked = maps(walk_baskets(graph, graph.vertices.withColumnRenamed("id", "source"), 15, walks))
+    final = {}
+    for n in order:
+        mine = {n: 1.0}
+        for t in g[n]:
+            for m, x in (final.get(t) or walked[t]).items():
+                mine[m] = mine.get(m, 0) + x * 0.85 / len(g[n])
+        final[n] = mine
+    got = maps(monte_carlo(graph, 15, 15, walks))
+    assert all(got[n] == pytest.approx(final[n], abs=1e-9) for n in g)
+
+
+def test_long_walks_are_never_cut(spark):
+    trace = walk_trace(adj(spark, {0: [0]}), spark.createDataFrame([(0,)], "source long"), 3, 0.97)
+    steps = {r.walk: r["max(step)"] for r in trace.groupBy("walk").max("step").collect()}
+    stay = lambda w, k: int(hashlib.md5(f"walk:0:{w}:{k}:stay".encode()).hexdigest()[:8], 16) / 2**32 <= 0.97
+    assert steps == {w: next(k for k in range(2, 10_000) if not stay(w, k)) - 1 for w in range(2)}
+    with pytest.raises(ValueError):
+        walk_trace(adj(spark, {0: [0]}), spark.createDataFrame([(0,)], "source long"), 3, 1.0)
+
+
+def test_kendall_against_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(s, i, rng.randrange(m), rng.randrange(k)) for s, (n, m, k) in enumerate([(40, 60, 60), (40, 4, 5), (1, 3, 3), (9, 1, 5), (9, 5, 1), (6, 1, 1), (64, 1000, 2)]) for i in range(n)]
+    got = {r.source: r.kendall for r in kendall_tau_b(spark.createDataFrame(rows, "source long, item long, x long, y long")).collect()}
+    sign = lambda a, b: (a > b) - (a < b)
+    for s in got:
+        own = [(x, y) for k, _, x, y in rows if k == s]
+        pairs = [(sign(a[0], b[0]), sign(a[1], b[1])) for i, a in enumerate(own) for b in own[:i]]
+        num, nx, ny = sum(a * b for a, b in pairs), sum(abs(a) for a, _ in pairs), sum(abs(b) for _, b in pairs)
+        assert got[s] == pytest.approx(1.0 if not pairs else num / math.sqrt(nx * ny) if nx * ny else float(nx == ny))
+
+
+def test_driver_program(spark, tmp_path, capsys):
+    (tmp_path / "edges.txt").write_text("1, 2\n2, 3\n3, 1\n1, 2\n3, 4\n")
+    run(spark, str(tmp_path / "edges.txt"), K=4, L=6, iterations=20, walks=20, nodes=5, threads=2)
+    said = capsys.readouterr().out
+    assert said.startswith("nodes: 4 edges: 4\n") and said.count("run-time = ") == 3 and said.count("jaccard_average     ") == 3
+
 
 
 def test_report(spark):
