@@ -33,9 +33,9 @@ N = 5
 BITS, BLOCK_BITS, BLOCK_RADIUS = 128, 16, 3
 BLOCKS = BITS // BLOCK_BITS
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-#: Bytes of the map for each shingle of an item, the least and the most of them. Beyond a million shingles more places
+#: Bytes of the map for each shingle of an item, the least and the most of them. Beyond some hundred thousand shingles more places
 #: are looked at, with the same results.
-MAP_SHARE, LEAST_MAP, MOST_MAP = 16, 1 << 16, 1 << 24
+MAP_SHARE, LEAST_MAP, MOST_MAP = 128, 1 << 18, 1 << 24
 PROBES = (0, 20, 40)
 
 
@@ -43,7 +43,7 @@ def _hashes(words: Column, n: int) -> Column:
     """Of the shingles of n words at each place 0 .. size - n."""
     hashed = F.transform(words, lambda w: F.xxhash64(w))
     own = (F.lit(n),) if n < N else ()
-    rolled = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n), *own))
+    rolled = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(n)), *own))
     return F.when(F.size(words) >= n, let(hashed, rolled)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -123,16 +123,16 @@ def _cuts(docs: DataFrame, marks: bytes, short: list[int], longest: int) -> Data
     held = F.lit(marks)
     marked = lambda h, p: F.substring(held, _slot(h, p, len(marks)) + 1, F.lit(1)) == F.lit(b"\x01")
     probed = lambda h: marked(h, PROBES[0]) & marked(h, PROBES[1]) & marked(h, PROBES[2])
-    words = F.col("words")
 
-    def hits(n: int) -> Column:
+    def hits(words: Column, n: int) -> Column:
         places = lambda hs: F.filter(F.transform(hs, lambda h, i: F.when(probed(h), i)), lambda i: i.isNotNull())
         full = lambda hs: F.transform(places(hs), lambda i: F.struct(i.alias("i"), F.element_at(hs, i + 1).alias("h"), _weight(words, i, n).alias("w")))
         return let(_hashes(words, n), full)
 
-    all_ = hits(N) if not short else F.array_sort(F.concat(hits(N), *(hits(n) for n in short)))
-    found = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", word_array(F.lower(F.coalesce("text", F.lit("")))).alias("words"))
-    found = found.withColumn("hits", all_).where(F.size("hits") > 0)
+    all_ = lambda w: hits(w, N) if not short else F.array_sort(F.concat(hits(w, N), *(hits(w, n) for n in short)))
+    read = let(word_array(F.lower(F.coalesce("text", F.lit("")))), lambda w: F.struct(w.alias("words"), all_(w).alias("hits")))
+    # one row each: a filter on what explode() returns isn't pushed below it, where all would be computed twice
+    found = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.explode(F.array(read)).alias("x")).where(F.size("x.hits") > 0).select("row", "doc_id", "x.words", "x.hits")
     gap = lambda x, k: (k == 0) | (x["i"] - F.element_at("hits", F.greatest(k, F.lit(1)))["i"] > 2 * longest)
     first = F.transform(F.filter("hits", gap), lambda x: x["i"])  # of the hits of each cut
     found = found.withColumn("first", first).select("*", F.posexplode("first").alias("k", "a"))
