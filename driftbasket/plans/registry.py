@@ -157,8 +157,8 @@ _DEGENERATE = "(1, 1, 1, 1), (1, 2, 1, 2), (2, 1, 1, 2), (2, 2, 1, 2), (3, 1, 5,
 #: Nations before regions unless these have more links; the customers of a nation as soon as it has come.
 _ORDER_TREE = _with("tree").rstrip() + """, r as (select id, row_number() over (order by coalesce(i.n, 0) desc, coalesce(o.n, 0), id) as r from v left join (select dst, count(*) as n from e group by dst) i on i.dst = id left join o on o.src = id),
     n as (select e.src as id, least(a.r, b.r) as q, case when a.r < b.r then 0 else 1 end as d from e join r a on a.id = e.src join r b on b.id = e.dst where e.src < 1000000),
-    p as (select id, q, d, id as at from n union all select e.src, n.q, n.d + 1, n.id from e join n on n.id = e.dst union all select id, r, 0, id from r where id not in (select src from e))
-    select id, row_number() over (order by q, d, at, id) - 1 as ord from p"""
+    p as (select id, q, d, id as after from n union all select e.src, n.q, n.d + 1, n.id from e join n on n.id = e.dst union all select id, r, 0, id from r where id not in (select src from e))
+    select id, row_number() over (order by q, d, after, id) - 1 as ord from p"""
 _MC_TREE = f"""with r as (select id as source, id as node, 1.0::double as score from (select c_custkey + 1000000 as id from customer union select c_nationkey + 1000 from customer union select n_nationkey + 1000 from nation union select n_regionkey from nation)
     union all select c_custkey + 1000000, c_nationkey + 1000, {D} from customer union all select n_nationkey + 1000, n_regionkey, {D} from nation
     union all select c_custkey + 1000000, n_regionkey, {D * D:.10f} from customer join nation on n_nationkey = c_nationkey)
