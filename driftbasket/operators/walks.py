@@ -37,12 +37,12 @@ class _Parts:
         self.tag, self.parts = tag, []
 
     def add(self, part: DataFrame) -> None:
-        """part: written by materialize()."""
-        self.parts.append(part)
-        if len(self.parts) > PARTS:
+        """part: written by materialize(). It stays as it is until the next one comes."""
+        if len(self.parts) >= PARTS:
             one = materialize(self.all(), self.tag)
             discard(self.parts)
             self.parts = [one]
+        self.parts.append(part)
 
     def all(self) -> DataFrame:
         out = self.parts[0]
@@ -128,7 +128,6 @@ def walk_trace(graph: Graph, sources: DataFrame, walks: int, damping: float = 0.
     now = materialize(first.join(edges, (F.col("source") == F.col("src")) & (edges["k"] == first["k"])).select("source", "walk", F.lit(1).alias("step"), F.col("dst").alias("node")), "walks")
     trace, step = _Parts("walks"), 1
     while not now.isEmpty():
-        # part of the trace once the next step has been made: what is added may be written anew
         step += 1
         key = lambda what: uniform(F.lit(seed), F.col("source").cast("string"), F.col("walk").cast("string"), F.lit(str(step)), F.lit(what))  # noqa: E731, B023
         alive = now.where(key("stay") <= damping).join(out, F.col("node") == F.col("src")).select("source", "walk", "node", (F.floor(key("hop") * F.col("n")) + 1).cast("int").alias("k"))
