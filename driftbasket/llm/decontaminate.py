@@ -188,7 +188,8 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.75) -> DataFr
     prints = _prints(contents, "content").join(contents.select("content", "n_words"), "content").select("content", "n_words", "low", "high", _blocks())
     probes = prints.select("content", "n_words", "low", "high", F.col("b.k").alias("k"), F.col("b.v").alias("v"))
     distance = F.bit_count(F.col("low").bitwiseXOR(F.col("item_low"))) + F.bit_count(F.col("high").bitwiseXOR(F.col("item_high")))
-    near = probes.join(index.hint("merge"), ["n_words", "k", "v"])  # its bytes shuffled say little about its rows, which aren't to be broadcast.where(distance <= RADIUS).select("content", "item", distance.cast("long").alias("distance")).distinct()
+    # shuffled, the index has so few bytes that it would be broadcast, with all its rows
+    near = probes.join(index.hint("merge"), ["n_words", "k", "v"]).where(distance <= RADIUS).select("content", "item", distance.cast("long").alias("distance")).distinct()
     scored = near.join(contents.select("content", "shingles"), "content").join(known.select("item", "item_id", F.col("shingles").alias("item_shingles")), "item")
     scored = scored.withColumn("similarity", _similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= similarity)
     out = windows.select("row", "doc_id", F.col("start_word").cast("long").alias("start_word"), F.col("n_words").cast("long").alias("n_words"), "content").join(scored.select("content", "item_id", "distance", "similarity"), "content")
