@@ -112,12 +112,12 @@ class TrieWalk:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Four-byte numbers, leading bytes first: those of sorted ones compress."""
-    return x.astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """The steps of ascending four-byte numbers, all first bytes, then all second ones, ...: the first ones compress."""
+    return np.diff(x, prepend=np.uint64(0)).astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
 def _read_planes(octets: bytes) -> np.ndarray:
-    return np.frombuffer(octets, np.uint8).reshape(4, -1).T.copy().view(">u4").reshape(-1).astype(np.uint64)
+    return np.cumsum(np.frombuffer(octets, np.uint8).reshape(4, -1).T.copy().view(">u4").reshape(-1), dtype=np.uint64)
 
 
 class Parts:
