@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from driftbasket.llm import context_mixing, decontaminate, html_density, queries, secrets, warc
 from driftbasket.llm import quality as rules
@@ -487,6 +488,40 @@ def test_quality_of_edges(spark):
 
 
 
+def test_quality_beside_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "some words of it " * 30, None, "a", "b", "c", 7)], "doc_id long, text string, lang string, own string, own_ string, t string, kept int")
+    got = rules.quality(docs, rules.References()).first()
+    assert (got.own, got.own_, got.t) == ("a", "b", "c") and got.n_words == 120 and got.kept is False
+
+
+# all
+
+
+def test_very_long_texts(spark):
+    """Whole texts count, to the last word."""
+    from driftbasket.llm import ngram_join, token_counts
+
+    words = [f"Word{k}x{k % 7}" for k in range(50_000)]
+    item = "the very last words of this long text are those of an item"
+    text = " ".join(words) + f" token = abcdefghijklmnop1234 {item}"
+    rows = [(1, text, "en"), (2, text + " tail", "en"), (3, "z" * 700_000, "en"), (4, "short one", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = len(text.split())
+    by = lambda df: {r.doc_id: r for r in df.collect()}
+    assert [by(context_mixing.score(docs))[k].n_tokens for k in (1, 2, 3)] == [n + 1, n + 2, 2]
+    got = by(ngram_join.join(docs))
+    assert got[1].n_shingles == len(set(zip(*(text.lower().split()[k:] for k in range(5))))) and (got[2].component_id, got[3].n_shingles) == (1, 1)
+    assert by(secrets.scan(docs, secrets.fit_grammar(docs)))[2].spans.split(",")[-1] == f"assign:{text.index('token =')}:{text.index(' the very')}"
+    got = by(rules.quality(docs, rules.References()))
+    assert (got[1].n_words, got[1].word_chars, got[3].word_chars) == (n, len(text.replace(" ", "")), 700_000)
+    found = decontaminate.leaks(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.start_word) for r in found} == {(1, n - 13), (2, n - 13)}
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = len(token_counts.tokenizer(path).encode(text, add_special_tokens=False).ids)
+    assert by(token_counts.count_tokens(docs, path))[1].n_tokens == want
+    assert html_density.extract(f"<article><p>{text}</p></article>") == text
+
+
 # 10: decontamination
 
 
