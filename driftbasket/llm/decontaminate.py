@@ -21,7 +21,9 @@ seventy; at 0.8 one in a thousand. Steps 1 and 2 lose nothing.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,8 @@ BLOCKS = BITS // BLOCK_BITS
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Bytes of the map for each shingle of an item, the least and the most of them. Beyond some hundred thousand shingles more places
 #: are looked at, with the same results.
-MAP_SHARE, LEAST_MAP, MOST_MAP = 128, 1 << 18, 1 << 24
-PROBES = (0, 20, 40)
+MAP_SHARE, LEAST_MAP, MOST_MAP = 32, 1 << 16, 1 << 24
+PROBES = (0, 15, 30, 45)
 
 
 def _hashes(words: Column, n: int) -> Column:
@@ -106,7 +108,7 @@ def _similarity(x: Column, y: Column) -> Column:
 
 
 def _map_of(hashes: DataFrame) -> bytes:
-    """The items' map: three bytes for each hash."""
+    """The items' map: a byte for each hash and probe."""
     size = LEAST_MAP
     while size < min(MOST_MAP, MAP_SHARE * hashes.count()):
         size *= 2
@@ -120,17 +122,20 @@ def _map_of(hashes: DataFrame) -> bytes:
 def _cuts(docs: DataFrame, marks: bytes, short: list[int], longest: int) -> DataFrame:
     """(cut, row, doc_id, begin, words, hits): the words up to `longest` before and after marked places, and these, (i, h, w)
     each, counted from the cut's first word `begin`. `row` tells equal rows of docs."""
-    held = F.lit(marks)
-    marked = lambda h, p: F.substring(held, _slot(h, p, len(marks)) + 1, F.lit(1)) == F.lit(b"\x01")
-    probed = lambda h: marked(h, PROBES[0]) & marked(h, PROBES[1]) & marked(h, PROBES[2])
 
-    def hits(words: Column, n: int) -> Column:
-        places = lambda hs: F.filter(F.transform(hs, lambda h, i: F.when(probed(h), i)), lambda i: i.isNotNull())
+    def probed(held: Column, h: Column) -> Column:
+        marked = [F.substring(held, _slot(h, p, len(marks)) + 1, F.lit(1)) == F.lit(b"\x01") for p in PROBES]
+        return reduce(and_, marked)
+
+    def hits(held: Column, words: Column, n: int) -> Column:
+        places = lambda hs: F.filter(F.transform(hs, lambda h, i: F.when(probed(held, h), i)), lambda i: i.isNotNull())
         full = lambda hs: F.transform(places(hs), lambda i: F.struct(i.alias("i"), F.element_at(hs, i + 1).alias("h"), _weight(words, i, n).alias("w")))
         return let(_hashes(words, n), full)
 
-    all_ = lambda w: hits(w, N) if not short else F.array_sort(F.concat(hits(w, N), *(hits(w, n) for n in short)))
-    read = let(word_array(F.lower(F.coalesce("text", F.lit("")))), lambda w: F.struct(w.alias("words"), all_(w).alias("hits")))
+    all_ = lambda m, w: hits(m, w, N) if not short else F.array_sort(F.concat(hits(m, w, N), *(hits(m, w, n) for n in short)))
+    words = word_array(F.lower(F.coalesce("text", F.lit(""))))
+    # the map stands in the plan once, of which the driver keeps texts
+    read = let(F.lit(marks), lambda m: let(words, lambda w: F.struct(w.alias("words"), all_(m, w).alias("hits"))))
     # one row each: a filter on what explode() returns isn't pushed below it, where all would be computed twice
     found = docs.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", F.explode(F.array(read)).alias("x")).where(F.size("x.hits") > 0).select("row", "doc_id", "x.words", "x.hits")
     gap = lambda x, k: (k == 0) | (x["i"] - F.element_at("hits", F.greatest(k, F.lit(1)))["i"] > 2 * longest)

@@ -18,7 +18,8 @@ first, so that what only copies have in common comes before what many documents
    by size and by place: from the first element that two sets share on, either has what they must share. These
    are stored as a trie, which is walked depth first with the partial overlaps of all other documents at each
    node; a branch is left once these and what remains of it can't reach ceil(t (|x| + |y|) / (1 + t)).
-   Only pairs that can are rows; a long list is walked by blocks. No pair is left out.
+   Only pairs that can are found, and of these only a tree that joins the same documents becomes rows; a long list is walked
+   by blocks. Should one of the tree's pairs fail, all others that were found are verified too. No pair is left out.
 5. What is named by 3 and 4 is verified by whole sets. These, sorted as byte strings, are the depth-first order of their
    trie too; all partners of a set stand together, and each starts from the overlap of the prefix it shares with its predecessor.
 """
@@ -45,7 +46,7 @@ CHUNK_KEYS, CHUNK_DOCS = 1 << 20, 60_000
 #: About so many entries meet in one part of the hashes, whatever the size of the corpus.
 PART_KEYS = 800_000
 #: Star rounds before the trie join, and documents of a list that it takes at once.
-STARS, BLOCK = 2, 512
+STARS, BLOCK = 1, 512
 #: Places in the order: the power of two of the frequency, over a part's number and 32 bits within the part.
 POWER_AT, MOST_POWER = 58, 31
 
@@ -378,16 +379,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars(rooted: DataFrame, percent: int, tried: DataFrame | None) -> DataFrame:
-    """(a, b): each document with the least first member of its lists that lies in another component, has not been
-    tried and fits by size and place."""
-    centre = F.min_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("place").alias("pa")), "id").alias("c")
-    centres = rooted.groupBy("key").agg(centre).select("key", "c.*")
-    need = percent * (F.col("n") + F.col("na"))
-    fits = (F.least("n", "na") * (100 + percent) >= need) & ((F.col("n") - F.col("place")) * (100 + percent) >= need) & ((F.col("na") - F.col("pa")) * (100 + percent) >= need)
-    pairs = rooted.join(centres, "key").where((F.col("root") != F.col("ra")) & fits).select("a", F.col("id").alias("b"))
+    """(a, b), a < b: each document with one that lies in another component and fits by size and place: the least of those that
+    one of its lists has in the first place. Pairs that have been tried are left out."""
+    centre = F.min_by(F.struct(F.col("id").alias("c"), F.col("n").alias("nc"), F.col("root").alias("rc"), F.col("place").alias("pc")), F.struct("place", "id")).alias("x")
+    centres = rooted.groupBy("key").agg(centre).select("key", "x.*")
+    need = percent * (F.col("n") + F.col("nc"))
+    fits = (F.least("n", "nc") * (100 + percent) >= need) & ((F.col("n") - F.col("place")) * (100 + percent) >= need) & ((F.col("nc") - F.col("pc")) * (100 + percent) >= need)
+    pairs = rooted.join(centres, "key").where((F.col("root") != F.col("rc")) & fits).select("id", "c", F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
     if tried is not None:
         pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    return pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    return pairs.groupBy("id").agg(F.min("c").alias("c")).select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -442,8 +443,9 @@ def _members_batch(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], [c.split(" ")[0] for c in _MEMBER.split(", ")])
 
 
-def _walked(viable: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the pairs of each block pair, in different components, that can link."""
+def _walked(viable: DataFrame, posted: DataFrame, percent: int, tree: bool) -> DataFrame:
+    """(a, b), a < b: the pairs of each block pair, in different components, that can link; with tree only as many as join what all of
+    these pairs join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, i, j), rows in _grouped(batches, ["id", "root", "n", "lost", "block", "posted"]):
@@ -452,10 +454,14 @@ def _walked(viable: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
             out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j).tolist()
             if len(left) and right:
+                group = np.unique(roots, return_inverse=True)[1]
                 trie = TrieJoin([sets[k] for k in left], sizes[left], lost[left], percent)
                 for k in sorted(right, key=lambda k: sets[k].tolist()):
                     found = left[trie.partners(sets[k], int(sizes[k]), int(lost[k]))]
-                    found = found[(roots[found] != roots[k]) & ((ids[found] < ids[k]) | (i != j))]
+                    found = found[(group[found] != group[k]) if tree else (roots[found] != roots[k]) & ((ids[found] < ids[k]) | (i != j))]
+                    if tree:  # one of each group, which all become one
+                        found = found[np.unique(group[found], return_index=True)[1]]
+                        group[np.isin(group, group[found])] = group[k]
                     out_a.append(np.minimum(ids[found], ids[k]))
                     out_b.append(np.maximum(ids[found], ids[k]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
@@ -467,22 +473,25 @@ def _walked(viable: DataFrame, posted: DataFrame, percent: int) -> DataFrame:
 def _roots(docs: DataFrame, lists: DataFrame, posted: DataFrame, percent: int) -> DataFrame | None:
     """(node, root) of the ids that link with another one; None if no two do."""
     roots = tried = None
-    for step in range(STARS + 1):
+    steps = ["star"] * STARS + ["tree", "all"]
+    for step in steps:
         rooted = lists.withColumn("root", F.col("id"))
         if roots is not None:
             rooted = lists.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r")), "id", "left").select("key", "id", "n", "place", F.coalesce("r", "id").alias("root"))
         several = rooted.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
         rooted = materialize(rooted.join(several, "key"), "rooted")
-        if step < STARS:
+        if step == "star":
             pairs = _stars(rooted, percent, tried)
         else:
             viable = materialize(_viable(rooted, percent), "viable")
-            pairs = _walked(viable, posted, percent)
-        if step == STARS and tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = _walked(viable, posted, percent, step == "tree")
+            if step == "all":
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         discard([rooted])
         if pairs.isEmpty():
+            if step == "tree":
+                break
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -490,8 +499,11 @@ def _roots(docs: DataFrame, lists: DataFrame, posted: DataFrame, percent: int) -
         sets = materialize(_members(docs, wanted), "members")
         found = materialize(_verified(pairs, sets, percent), "links")
         discard([sets, wanted])
+        whole = step == "tree" and found.count() == pairs.count()  # nearly always: values that are equal by chance are rare
         if not found.isEmpty():
             roots = components(found if roots is None else found.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+        if whole:
+            break
     return roots
 
 
