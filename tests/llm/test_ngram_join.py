@@ -68,6 +68,32 @@ def test_edges(spark):
     assert ngram_join.join(empty_docs(spark)).count() == 0
 
 
+def test_ids_of_any_size_and_one_large_group(spark):
+    """Near copies of one text link through many of them, not only through the least; ids take all 64 bits."""
+    rng = np.random.default_rng(8)
+    base = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(120)]
+    docs = [(2**62, "one two three four five six"), (2**62 + 1, "one two three four five six"), (2**63 - 1, "ONE two three four five six"), (-3, "seven of them here again now"), (2**62 + 9, "seven of them here again now")]
+    for k in range(700):
+        text = [*base]
+        for at in rng.integers(0, 120, 3):
+            text[at] = rng.choice(["xx", "yy", "zz"])
+        docs.append((k, " ".join(text)))
+    want = brute(docs)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and got[2**63 - 1][1] == 2**62 and got[2**62 + 9][1] == -3
+
+
+def test_trie_join_finds_what_pairs_do():
+    rng = np.random.default_rng(6)
+    for percent in (50, 75):
+        sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(80)]
+        sizes, lost = np.array([len(s) for s in sets]), np.zeros(80, np.int64)
+        trie = ngram_join.TrieJoin(sets, sizes, lost, percent, step=4)
+        for k in sorted(range(80), key=lambda k: sets[k].tolist()):
+            want = [i for i in range(80) if 100 * len(np.intersect1d(sets[i], sets[k])) >= percent * len(np.union1d(sets[i], sets[k]))]
+            assert trie.partners(sets[k], int(sizes[k]), 0).tolist() == want
+
+
 def test_walk_in_trie_order_counts_as_sets_do():
     rng = np.random.default_rng(5)
     for _ in range(30):
