@@ -19,7 +19,7 @@ from ..operators.partition import find_partitions
 from ..operators.quality_report import benchmark_report, sample_sources
 from ..operators.topk import keep_top
 from ..operators.walks import degree_order, monte_carlo, queue_order, walk_baskets, walk_trace
-from ..scratch import scratch_root
+from ..scratch import materialize, scratch_root
 from ..sources.edge_csv import read_edge_csv
 from .graphs import EDGES, edges, graph
 
@@ -253,7 +253,8 @@ def _registry() -> dict[str, tuple[Query, str | None]]:
 
     def error(s: SparkSession, d: str) -> DataFrame:
         x = g(s, d)
-        b, t = baskets(x, K, L, SWEEPS, D), exact_multi_source(x, _sources(x), 30, D, -1.0)
+        b = materialize(baskets(x, K, L, SWEEPS, D), "baskets")
+        t = exact_multi_source(x, _sources(x), 30, D, -1.0, wanted=b)
         both = b.join(t.withColumnRenamed("score", "exact"), ["source", "node"])
         return both.groupBy("source").agg(F.count("*").alias("nodes"), e6(F.sum(F.abs(F.col("score") - F.col("exact")))).alias("error_e6"))
 
