@@ -4,20 +4,23 @@ Scores estimate expected visits, personalized PageRank / (1 - damping). Walks ar
 the walks' places with the edges, and all choices come from a hash of (seed, source, walk, step), so any
 part can be computed again on another executor. A node combines the final baskets of all successors that come before it in
 the execution order with walk baskets of the others (itself, if it is one, among them). It is combined as soon
-as those are: level by level, a join and a sum each.
+as those are: level by level, a join and a sum each (on graphs that held.py takes, a step over arrays).
 
 The execution order is that of a queue. Nodes by degree are seeds; a node whose successors have all come joins the
-queue at once. No task holds the graph: which seed's queue a node joins is a fixed point of maxima over
+queue at once. In queue_order() no task holds the graph: which seed's queue a node joins is a fixed point of maxima over
 successors, and within the queues the nodes of one depth are ranked after their last successors.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
 from ..scratch import discard, materialize
+from . import held
 from .checks import check
 from .topk import keep_top
 
@@ -150,10 +153,31 @@ def walk_baskets(graph: Graph, sources: DataFrame, L: int, walks: int, damping:
 
 def monte_carlo(graph: Graph, K: int, L: int, iterations: int, damping: float = 0.85, seed: str = "walk", order: str = "queue") -> DataFrame:  # noqa: N803
     """(source, node, score): the K largest of each node; `iterations` is the number of walks. order: "queue", or "degree",
-    which takes no rounds to find. damping 1 has endless walks and is refused."""
+    which takes no rounds to find. damping 1 has endless walks and is refused. A graph of few enough edges (held.py) is ordered
+    and combined as arrays, and a task makes the walks of its sources one by one; on others each round is a job."""
     check(K, L, iterations, damping)
     if damping == 1:
         raise ValueError("damping must be below 1 for walks")
+    if (h := held.hold(graph)) and 0 < h.n * L <= held.HELD_ENTRIES:
+        return _monte_carlo_held(graph, h, K, L, iterations, damping, seed, order)
+    return monte_carlo_by_joins(graph, K, L, iterations, damping, seed, order)
+
+
+def _monte_carlo_held(graph: Graph, h: held.Held, K: int, L: int, iterations: int, damping: float, seed: str, order: str) -> DataFrame:  # noqa: N803
+    place = held.queue_order(h) if order == "queue" else held.degree_order(h)
+    kind = graph.vertices.schema["id"].dataType.simpleString()
+    later = np.unique(h.dst[place[h.dst] >= place[h.src]])
+    needed = held.table(graph.vertices, {"source": h.ids.take(pa.array(later))}, f"source {kind}")
+    walked = held.walk_baskets(h, needed, L, iterations, damping, seed).toArrow()
+    nodes, scores = held.combined(h, place, walked, L, damping)
+    nodes, scores = nodes[:, :K], scores[:, :K]
+    source, k = np.nonzero(nodes >= 0)
+    columns = {"source": h.ids.take(pa.array(source)), "node": h.ids.take(pa.array(nodes[source, k])), "score": scores[source, k]}
+    return held.table(graph.vertices, columns, f"source {kind}, node {kind}, score double")
+
+
+def monte_carlo_by_joins(graph: Graph, K: int, L: int, iterations: int, damping: float, seed: str, order: str) -> DataFrame:  # noqa: N803
+    """The rows of monte_carlo(), for graphs of any size."""
     ranks = materialize(queue_order(graph) if order == "queue" else degree_order(graph), "ranks")
     place = lambda end: ranks.select(F.col("id").alias(end), F.col("ord").alias(f"{end}_ord"))
     weights = materialize(graph.weights(damping).join(place("src"), "src").join(place("dst"), "dst").select("src", "dst", "w", (F.col("dst_ord") < F.col("src_ord")).alias("final")), "weights")
