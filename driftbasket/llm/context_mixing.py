@@ -12,8 +12,10 @@ node alone, and the node hashed with the last class, the last two classes, and t
 that most often followed the last two words (hashed), if it did so twice at least and half of the times, says the bits of
 its own code as long as these come true. So passages that the corpus repeats cost little. The stretched
 predictions are mixed with weights that a gate selects (depth in the code, confidence of the pair of
-classes, whether the fifth says something and has been right of late); weights start alike for each text and follow its bits online, a block of tokens
-at a time; a last stage refines the mix by what has come true in the text so far. Probabilities sum to one, over the
+classes, whether the fifth says something and has been right of late); a last stage refines the mix by what has come true in the text so far.
+All of this learns online: each text starts from what training has left, and after each bit its counts, its weights and
+its last stage move; the fifth predictor follows the text's own words once they come again. Texts of like length go in step, so numpy
+takes one bit of many texts at once. Probabilities sum to one, over the
 words and unseen events or over all spelled texts, and bits_per_byte = -spelled_score log2(10) / bytes.
 
 What is gathered grows with the corpus: counts of all words, and of all hashed contexts. The last word's contexts
@@ -56,6 +58,13 @@ FOLLOWS = np.float32(5.0)
 #: Tasks by their number that sum the small tables apart.
 SALTS = 16
 BLOCK = 32
+GATES = 36
+#: The most counts of training that a text begins with.
+LIMIT = 20.0
+#: Bytes of texts that a task sorts by length, that go in step, that are prepared at once; texts that go in step.
+POOL, GROUP, SLICE, MOST_TEXTS = 1 << 24, 3 << 20, 1 << 19, 1 << 13
+#: Longer texts (in characters) go to tasks of their own, with others of like length.
+LONG = 16_000
 MOST_BITS = 16
 #: Steps of a stretched prediction in the file, one byte each: up to 8 in size.
 STEP = 1 / 15
@@ -116,6 +125,41 @@ def _slices(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, list[b
         yield at, held
 
 
+def _cuts(texts: list[bytes], size: int, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """From where to where slices of these texts go: whole texts, `size` bytes and `most` texts or one more."""
+    a = length = 0
+    for k, x in enumerate(texts):
+        length += len(x) + 1
+        if length >= size or k - a >= most:
+            yield a, k + 1
+            a, length = k + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """doc_ids and texts of groups of similar length, each from `POOL` bytes of the batches."""
+    ids: list = []
+    texts: list[bytes] = []
+
+    def sort_out() -> Iterator[tuple[list, list[bytes]]]:
+        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+        some = [texts[k] for k in order]
+        for a, b in _cuts(some, GROUP, MOST_TEXTS):
+            yield [ids[k] for k in order[a:b]], some[a:b]
+
+    held = 0
+    for batch in batches:
+        ids += batch.column("doc_id").to_pylist()
+        new = [x.encode("utf-8", "surrogatepass") for x in texts_of(batch)]
+        texts += new
+        held += sum(map(len, new))
+        if held >= POOL or len(ids) >= POOL >> 6:
+            yield from sort_out()
+            ids, texts, held = [], [], 0
+    yield from sort_out()
+
+
 class Lookup:
     """Values of sorted 64-bit keys that are spread evenly: a start by the leading bits, then a few steps."""
 
@@ -230,7 +274,9 @@ class Model:
     spell: np.ndarray  # 256 x 256: log10 P(byte | byte before)
     stretch: tuple[np.ndarray, ...]  # of the small tables; where the file is mapped, of all
     file: str  # of tables 2 and 3, and of `sure`
+    begin: tuple[np.ndarray, ...] = ()  # of the small tables: zeros and ones that texts begin with
     sure: np.ndarray | None = None  # 0..2, four a byte: how often the slot of two classes was seen
+    sure_word: np.ndarray | None = None  # likewise of the last word's
     follow: np.ndarray | None = None  # one more than the class that follows two words, 0 for none
     rate: float = 0.05
     start: tuple[float, ...] = (0.15, 0.3, 0.35, 0.35, 0.8)
@@ -239,12 +285,17 @@ class Model:
         """With the tables of the file, wherever Spark has put it."""
         pairs, words, path = 1 << self.code.pair_bits, 1 << self.code.word_bits, SparkFiles.get(self.file)
         of = lambda kind, at, n: np.memmap(path, kind, "r", at, (n,))
-        sure, follow = of("u1", pairs + words, pairs // 4), of("u1", pairs + words + pairs // 4, 1 << self.code.follow_bits)
-        return replace(self, stretch=(*self.stretch[:2], of("i1", 0, pairs), of("i1", pairs, words)), sure=sure, follow=follow)
+        at = pairs + words
+        sure, sure_word, follow = of("u1", at, pairs // 4), of("u1", at + pairs // 4, words // 4), of("u1", at + at // 4, 1 << self.code.follow_bits)
+        return replace(self, stretch=(*self.stretch[:2], of("i1", 0, pairs), of("i1", pairs, words)), sure=sure, sure_word=sure_word, follow=follow)
 
 
 def sure_of(m: Model, slots: np.ndarray) -> np.ndarray:
-    return m.sure[slots >> 2] >> (2 * (slots & 3)).astype(np.uint8) & 3
+    return _two_bits(m.sure, slots)
+
+
+def _two_bits(held: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return held[slots >> 2] >> (2 * (slots & 3)).astype(np.uint8) & 3
 
 
 def trusted(t: Tokens, right: np.ndarray) -> np.ndarray:
@@ -257,7 +308,8 @@ def trusted(t: Tokens, right: np.ndarray) -> np.ndarray:
 
 
 def class_bits(m: Model, t: Tokens, cls: np.ndarray) -> np.ndarray:
-    """log10 P of each text's classes."""
+    """log10 P of each text's classes by a plainer mix: counts as in training, weights that move once a block of tokens. No
+    query uses it; `online_bits` is the method, and this is what tests compare."""
     order = np.argsort(t.place // BLOCK, kind="stable")
     d = decisions(t, cls, m.code, order)
     of = m.follow[two_words(t, m.code.follow_bits)].astype(np.int64) - 1
@@ -298,6 +350,154 @@ def class_bits(m: Model, t: Tokens, cls: np.ndarray) -> np.ndarray:
     return total[rank]
 
 
+def _stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -8, 8)
+
+
+def _limited(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Counts as complex numbers, zeros + ones i, of LIMIT at most, so that a text's own bits still move them."""
+    factor = np.minimum(1.0, LIMIT / (zeros + ones))
+    return (zeros * factor + 1j * (ones * factor)).astype(np.complex64)
+
+
+def _begins() -> np.ndarray:
+    """Counts by how sure a slot is * 256 + its stretched byte: what was counted up to 3, about as much beyond."""
+    odds = np.exp(np.arange(256, dtype=np.uint8).view(np.int8) * STEP)
+    out = []
+    for least, n in enumerate((0.8, 10.0, 100.0)):
+        n = np.maximum(n, 0.4 * (1 + np.maximum(odds, 1 / odds)))  # the rarer bit counts 0.4 at least
+        out.append(_limited(n / (1 + odds), n * odds / (1 + odds)))
+        if not least:
+            for zeros in range(4):
+                for ones in range(4 - zeros):
+                    if zeros != ones:
+                        out[0][int(np.rint(_stretched(np.float64(zeros), np.float64(ones)) / STEP)) % 256] = zeros + 0.4 + 1j * (ones + 0.4)
+    return np.concatenate(out)
+
+
+_BEGINS = _begins()
+
+
+def followers(m: Model, t: Tokens, cls: np.ndarray) -> np.ndarray:
+    """The class that should follow each token's last two words, -1 for none: as last in this text, else as in training."""
+    slot = two_words(t, m.code.follow_bits)
+    of = m.follow[slot].astype(np.int64) - 1
+    order = np.lexsort((slot, t.text))  # stable: each text's tokens of a slot in turn
+    again = np.flatnonzero((np.diff(slot[order]) == 0) & (np.diff(t.text[order]) == 0)) + 1
+    of[order[again]] = cls[order[again - 1]]
+    return of
+
+
+@dataclass
+class Prepared:
+    """The decisions of a slice's texts: how many each text has; of each one the cells of its four counts, gate, bit and what the fifth predictor says."""
+
+    n: np.ndarray
+    cell: np.ndarray
+    gate: np.ndarray
+    bit: np.ndarray
+    said: np.ndarray
+    counts: np.ndarray  # that cells begin with
+
+
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where equal keys lie, one key after another; the keys' numbers there; where each key first lies."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()).bit_length() + bits > 64:
+        key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    packed = key << np.uint64(bits) | np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    at = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    packed >>= np.uint64(bits)
+    new = np.ones(len(key), bool)
+    new[1:] = packed[1:] != packed[:-1]
+    return at, np.cumsum(new, dtype=np.int32) - np.int32(1), at[new]
+
+
+def prepared(m: Model, t: Tokens, cls: np.ndarray) -> Prepared:
+    d, texts = decisions(t, cls, m.code), len(t.n)
+    of = followers(m, t, cls)
+    trust = trusted(t, of == cls).astype(np.int8)
+    follows = of[d.token]
+    says = (follows >= 0) & (m.code.nodes[follows, d.depth] == d.slots[0])  # its code has come true so far
+    said = says * (2 * m.code.bits[follows, d.depth] - 1).astype(np.int8)
+    gate = (np.minimum(d.depth // 2, 2) * 12 + sure_of(m, d.slots[2]) * 4 + says * (1 + trust[d.token])).astype(np.int8)
+    del follows, says
+    one, two = _before(t, cls + 1, 1), _before(t, cls + 1, 2)
+    words, word = np.unique(_before(t, t.word, 1), return_inverse=True)
+    cell, held, size = np.empty((len(d.bit), 4), np.int32), [], 0
+    for k, context in enumerate((t.text, t.text * 257 + one, (t.text * 257 + one) * 257 + two, t.text * len(words) + word)):
+        at, number, first = _numbered((context[d.token] * 256 + d.slots[0]).astype(np.uint64))
+        cell[at, k] = number + np.int32(size)
+        size += len(first)
+        slots = d.slots[k][first]
+        held.append(m.begin[k][slots] if k < 2 else _BEGINS[_two_bits(m.sure if k == 2 else m.sure_word, slots).astype(np.int64) * 256 + m.stretch[k][slots].view(np.uint8)])
+    return Prepared(np.bincount(t.text, m.code.lengths[cls], texts).astype(np.int64), cell, gate, d.bit.astype(np.int8), said, np.concatenate(held))
+
+
+def online_bits(m: Model, parts: list[Prepared]) -> np.ndarray:
+    """log10 P of each text's classes. Its counts, weights and last stage start alike for each text, from training, and move after each
+    bit. All texts go in step, each by its next bit at once; a text's score depends on no other."""
+    n = np.concatenate([x.n for x in parts])
+    texts, total = len(n), int(n.sum())
+    longest = np.argsort(-n, kind="stable")
+    rank = np.empty(texts, np.int64)
+    rank[longest] = np.arange(texts)
+    bounds = np.concatenate([[0], np.cumsum(texts - np.searchsorted(np.sort(n), np.arange(n.max(initial=0)), "right"))])
+    cell, gate, y, said = np.empty((total, 4), np.int32), np.empty(total, np.int32), np.empty(total, np.int8), np.empty(total, np.int8)
+    counts = np.concatenate([x.counts for x in parts])
+    done = size = 0
+    for part in parts:
+        at = _in_step(bounds, part.n, rank[done : done + len(part.n)])
+        cell[at] = part.cell + np.int32(size)
+        gate[at] = part.gate + np.repeat(rank[done : done + len(part.n)].astype(np.int32) * GATES, part.n)
+        y[at], said[at] = part.bit, part.said
+        done, size = done + len(part.n), size + len(part.counts)
+        part.cell = part.gate = part.bit = part.said = part.counts = None
+    weights, refine = np.tile(np.array(m.start, np.float32), (texts * GATES, 1)), np.zeros(texts * 8, np.float32)
+    buckets = np.arange(texts) * 8 + 4
+    chance = np.empty(total, np.float32)
+    inputs, sums = np.empty((texts, 5), np.float32), np.empty((2, texts), np.float32)
+    seen, signs, rates = np.array([1, 1j], np.complex64), np.array([-1, 1], np.float32), np.array([[m.rate], [0.02]], np.float32)
+    one, twelve = np.float32(1), np.float32(12)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        w, c, g, bit = b - a, cell[a:b], gate[a:b], y[a:b]
+        now, x, z, sign = counts.take(c), inputs[:w], sums[:, :w], signs.take(bit)
+        np.log(now.imag / now.real, out=x[:, :4])
+        np.multiply(said[a:b], FOLLOWS, out=x[:, 4])
+        mix = weights.take(g, 0)
+        s = np.einsum("ij,ij->i", x, mix, out=z[0])
+        last = np.minimum(np.maximum(s, -4), 3)
+        last = buckets[:w] + np.floor(last, out=last).astype(np.int64)
+        shift = refine.take(last)
+        np.add(np.minimum(np.maximum(s, -twelve, out=s), twelve, out=s), shift, out=z[1])
+        p = one / (one + np.exp(np.minimum(np.maximum(z, -twelve), twelve) * -sign))
+        np.add(p[0], p[1], out=chance[a:b])
+        move = (one - p) * (sign * rates)
+        x *= move[0][:, None]
+        mix += x
+        weights[g] = mix
+        shift += move[1]
+        refine[last] = shift
+        now += seen.take(bit)[:, None]
+        counts[c] = now
+    np.log10(np.multiply(chance, np.float32(0.5), out=chance), out=chance)
+    sums = np.zeros(texts)
+    done = 0
+    for part in parts:
+        k = len(part.n)
+        at = _in_step(bounds, part.n, rank[done : done + k])
+        sums[done : done + k] = np.bincount(np.repeat(np.arange(k), part.n), chance[at], k)
+        done += k
+    return sums
+
+
+def _in_step(bounds: np.ndarray, n: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Places of the bits of texts with these ranks where all texts' first bits come first, then the second ones, ..."""
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return bounds[at] + np.repeat(rank, n)
+
+
 def held_out(doc_ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % 7 == 2 for x in doc_ids], bool)
 
@@ -334,10 +534,6 @@ def _word_counts(training: DataFrame) -> DataFrame:
     return materialize(counts.groupBy("word").agg(F.max("suffix").alias("suffix"), F.sum("c").alias("c")), "words")
 
 
-def _stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.clip(np.log((ones + 0.4) / (zeros + 0.4)), -8, 8)
-
-
 def _steps(at: np.ndarray, size: int) -> bytes:
     """The steps of ascending numbers of `size` bytes, all first bytes, then all second ones, ...: the last ones compress."""
     return np.diff(at, prepend=at.dtype.type(0)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].T.tobytes()
@@ -444,7 +640,7 @@ def _context_counts(training: DataFrame, code: Code) -> tuple[dict[int, np.ndarr
             else:
                 values, seen = np.rint(_stretched(zeros, ones) / STEP).astype("i1").tobytes(), zeros + ones
                 four = ((seen > 3).astype("u1") + (seen > 60)).astype("u1").reshape(-1, 4)
-                sure = (four << np.arange(0, 8, 2, dtype="u1")).sum(1, dtype="u1").tobytes() if now[0] == 2 else b""
+                sure = (four << np.arange(0, 8, 2, dtype="u1")).sum(1, dtype="u1").tobytes()
             return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int64()), pa.array([values], pa.binary()), pa.array([sure], pa.binary())], ["table", "chunk", "vals", "sure"])
 
         for b in batches:
@@ -469,20 +665,20 @@ def _context_counts(training: DataFrame, code: Code) -> tuple[dict[int, np.ndarr
     pairs, words = 1 << code.pair_bits, 1 << code.word_bits
     path = os.path.join(os.path.realpath(tempfile.mkdtemp()), f"contexts-{uuid.uuid4().hex}")
     with open(path, "wb") as f:
-        f.truncate(pairs + words + pairs // 4 + (1 << code.follow_bits))  # zeros: slots never seen
+        f.truncate(pairs + words + (pairs + words) // 4 + (1 << code.follow_bits))  # zeros: slots never seen
         for r in summed.toLocalIterator():
             table, chunk = r["table"], r["chunk"]
             if table in SMALL:
                 out[table][chunk * 2 * CHUNK : (chunk + 1) * 2 * CHUNK] += np.frombuffer(r["vals"], np.int64)
             elif table == 5:
-                f.seek(pairs + words + pairs // 4 + (chunk << 16))
+                f.seek(pairs + words + (pairs + words) // 4 + (chunk << 16))
                 f.write(r["vals"])
             else:
-                f.seek((0 if table == 2 else pairs) + chunk * CHUNK)
+                at = (0 if table == 2 else pairs) + chunk * CHUNK
+                f.seek(at)
                 f.write(r["vals"])
-                if table == 2:
-                    f.seek(pairs + words + chunk * CHUNK // 4)
-                    f.write(r["sure"])
+                f.seek(pairs + words + at // 4)
+                f.write(r["sure"])
     sc.addFile(path)
     with contextlib.suppress(OSError):  # the driver's own copy
         os.link(path, f"{path}-link")
@@ -519,13 +715,14 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, str]:
     free_shuffles(docs.sparkSession)
     counts, path = _context_counts(training, code)
     stretch = tuple(_stretched(counts[k][0::2], counts[k][1::2]).astype(np.float32) for k in (0, 1))
+    begin = tuple(_limited(counts[k][0::2] + 0.4, counts[k][1::2] + 0.4) for k in (0, 1))
     pairs = counts[4][1::2].reshape(256, 256) + 0.05
     spell = np.log10(pairs / pairs.sum(1, keepdims=True))
     alone = (np.arange(CLASSES) >= 0) & (np.arange(CLASSES) <= FREQUENT)  # one word each, nothing new
     log_all = np.where(alone, 0.0, np.log10(tokens + types + 1))
     log_new = np.where(alone, 0.0, np.log10(types + 1))
     c = c.astype(np.int32) if len(c) and c.max() < 1 << 31 else c
-    return Model(code, Lookup(keys, c), int(total["n"]), int(total["v"]), log_all, log_new, spell, stretch, os.path.basename(path)), words, path
+    return Model(code, Lookup(keys, c), int(total["n"]), int(total["v"]), log_all, log_new, spell, stretch, os.path.basename(path), begin), words, path
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -544,32 +741,37 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value.mapped()
         number = TaskContext.get().partitionId() << 40
-        for b in batches:
-            texts, ids = texts_of(b), b.column("doc_id").to_pylist()
-            out_held = held_out(ids)
-            for at, part in _slices(texts):
-                t = tokens_of(part)
+        for ids, texts in _groups(batches):
+            rows, parts = [], []
+            for a, b in _cuts(texts, SLICE):
+                t = tokens_of(texts[a:b])
                 cls = m.code.classes(t)
                 c = m.counts.get(t.word, -1)
-                known, texts_n = c >= 0, len(part)
+                known, texts_n = c >= 0, b - a
                 per = lambda v, where: np.bincount(t.text[where], v[where], texts_n)  # noqa: E731, B023
                 base = per(np.log10(np.maximum(c, 0) + 1.0), known)
                 inner = np.where(m.code.frequent.get(t.word, 0) > 0, 0.0, np.log10(np.maximum(c, 1)) - m.log_all[cls])
                 inner[t.suffix < 0] = 0.0
-                got = class_bits(m, t, cls) + per(inner, known)
+                parts.append(prepared(m, t, cls))
                 rare = np.flatnonzero(~known & (t.suffix >= 0))
                 miss = m.log_new[cls[rare]] - m.log_all[cls[rare]]
                 ends = np.searchsorted(t.text[rare], np.arange(texts_n + 1))
-                rows = [t.word[rare].view(np.int64), m.log_all[cls[rare]], miss, _spelled(m.spell, t, rare)]
-                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v)) for v in rows]
+                values = [t.word[rare].view(np.int64), m.log_all[cls[rare]], miss, _spelled(m.spell, t, rare)]
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v)) for v in values]
                 n_known = per(np.ones(len(c)), known & (c > 0)).astype(np.int64)
-                keys = number + np.arange(texts_n)
-                number += texts_n
-                columns = [pa.array(keys), pa.array(ids[at : at + texts_n], pa.int64()), pa.array(out_held[at : at + texts_n]), pa.array(t.n, pa.int64()), pa.array([len(x) for x in part], pa.int64()), pa.array(n_known), pa.array(base), pa.array(got), *lists]
+                columns = [pa.array(ids[a:b], pa.int64()), pa.array(held_out(ids[a:b])), pa.array(t.n, pa.int64()), pa.array([len(x) for x in texts[a:b]], pa.int64()), pa.array(n_known), pa.array(base)]
+                rows.append((a, b, columns, per(inner, known), lists))
+            got = online_bits(m, parts)
+            for a, b, columns, inside, lists in rows:
+                columns = [pa.array(number + np.arange(a, b)), *columns, pa.array(got[a:b] + inside), *lists]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score", "words", "hit", "miss", "spelled"])
+            number += len(ids)
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, score double, words array<long>, hit array<double>, miss array<double>, spelled array<double>"
-    scored = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), schema), "scored")
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    long = F.coalesce(F.length("text"), F.lit(0)) > LONG
+    alike = rows.where(long).repartitionByRange(F.length("text"), F.xxhash64("doc_id"))
+    scored = materialize(rows.where(~long).union(alike).mapInArrow(trimmed(run), schema), "scored")
     shared.unpersist()
     for held in (path, SparkFiles.get(model.file)):  # executors that come later still ask for the file
         open(held, "wb").close()

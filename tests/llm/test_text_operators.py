@@ -294,6 +294,79 @@ def test_what_the_corpus_repeats_costs_less(spark):
     assert sum(x < once[len(once) // 10] for x in twice) >= 0.9 * len(twice)  # a tenth of the others lies there
 
 
+def _online_in_turn(m, t, cls, text):
+    """log10 P of one text's classes: after each bit its counts, weights and last stage move."""
+    import numpy as np
+
+    code = m.code
+    d = context_mixing.decisions(t, cls, code)
+    slot = context_mixing.two_words(t, code.follow_bits)
+    begins = context_mixing._begins()
+    begin = [m.begin[0], m.begin[1]] + [begins[(held[np.arange(4 * len(held)) >> 2] >> (2 * (np.arange(4 * len(held)) & 3)).astype(np.uint8) & 3).astype(int) * 256 + m.stretch[k].view(np.uint8)] for k, held in ((2, m.sure), (3, m.sure_word))]
+    counts, weights, refine, total, last, run, token = {}, {}, [0.0] * 8, 0.0, {}, 0, -1
+    squash = lambda x: 1 / (1 + math.exp(-max(-12, min(12, x))))
+    for k in range(len(d.bit)):
+        if t.text[d.token[k]] != text:
+            continue
+        if d.token[k] != token:
+            if token >= 0:
+                run = run + 1 if follow == cls[token] else 0
+            token = d.token[k]
+            follow = last.get(slot[token], int(m.follow[slot[token]]) - 1)
+            last[slot[token]] = int(cls[token])
+            before = [cls[token - j] + 1 if t.place[token] >= j else 0 for j in (1, 2)]
+            contexts = (0, before[0], tuple(before), t.word[token - 1] if t.place[token] else 0)
+            path = [(int(a), int(b)) for a, b, _ in zip(code.nodes[cls[token]], code.bits[cls[token]], range(code.lengths[cls[token]]), strict=False)]
+            own = [(int(a), int(b)) for a, b, _ in zip(code.nodes[follow], code.bits[follow], range(code.lengths[follow]), strict=False)] if follow >= 0 else []
+        depth, bit, node = d.depth[k], int(d.bit[k]), int(d.slots[0][k])
+        x = []
+        for j in range(4):
+            start = begin[j][d.slots[j][k]]
+            zeros, ones = counts.setdefault((j, contexts[j], node), [float(start.real), float(start.imag)])
+            x.append(math.log(ones / zeros))
+        says = len(own) > depth and own[:depth] == path[:depth]
+        x.append(5.0 * (2 * own[depth][1] - 1) if says else 0.0)
+        gate = (min(depth // 2, 2), int(context_mixing.sure_of(m, d.slots[2][k : k + 1])[0]), says and 1 + (run > 0) + (run > 3))
+        w = weights.setdefault(gate, list(m.start))
+        s = sum(a * b for a, b in zip(w, x, strict=True))
+        at = math.floor(max(-4, min(3, s))) + 4
+        p, q = squash(s), squash(max(-12, min(12, s)) + refine[at])
+        total += math.log10((p + q) / 2 if bit else 1 - (p + q) / 2)
+        weights[gate] = [a + m.rate * (bit - p) * b for a, b in zip(w, x, strict=True)]
+        refine[at] += 0.02 * (bit - q)
+        for j in range(4):
+            counts[j, contexts[j], node][bit] += 1
+    return total
+
+
+def test_all_moves_after_each_bit(spark):
+    rng = random.Random(33)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(1, 8))) for _ in range(400)]
+    texts = [_invented(rng, rng.choice((0, 1, 2, 5, 31, 60, 120)), vocabulary) for _ in range(40)] + ["new words here " * 30]
+    model, _, _ = context_mixing.fit(spark.createDataFrame(list(enumerate([*texts, *texts[:20]])), "doc_id long, text string"))
+    m = model.mapped()
+    slices = [[x.encode() for x in some] for some in (texts[:25], texts[25:], [""])]
+    tokens = [context_mixing.tokens_of(x) for x in slices]
+    got = context_mixing.online_bits(m, [context_mixing.prepared(m, t, m.code.classes(t)) for t in tokens])
+    want = [_online_in_turn(m, t, m.code.classes(t), k) for t, x in zip(tokens, slices, strict=True) for k in range(len(x))]
+    assert list(got) == [pytest.approx(x, rel=1e-4, abs=1e-4) for x in want]
+    again = context_mixing.prepared(m, tokens[1], m.code.classes(tokens[1]))
+    assert list(context_mixing.online_bits(m, [again])) == pytest.approx(list(got[25:-1]), rel=1e-6)  # no text depends on others
+
+
+def test_a_text_learns_from_itself(spark):
+    """Words that training never had, in texts that don't train: their second time costs less."""
+    rng = random.Random(34)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randrange(2, 9)))
+    vocabulary = [word("abcdefghij") for _ in range(500)]
+    out = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 7 == 2]
+    new = [" ".join(word("klmnopqrstuvwxyz") for _ in range(60)) for _ in range(20)]
+    texts = {k: _invented(rng, 100, vocabulary) for k in range(1000)} | dict(zip(out, new)) | {k: f"{x} {x}" for k, x in zip(out[20:], new)}
+    score = {r.doc_id: r.score for r in context_mixing.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    once = sum(score[k] for k in out[:20])
+    assert sum(score[k] for k in out[20:40]) - once > 0.75 * once
+
+
 # 6: revisits
 
 
