@@ -61,8 +61,8 @@ BLOCK = 32
 GATES = 36
 #: The most counts of training that a text begins with.
 LIMIT = 20.0
-#: Bytes of texts that a task sorts by length, that go in step, that are prepared at once; texts that go in step.
-POOL, GROUP, SLICE, MOST_TEXTS = 1 << 24, 3 << 20, 1 << 19, 1 << 13
+#: Bytes of texts that a task sorts by length, that go in step, that are prepared (or counted) at once; texts that go in step.
+POOL, GROUP, SLICE, MOST_TEXTS = 1 << 24, 3 << 20, 1 << 18, 1 << 13
 #: Longer texts (in characters) go to tasks of their own, with others of like length.
 LONG = 16_000
 MOST_BITS = 16
@@ -425,10 +425,10 @@ def prepared(m: Model, t: Tokens, cls: np.ndarray) -> Prepared:
     del follows, says
     one, two = _before(t, cls + 1, 1), _before(t, cls + 1, 2)
     words, word = np.unique(_before(t, t.word, 1), return_inverse=True)
-    cell, held, size = np.empty((len(d.bit), 4), np.int32), [], 0
+    cell, held, size = np.empty((4, len(d.bit)), np.int32), [], 0
     for k, context in enumerate((t.text, t.text * 257 + one, (t.text * 257 + one) * 257 + two, t.text * len(words) + word)):
         at, number, first = _numbered((context[d.token] * 256 + d.slots[0]).astype(np.uint64))
-        cell[at, k] = number + np.int32(size)
+        cell[k, at] = number + np.int32(size)
         size += len(first)
         slots = d.slots[k][first]
         held.append(m.begin[k][slots] if k < 2 else _BEGINS[_two_bits(m.sure if k == 2 else m.sure_word, slots).astype(np.int64) * 256 + m.stretch[k][slots].view(np.uint8)])
@@ -444,12 +444,13 @@ def online_bits(m: Model, parts: list[Prepared]) -> np.ndarray:
     rank = np.empty(texts, np.int64)
     rank[longest] = np.arange(texts)
     bounds = np.concatenate([[0], np.cumsum(texts - np.searchsorted(np.sort(n), np.arange(n.max(initial=0)), "right"))])
-    cell, gate, y, said = np.empty((total, 4), np.int32), np.empty(total, np.int32), np.empty(total, np.int8), np.empty(total, np.int8)
+    cell, gate, y, said = np.empty((4, total), np.int32), np.empty(total, np.int32), np.empty(total, np.int8), np.empty(total, np.int8)
     counts = np.concatenate([x.counts for x in parts])
     done = size = 0
     for part in parts:
         at = _in_step(bounds, part.n, rank[done : done + len(part.n)])
-        cell[at] = part.cell + np.int32(size)
+        for k in range(4):
+            cell[k, at] = part.cell[k] + np.int32(size)
         gate[at] = part.gate + np.repeat(rank[done : done + len(part.n)].astype(np.int32) * GATES, part.n)
         y[at], said[at] = part.bit, part.said
         done, size = done + len(part.n), size + len(part.counts)
@@ -457,16 +458,16 @@ def online_bits(m: Model, parts: list[Prepared]) -> np.ndarray:
     weights, refine = np.tile(np.array(m.start, np.float32), (texts * GATES, 1)), np.zeros(texts * 8, np.float32)
     buckets = np.arange(texts) * 8 + 4
     chance = np.empty(total, np.float32)
-    inputs, sums = np.empty((texts, 5), np.float32), np.empty((2, texts), np.float32)
+    inputs, sums = np.empty((5, texts), np.float32), np.empty((2, texts), np.float32)
     seen, signs, rates = np.array([1, 1j], np.complex64), np.array([-1, 1], np.float32), np.array([[m.rate], [0.02]], np.float32)
     one, twelve = np.float32(1), np.float32(12)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        w, c, g, bit = b - a, cell[a:b], gate[a:b], y[a:b]
-        now, x, z, sign = counts.take(c), inputs[:w], sums[:, :w], signs.take(bit)
-        np.log(now.imag / now.real, out=x[:, :4])
-        np.multiply(said[a:b], FOLLOWS, out=x[:, 4])
+        w, c, g, bit = b - a, cell[:, a:b], gate[a:b], y[a:b]
+        now, x, z, sign = counts.take(c), inputs[:, :w], sums[:, :w], signs.take(bit)
+        np.log(now.imag / now.real, out=x[:4])
+        np.multiply(said[a:b], FOLLOWS, out=x[4])
         mix = weights.take(g, 0)
-        s = np.einsum("ij,ij->i", x, mix, out=z[0])
+        s = np.einsum("ji,ij->i", x, mix, out=z[0])
         last = np.minimum(np.maximum(s, -4), 3)
         last = buckets[:w] + np.floor(last, out=last).astype(np.int64)
         shift = refine.take(last)
@@ -474,12 +475,12 @@ def online_bits(m: Model, parts: list[Prepared]) -> np.ndarray:
         p = one / (one + np.exp(np.minimum(np.maximum(z, -twelve), twelve) * -sign))
         np.add(p[0], p[1], out=chance[a:b])
         move = (one - p) * (sign * rates)
-        x *= move[0][:, None]
-        mix += x
+        x *= move[0]
+        mix += x.T
         weights[g] = mix
         shift += move[1]
         refine[last] = shift
-        now += seen.take(bit)[:, None]
+        now += seen.take(bit)
         counts[c] = now
     np.log10(np.multiply(chance, np.float32(0.5), out=chance), out=chance)
     sums = np.zeros(texts)
@@ -570,6 +571,21 @@ def _followers(number: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays(columns, ["table", "chunk", "salt", "at", "counts", "more"])
 
 
+def _flushed(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The counts of the keys held of each table, which are given up; little more than a table's keys is held beside them."""
+    for table, parts in held.items():
+        keys = np.concatenate(parts)
+        parts.clear()
+        keys.sort()
+        at = 0
+        while at < len(keys):  # about a million keys at once; the next batch may go on with a chunk
+            some = keys[at : np.searchsorted(keys, keys[min(at + (1 << 20), len(keys)) - 1], "right")]
+            at += len(some)
+            first = np.concatenate([[0], np.flatnonzero(some[1:] != some[:-1]) + 1])
+            part, n = some[first], np.diff(first, append=len(some))
+            yield _followers(table, part, n) if table == 5 else _chunks(table, part.astype(np.int64), n)
+
+
 def _likeliest(parts: list[tuple[bytes, bytes]]) -> np.ndarray:
     """Of each slot of a chunk one more than its likeliest class, if seen twice at least and half of the times, else 0."""
     keys = np.concatenate([_read_steps(at, 3) for at, _ in parts])
@@ -595,20 +611,8 @@ def _context_counts(training: DataFrame, code: Code) -> tuple[dict[int, np.ndarr
         held: dict[int, list[np.ndarray]] = {2: [], 3: [], 5: []}
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for table, parts in held.items():
-                keys = np.concatenate(parts)
-                parts.clear()
-                keys.sort()
-                first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-                seen, counts = keys[first], np.diff(np.concatenate([first, [len(keys)]]))
-                del keys, first
-                for at in range(0, len(seen), 1 << 20):  # the next batch may go on with a chunk
-                    part, n = seen[at : at + (1 << 20)], counts[at : at + (1 << 20)]
-                    yield _followers(table, part, n) if table == 5 else _chunks(table, part.astype(np.int64), n)
-
         for b in batches:
-            for _, part in _slices(texts_of(b)):
+            for _, part in _slices(texts_of(b), SLICE):
                 t = tokens_of(part)
                 cls = c.classes(t)
                 d = decisions(t, cls, c)
@@ -620,10 +624,10 @@ def _context_counts(training: DataFrame, code: Code) -> tuple[dict[int, np.ndarr
                 small[4][1::2] += np.bincount(_byte_pairs(t), minlength=SMALL[4])
                 size += len(d.bit)
                 if size >= HELD:
-                    yield from flush()
+                    yield from _flushed(held)
                     size = 0
         if size:
-            yield from flush()
+            yield from _flushed(held)
         for table, counts in small.items():
             keys = np.flatnonzero(counts)
             yield _chunks(table, keys, counts[keys], TaskContext.get().partitionId() % SALTS)

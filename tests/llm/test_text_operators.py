@@ -367,6 +367,23 @@ def test_a_text_learns_from_itself(spark):
     assert sum(score[k] for k in out[20:40]) - once > 0.75 * once
 
 
+def test_counts_leave_a_task_in_small_parts():
+    import tracemalloc
+
+    import numpy as np
+
+    keys = np.random.default_rng(35).integers(0, 1 << 26, 8_000_000, np.uint32)
+    held = {2: [keys[k : k + 500_000].copy() for k in range(0, len(keys), 500_000)], 3: [keys[:1].copy()], 5: [keys[:1000].astype(np.uint64)]}
+    tracemalloc.start()
+    before, sums = tracemalloc.get_traced_memory()[0], Counter()
+    for b in context_mixing._flushed(held):
+        for r in b.to_pylist():
+            sums[r["table"]] += int(np.frombuffer(r["counts"], "u1").sum())
+    peak = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert sums == {2: len(keys), 3: 1, 5: 1000} and peak < 4 * keys.nbytes and not any(held.values())
+
+
 # 6: revisits
 
 
