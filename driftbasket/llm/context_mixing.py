@@ -5,7 +5,7 @@ of the `FREQUENT` commonest words, or one of `SUFFIXES` buckets of endings) is s
 code; the word within its class has the Witten-Bell probability of its count. In `score` all unseen words of a
 class are one event, as in the base score they are one; `spelled_score` also spells them by an order-1
 model of bytes, and so do the bits per byte. Only the class bits need context, so a token costs about six decisions, where bytes would
-take fifty: all corpora of this engine's size can be scored with numpy.
+take fifty. Even so it takes more CPU than the limit (README).
 
 Each bit is predicted by five predictors. Four have counts of zeros and ones from the training texts: the code's
 node alone, and the node hashed with the last class, the last two classes, and the last word. The fifth is indirect: the class
