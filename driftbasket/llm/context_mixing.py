@@ -5,7 +5,7 @@ of the `FREQUENT` commonest words, or one of `SUFFIXES` buckets of endings) is s
 code; the word within its class has the Witten-Bell probability of its count. In `score` all unseen words of a
 class are one event, as in the base score they are one; `spelled_score` also spells them by an order-1
 model of bytes, and so do the bits per byte. Only the class bits need context, so a token costs about six decisions, where bytes would
-take fifty. Even so it takes more CPU than the limit (README).
+take fifty.
 
 Each bit is predicted by five predictors. Four have counts of zeros and ones from the training texts: the code's
 node alone, and the node hashed with the last class, the last two classes, and the last word. The fifth is indirect: the class
@@ -14,15 +14,16 @@ its own code as long as these come true. So passages that the corpus repeats cos
 predictions are mixed with weights that a gate selects (depth in the code, confidence of the pair of
 classes, whether the fifth says something and has been right of late); a last stage refines the mix by what has come true in the text so far.
 All of this learns online: each text starts from what training has left, and after each bit its counts, its weights and
-its last stage move; the fifth predictor follows the text's own words once they come again. Texts of like length go in step, so numpy
-takes one bit of many texts at once. Probabilities sum to one, over the
+its last stage move; the fifth predictor follows the text's own words once they come again. Python makes classes and
+hashes of the tokens; the bits of each text follow each other in the JVM (ClassBits.java). `online_bits` is the same in numpy, one bit of
+many texts at once; no query uses it, tests hold both against plain loops. Probabilities sum to one, over the
 words and unseen events or over all spelled texts, and bits_per_byte = -spelled_score log2(10) / bytes.
 
 What is gathered grows with the corpus: counts of all words, and of all hashed contexts. The last word's contexts
 have `SLOTS_A_WORD` slots for each distinct training word, at least `1 << LEAST_BITS`; those of two classes as many,
 up to about the number of all there can be; the last two words' as many as there are training tokens, up to
 `1 << MOST_FOLLOW_BITS`, beyond which more contexts share a slot. Tasks send out the slots they have seen, in chunks; the summed tables
-go to the executors as a file that their workers map, so no process holds them. Of the word counts only the `TOP_WORDS` largest are broadcast, and
+go to the executors as a file that they map, so no process holds them. Of the word counts only the `TOP_WORDS` largest are broadcast, and
 other words' counts are joined by shuffle. Words are held as 64-bit hashes.
 """
 
@@ -40,9 +41,11 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from . import java_code
 from .common import free_shuffles, materialize, small_batches, texts_of, trimmed
 from .word_hashes import located_words, mixed
 
@@ -55,16 +58,16 @@ CHUNK = 1 << 14
 LEAST_FOLLOW_BITS, MOST_FOLLOW_BITS = 16, 30
 #: How sure the fifth predictor is, stretched.
 FOLLOWS = np.float32(5.0)
+#: By how much the last stage moves.
+REFINE_RATE = 0.02
 #: Tasks by their number that sum the small tables apart.
 SALTS = 16
 BLOCK = 32
 GATES = 36
 #: The most counts of training that a text begins with.
 LIMIT = 20.0
-#: Bytes of texts that a task sorts by length, that go in step, that are prepared (or counted) at once; texts that go in step.
-POOL, GROUP, SLICE, MOST_TEXTS = 1 << 24, 3 << 20, 1 << 18, 1 << 13
-#: Longer texts (in characters) go to tasks of their own, with others of like length.
-LONG = 16_000
+#: Bytes of texts that are counted at once.
+SLICE = 1 << 18
 MOST_BITS = 16
 #: Steps of a stretched prediction in the file, one byte each: up to 8 in size.
 STEP = 1 / 15
@@ -73,7 +76,8 @@ HELD = 12_000_000
 #: Tables of counts: 0 the node; 1 the last class and the node; 2 two classes (hashed); 3 the last word (hashed);
 #: 4 pairs of bytes; 5 the classes after two words (hashed). These are small:
 SMALL = {0: 256, 1: 256 * 256, 4: 256 * 256}
-_LN10 = float(np.log(10.0))
+#: Bytes in lower case, white space as one.
+_LOW = np.frombuffer(bytes(0x20 if k in (0x20, *range(0x09, 0x0E)) else k for k in range(256)).lower(), np.uint8)
 
 
 @dataclass
@@ -125,41 +129,6 @@ def _slices(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, list[b
         yield at, held
 
 
-def _cuts(texts: list[bytes], size: int, most: int = 1 << 30) -> Iterator[tuple[int, int]]:
-    """From where to where slices of these texts go: whole texts, `size` bytes and `most` texts or one more."""
-    a = length = 0
-    for k, x in enumerate(texts):
-        length += len(x) + 1
-        if length >= size or k - a >= most:
-            yield a, k + 1
-            a, length = k + 1, 0
-    if a < len(texts):
-        yield a, len(texts)
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """doc_ids and texts of groups of similar length, each from `POOL` bytes of the batches."""
-    ids: list = []
-    texts: list[bytes] = []
-
-    def sort_out() -> Iterator[tuple[list, list[bytes]]]:
-        order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-        some = [texts[k] for k in order]
-        for a, b in _cuts(some, GROUP, MOST_TEXTS):
-            yield [ids[k] for k in order[a:b]], some[a:b]
-
-    held = 0
-    for batch in batches:
-        ids += batch.column("doc_id").to_pylist()
-        new = [x.encode("utf-8", "surrogatepass") for x in texts_of(batch)]
-        texts += new
-        held += sum(map(len, new))
-        if held >= POOL or len(ids) >= POOL >> 6:
-            yield from sort_out()
-            ids, texts, held = [], [], 0
-    yield from sort_out()
-
-
 class Lookup:
     """Values of sorted 64-bit keys that are spread evenly: a start by the leading bits, then a few steps."""
 
@@ -255,11 +224,18 @@ def decisions(t: Tokens, cls: np.ndarray, code: Code, order: np.ndarray | None =
     n = code.lengths[cls[order]]
     token = np.repeat(order, n)
     depth = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-    of = cls[token]
-    node, bit = code.nodes[of, depth], code.bits[of, depth]
+    at = cls[token] * code.nodes.shape[1] + depth
+    node, bit = code.nodes.ravel().take(at), code.bits.ravel().take(at)
     step = node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    hashed = lambda x, bits: ((x[token] + step) * np.uint64(0x9FB21C651E98DF25) >> np.uint64(64 - bits)).astype(np.int64)
-    slots = (node, one[token] % 256 * 256 + node, hashed(pair, code.pair_bits), hashed(single, code.word_bits))
+
+    def hashed(x: np.ndarray, bits: int) -> np.ndarray:
+        slot = x.take(token)
+        slot += step
+        slot *= np.uint64(0x9FB21C651E98DF25)
+        slot >>= np.uint64(64 - bits)
+        return slot.view(np.int64)
+
+    slots = (node, (one % 256 * 256).take(token) + node, hashed(pair, code.pair_bits), hashed(single, code.word_bits))
     return Decisions(token, bit, depth, slots)
 
 
@@ -459,7 +435,7 @@ def online_bits(m: Model, parts: list[Prepared]) -> np.ndarray:
     buckets = np.arange(texts) * 8 + 4
     chance = np.empty(total, np.float32)
     inputs, sums = np.empty((5, texts), np.float32), np.empty((2, texts), np.float32)
-    seen, signs, rates = np.array([1, 1j], np.complex64), np.array([-1, 1], np.float32), np.array([[m.rate], [0.02]], np.float32)
+    seen, signs, rates = np.array([1, 1j], np.complex64), np.array([-1, 1], np.float32), np.array([[m.rate], [REFINE_RATE]], np.float32)
     one, twelve = np.float32(1), np.float32(12)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         w, c, g, bit = b - a, cell[:, a:b], gate[a:b], y[a:b]
@@ -621,7 +597,7 @@ def _context_counts(training: DataFrame, code: Code) -> tuple[dict[int, np.ndarr
                 for table, bits in ((2, c.pair_bits), (3, c.word_bits)):
                     held[table].append((d.slots[table] * 2 + d.bit).astype(np.uint32 if bits < 32 else np.uint64))
                 held[5].append(two_words(t, c.follow_bits).astype(np.uint64) << np.uint64(8) | cls.astype(np.uint64))
-                small[4][1::2] += np.bincount(_byte_pairs(t), minlength=SMALL[4])
+                small[4][1::2] += _byte_pairs(t)
                 size += len(d.bit)
                 if size >= HELD:
                     yield from _flushed(held)
@@ -691,11 +667,14 @@ def _context_counts(training: DataFrame, code: Code) -> tuple[dict[int, np.ndarr
 
 
 def _byte_pairs(t: Tokens) -> np.ndarray:
-    """Byte before * 256 + byte of the words' bytes, from white space to white space."""
-    white = np.isin(t.octets, np.array([0x20, *range(0x09, 0x0E)], np.uint8))
-    octets = np.where(white, 0x20, np.where((t.octets >= 65) & (t.octets <= 90), t.octets + 32, t.octets)).astype(np.int64)
-    pairs = np.concatenate([[0x20], octets[:-1]]) * 256 + octets
-    return pairs[pairs != 0x20 * 256 + 0x20]
+    """How often each byte before * 256 + byte of the words' bytes comes, from white space to white space."""
+    octets = _LOW[t.octets].astype(np.uint16)
+    pairs = octets.copy()
+    pairs[1:] |= octets[:-1] << np.uint16(8)
+    pairs[:1] |= 0x2000
+    counts = np.bincount(pairs, minlength=SMALL[4])
+    counts[0x2020] = 0
+    return counts
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame, str]:
@@ -743,39 +722,34 @@ def score(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value.mapped()
+        m = shared.value
         number = TaskContext.get().partitionId() << 40
-        for ids, texts in _groups(batches):
-            rows, parts = [], []
-            for a, b in _cuts(texts, SLICE):
-                t = tokens_of(texts[a:b])
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for a, texts in _slices(texts_of(batch), SLICE):
+                t = tokens_of(texts)
+                b, texts_n = a + len(texts), len(texts)
                 cls = m.code.classes(t)
                 c = m.counts.get(t.word, -1)
-                known, texts_n = c >= 0, b - a
+                known = c >= 0
                 per = lambda v, where: np.bincount(t.text[where], v[where], texts_n)  # noqa: E731, B023
                 base = per(np.log10(np.maximum(c, 0) + 1.0), known)
-                inner = np.where(m.code.frequent.get(t.word, 0) > 0, 0.0, np.log10(np.maximum(c, 1)) - m.log_all[cls])
+                inner = np.where((cls > 0) & (cls <= FREQUENT), 0.0, np.log10(np.maximum(c, 1)) - m.log_all[cls])
                 inner[t.suffix < 0] = 0.0
-                parts.append(prepared(m, t, cls))
                 rare = np.flatnonzero(~known & (t.suffix >= 0))
                 miss = m.log_new[cls[rare]] - m.log_all[cls[rare]]
                 ends = np.searchsorted(t.text[rare], np.arange(texts_n + 1))
                 values = [t.word[rare].view(np.int64), m.log_all[cls[rare]], miss, _spelled(m.spell, t, rare)]
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v)) for v in values]
                 n_known = per(np.ones(len(c)), known & (c > 0)).astype(np.int64)
-                columns = [pa.array(ids[a:b], pa.int64()), pa.array(held_out(ids[a:b])), pa.array(t.n, pa.int64()), pa.array([len(x) for x in texts[a:b]], pa.int64()), pa.array(n_known), pa.array(base)]
-                rows.append((a, b, columns, per(inner, known), lists))
-            got = online_bits(m, parts)
-            for a, b, columns, inside, lists in rows:
-                columns = [pa.array(number + np.arange(a, b)), *columns, pa.array(got[a:b] + inside), *lists]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "score", "words", "hit", "miss", "spelled"])
+                columns = [pa.array(number + np.arange(a, b)), pa.array(ids[a:b], pa.int64()), pa.array(held_out(ids[a:b])), pa.array(t.n, pa.int64()), pa.array([len(x) for x in texts], pa.int64()), pa.array(n_known), pa.array(base), pa.array(per(inner, known))]
+                coded = [_by_text(cls.astype("u1"), t.n), _by_text(t.word.astype("<u8"), t.n)]
+                yield pa.RecordBatch.from_arrays([*columns, *lists, *coded], ["row", "doc_id", "held_out", "n_tokens", "n_bytes", "n_known", "base", "inside", "words", "hit", "miss", "spelled", "classes", "hashes"])
             number += len(ids)
 
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, score double, words array<long>, hit array<double>, miss array<double>, spelled array<double>"
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    long = F.coalesce(F.length("text"), F.lit(0)) > LONG
-    alike = rows.where(long).repartitionByRange(F.length("text"), F.xxhash64("doc_id"))
-    scored = materialize(rows.where(~long).union(alike).mapInArrow(trimmed(run), schema), "scored")
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base double, inside double, words array<long>, hit array<double>, miss array<double>, spelled array<double>, classes binary, hashes binary"
+    coded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), schema)
+    scored = materialize(coded.withColumn("score", coded_bits(docs.sparkSession, model) + F.col("inside")).drop("inside", "classes", "hashes"), "scored")
     shared.unpersist()
     for held in (path, SparkFiles.get(model.file)):  # executors that come later still ask for the file
         open(held, "wb").close()
@@ -805,12 +779,39 @@ def score(docs: DataFrame) -> DataFrame:
     )
 
 
+def coded_bits(spark: SparkSession, m: Model) -> Column:
+    """What online_bits gives, from the bytes of a row's `classes` and word `hashes`: ClassBits.java goes through one text after another."""
+    return F.call_function(java_code.function(spark, "ClassBits", DoubleType()), "classes", "hashes", F.lit(m.file), F.lit(_tables_file(spark, m)))
+
+
+def _by_text(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The bytes of each text's values."""
+    ends = np.concatenate([[0], np.cumsum(n)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def _tables_file(spark: SparkSession, m: Model) -> str:
+    """The name of a file for ClassBits with the code, the rates and the small tables: of each array its length, then its values."""
+    code = m.code
+    arrays = [
+        [code.nodes.shape[1], code.pair_bits, code.word_bits, code.follow_bits, GATES],
+        np.array([m.rate, REFINE_RATE, FOLLOWS], np.float32),
+        *(x.ravel() for x in (code.lengths, code.nodes, code.bits)),
+        np.array(m.start, np.float32),
+        *(x.view(np.float32) for x in (*m.begin, _BEGINS)),
+    ]
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp()), f"code-{uuid.uuid4().hex}")
+    with open(path, "wb") as f:
+        for x in map(np.asarray, arrays):
+            f.write(np.array(len(x), ">i4").tobytes() + x.astype(">f4" if x.dtype == np.float32 else ">i4").tobytes())
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def _spelled(spell: np.ndarray, t: Tokens, which: np.ndarray) -> np.ndarray:
     """log10 P of the bytes of these words and the white space after them."""
-    low = t.octets.astype(np.int64)
-    low = np.where((low >= 65) & (low <= 90), low + 32, low)
-    white = np.isin(t.octets, np.array([0x20, *range(0x09, 0x0E)], np.uint8))
-    low = np.where(white, 0x20, low)
-    step = spell[np.concatenate([[0x20], low[:-1]]), low]
-    sums = np.concatenate([[0.0], np.cumsum(step), [0.0]])
-    return sums[t.stop[which] + 1] - sums[t.start[which]]
+    n = t.stop[which] + 1 - t.start[which]
+    ends = np.cumsum(n)
+    at = np.arange(n.sum()) + np.repeat(t.start[which] - (ends - n), n)
+    step = spell[np.where(at > 0, _LOW[t.octets[at - 1]], 0x20), _LOW[t.octets[at]]]
+    return np.diff(np.concatenate([[0.0], np.cumsum(step)])[np.concatenate([[0], ends])])

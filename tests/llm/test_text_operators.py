@@ -367,6 +367,56 @@ def test_a_text_learns_from_itself(spark):
     assert sum(score[k] for k in out[20:40]) - once > 0.75 * once
 
 
+def _coded(spark, m, texts):
+    """Of each text the log10 P of its classes that the queries' function gives."""
+    import numpy as np
+
+    rows = []
+    for k, x in enumerate(texts):
+        t = context_mixing.tokens_of([x.encode()])
+        rows.append((k, bytearray(m.code.classes(t).astype("u1")), bytearray(t.word.astype("<u8"))))
+    coded = spark.createDataFrame(rows, "k int, classes binary, hashes binary").repartition(2)
+    return np.array([r.x for r in coded.select("k", context_mixing.coded_bits(spark, m).alias("x")).orderBy("k").collect()])
+
+
+def test_coded_bits_against_plain_loops(spark):
+    """Also texts that are read ahead in several parts, and so many cells that their arrays grow."""
+    import numpy as np
+
+    rng = random.Random(36)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(1, 8))) for _ in range(3000)]
+    texts = [_invented(rng, rng.choice((0, 1, 2, 5, 31, 60, 120)), vocabulary) for _ in range(40)] + ["new words here " * 30, *(_invented(rng, n, vocabulary) for n in (254, 255, 256, 257, 900))]
+    model, _, _ = context_mixing.fit(spark.createDataFrame(list(enumerate([*texts, *texts[:20]])), "doc_id long, text string"))
+    m = model.mapped()
+    t = context_mixing.tokens_of([x.encode() for x in texts])
+    cls = m.code.classes(t)
+    got = _coded(spark, m, texts)
+    assert list(got) == [pytest.approx(_online_in_turn(m, t, cls, k), rel=1e-4, abs=1e-4) for k in range(len(texts))]
+    long = [" ".join(texts) + " " + _invented(rng, 20_000, vocabulary), *texts]  # a large text before small ones leaves nothing to them
+    t = context_mixing.tokens_of([x.encode() for x in long])
+    want = context_mixing.online_bits(m, [context_mixing.prepared(m, t, m.code.classes(t))])
+    assert _coded(spark, m, long) == pytest.approx(want, rel=1e-4, abs=1e-4) and np.isfinite(want).all()
+
+
+def test_a_long_text_takes_as_long_as_many_short_ones(spark):
+    """Each bit's work doesn't depend on how many texts there are to go in step with."""
+    import time
+
+    rng = random.Random(37)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(3000)]
+    parts = [_invented(rng, 500, vocabulary) for _ in range(600)]
+
+    def seconds(texts):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).cache()
+        docs.count()
+        began = time.perf_counter()
+        assert len(context_mixing.score(docs).collect()) == len(texts)
+        return time.perf_counter() - began
+
+    seconds(parts[:2])
+    assert seconds([" ".join(parts), ""]) < 2 * seconds(parts) + 2
+
+
 def test_counts_leave_a_task_in_small_parts():
     import tracemalloc
 
