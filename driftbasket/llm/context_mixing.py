@@ -714,7 +714,8 @@ def score(docs: DataFrame) -> DataFrame:
     docs(doc_id, text, ...), learning from the rows whose crc32(doc_id as text) mod 7 is not 2.
 
     Null and empty texts are their end alone; a null doc_id stays null and counts as an empty text of an id
-    (it trains); repeated rows count each; other columns are ignored; an empty table gives an empty one.
+    (it trains); repeated rows count each; other columns are ignored; an empty table gives an empty one. A text
+    of 2^28 tokens or more is refused.
     """
     small_batches(docs.sparkSession)
     model, words, path = fit(docs)
@@ -787,6 +788,8 @@ def coded_bits(spark: SparkSession, m: Model) -> Column:
 def _by_text(values: np.ndarray, n: np.ndarray) -> pa.Array:
     """The bytes of each text's values."""
     ends = np.concatenate([[0], np.cumsum(n)]) * values.itemsize
+    if ends[-1] >= 1 << 31:
+        raise OverflowError("a text has 2^28 tokens or more")
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
