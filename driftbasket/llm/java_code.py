@@ -1,38 +1,13 @@
-"""Java functions for Spark SQL from sources in this package: the driver compiles them with Janino, which Spark brings, and
-executors get them as a jar. For loops that go from step to step with state, which neither SQL nor numpy do in bulk."""
+"""Java functions from sources in this package (../java_code.py)."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-import zlib
-from importlib import resources
-
 from pyspark.sql import SparkSession
 from pyspark.sql.types import DataType
 
-
-PACKAGE = "driftbasket"
+from .. import java_code
 
 
 def function(spark: SparkSession, name: str, returns: DataType) -> str:
-    """The SQL name of the function of class `name`, from name.java beside this file; compiled once a session."""
-    source = resources.files(__package__).joinpath(f"{name}.java").read_text()
-    own = f"{name}_{zlib.crc32(source.encode()):08x}"  # another source is another class
-    sql_name = own.lower()
-    if not spark.catalog.functionExists(sql_name):
-        compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
-        compiler.setParentClassLoader(spark._jvm.org.apache.spark.util.Utils.getContextOrSparkClassLoader())
-        compiler.setSourceVersion(8)
-        compiler.setTargetVersion(8)
-        compiler.cook(source.replace(name, own))
-        path = os.path.join(os.path.realpath(tempfile.mkdtemp()), f"{own}.jar")
-        with zipfile.ZipFile(path, "w") as jar:
-            for cls, code in dict(compiler.getBytecodes()).items():
-                jar.writestr(cls.replace(".", "/") + ".class", bytes(code))
-        spark._jsparkSession.sessionState().resourceLoader().addJar(path)
-        made = spark._jvm.org.apache.spark.util.Utils.classForName(f"{PACKAGE}.{own}", True, False).getDeclaredConstructors()[0]
-        instance = made.newInstance(spark.sparkContext._gateway.new_array(spark._jvm.Object, 0))
-        spark._jsparkSession.udf().register(sql_name, instance, spark._jsparkSession.parseDataType(returns.json()))
-    return sql_name
+    """The SQL name of the function of class `name`, from name.java beside this file."""
+    return java_code.function(spark, __package__, name, returns)
